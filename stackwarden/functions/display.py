@@ -9,13 +9,14 @@ from .paths import _c, file_name, suffix
 
 
 def human_size(size) -> Column:
+    """Size with a unit. Exact halves round to even, as C's printf has it; Java's would round up."""
     s = _c(size)
     d = s.cast("double")
     return (
         F.when(s < 1024, F.concat(s.cast("string"), F.lit(" o")))
-        .when(s < 1024**2, F.format_string("%.1f Ko", d / 1024))
-        .when(s < 1024**3, F.format_string("%.1f Mo", d / 1024 / 1024))
-        .otherwise(F.format_string("%.2f Go", d / 1024 / 1024 / 1024))
+        .when(s < 1024**2, F.format_string("%.1f Ko", F.bround(d / 1024, 1)))
+        .when(s < 1024**3, F.format_string("%.1f Mo", F.bround(d / 1024 / 1024, 1)))
+        .otherwise(F.format_string("%.2f Go", F.bround(d / 1024 / 1024 / 1024, 2)))
     )
 
 

@@ -69,9 +69,9 @@ def _self_meetings(blocks: DataFrame, n: int) -> DataFrame:
     )
 
 
-def near_pairs(vectors: DataFrame, threshold: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def near_pairs(vectors: DataFrame, threshold: float, block_rows: int = BLOCK_ROWS, rows: int | None = None) -> DataFrame:
     """Pairs lo < hi of (id, vec) with cosine >= threshold: lo, hi, sim. Vectors are unit vectors."""
-    blocks, n = _blocks(vectors, vectors.count(), block_rows)
+    blocks, n = _blocks(vectors, vectors.count() if rows is None else rows, block_rows)
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = list(pdf.sort_values("block").itertuples(index=False))
@@ -141,7 +141,7 @@ def leader_clusters(
     first = cut_lineage(vectors.groupBy("vec").agg(F.min("id").alias("id")))
     n = first.count()
     if n <= direct_up_to:
-        chosen = elect(first, cut_lineage(near_pairs(first, threshold, block_rows)), edges_per_task)
+        chosen = elect(first, cut_lineage(near_pairs(first, threshold, block_rows, n)), edges_per_task)
     else:
         chosen = _peel(first, threshold, block_rows, edges_per_vector, edges_per_task)
     # every copy of a vector goes where the first one went

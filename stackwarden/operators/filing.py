@@ -13,9 +13,10 @@ from ..functions.paths import _c, category_of_folder, is_document, is_screen_siz
 # --- text patterns ------------------------------------------------------------------------------
 def keyword_hits(text) -> dict[str, Column]:
     """Number of patterns of each category found in the text."""
-    t = F.lower(_c(text))
+    # lower text and patterns need no case folding beyond the two letters that fold onto i and s
+    t = F.translate(F.lower(_c(text)), "\u0131\u017f", "is")
     return {
-        cat: sum((F.coalesce(t.rlike("(?iuU)" + p), F.lit(False)).cast("int") for p in pats), F.lit(0))
+        cat: sum((F.coalesce(t.rlike("(?U)" + p), F.lit(False)).cast("int") for p in pats), F.lit(0))
         for cat, pats in K.KEYWORD_PATTERNS.items()
     }
 

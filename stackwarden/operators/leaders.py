@@ -27,9 +27,8 @@ def _covered_in_order(batches):
     yield pd.DataFrame({"id": pd.Series(sorted(covered), dtype="int64")})
 
 
-def covered_items(edges: DataFrame, edges_per_task: int = EDGES_PER_TASK) -> DataFrame:
-    """Ids that have a leader among their smaller neighbours."""
-    spark = edges.sparkSession
+def covered_items(edges: DataFrame, edges_per_task: int = EDGES_PER_TASK) -> DataFrame | None:
+    """Ids that have a leader among their smaller neighbours; None if there are no edges."""
     open_edges = edges.select("lo", "hi")
     parts = []
     while True:
@@ -47,8 +46,10 @@ def covered_items(edges: DataFrame, edges_per_task: int = EDGES_PER_TASK) -> Dat
             open_edges.join(led.withColumnRenamed("id", "hi"), "hi", "left_anti")
             .join(led.withColumnRenamed("id", "lo"), "lo", "left_anti").select("lo", "hi")
         )
-    out = spark.createDataFrame([], "id long")
-    for p in parts:
+    if not parts:
+        return None
+    out = parts[0]
+    for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
@@ -56,9 +57,8 @@ def covered_items(edges: DataFrame, edges_per_task: int = EDGES_PER_TASK) -> Dat
 def elect(nodes: DataFrame, edges: DataFrame, edges_per_task: int = EDGES_PER_TASK) -> DataFrame:
     """(id, leader) for every node. Edges (lo, hi) should be cut from their lineage by the caller."""
     covered = covered_items(edges, edges_per_task)
-    if len(covered.take(1)) == 0:
+    if covered is None:
         return nodes.select("id", F.col("id").alias("leader"))
-    covered = cut_lineage(covered)
     to_leader = edges.join(covered.withColumnRenamed("id", "lo"), "lo", "left_anti")
     joined = to_leader.groupBy(F.col("hi").alias("id")).agg(F.min("lo").alias("leader"))
     return nodes.select("id").join(joined, "id", "left").select("id", F.coalesce("leader", "id").alias("leader"))

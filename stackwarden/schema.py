@@ -3,23 +3,34 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql.types import StructType
-
-ASSETS = StructType.fromDDL("asset_id BIGINT, path STRING, size BIGINT, mtime TIMESTAMP, kind STRING")
-CONTENTS = StructType.fromDDL("asset_id BIGINT, content BINARY")
-IMAGE_META = StructType.fromDDL("asset_id BIGINT, width INT, height INT, exif_original STRING, exif_modified STRING")
-GRAY64 = StructType.fromDDL("asset_id BIGINT, gray ARRAY<DOUBLE>")
-PIXELS = StructType.fromDDL("asset_id BIGINT, r INT, g INT, b INT")
-TEXT_PARTS = StructType.fromDDL("asset_id BIGINT, part_no BIGINT, text STRING")
-CELLS = StructType.fromDDL("asset_id BIGINT, sheet_no INT, sheet STRING, row_no BIGINT, col_no INT, value STRING")
-VECTORS = StructType.fromDDL("asset_id BIGINT, modality STRING, vec ARRAY<FLOAT>")
-EXEMPLARS = StructType.fromDDL("folder STRING, modality STRING, seq BIGINT, vec ARRAY<FLOAT>")
-MOVE_LOG = StructType.fromDDL("move_id BIGINT, ts TIMESTAMP, folder STRING, asset_id BIGINT")
-RULES = StructType.fromDDL("pattern STRING, folder STRING, updated_at TIMESTAMP, seq BIGINT")
-TAG_VECTORS = StructType.fromDDL("tag STRING, tag_ord INT, vec ARRAY<FLOAT>")
-REPLIES = StructType.fromDDL("batch_id BIGINT, reply STRING")
-SUGGESTIONS = StructType.fromDDL(
-    "asset_id BIGINT, path STRING, kind STRING, category STRING, suggested_folder STRING, confidence DOUBLE, reason STRING")
+from pyspark.sql.types import (
+    ArrayType, BinaryType, DataType, DoubleType, FloatType, IntegerType, LongType, StringType, StructField, StructType,
+    TimestampType,
+)
+
+_LONG, _INT, _STR, _TIME = LongType(), IntegerType(), StringType(), TimestampType()
+_VEC = ArrayType(FloatType())
+
+
+def _table(**columns: DataType) -> StructType:
+    return StructType([StructField(n, t) for n, t in columns.items()])
+
+
+ASSETS = _table(asset_id=_LONG, path=_STR, size=_LONG, mtime=_TIME, kind=_STR)
+CONTENTS = _table(asset_id=_LONG, content=BinaryType())
+IMAGE_META = _table(asset_id=_LONG, width=_INT, height=_INT, exif_original=_STR, exif_modified=_STR)
+GRAY64 = _table(asset_id=_LONG, gray=ArrayType(DoubleType()))
+PIXELS = _table(asset_id=_LONG, r=_INT, g=_INT, b=_INT)
+TEXT_PARTS = _table(asset_id=_LONG, part_no=_LONG, text=_STR)
+CELLS = _table(asset_id=_LONG, sheet_no=_INT, sheet=_STR, row_no=_LONG, col_no=_INT, value=_STR)
+VECTORS = _table(asset_id=_LONG, modality=_STR, vec=_VEC)
+EXEMPLARS = _table(folder=_STR, modality=_STR, seq=_LONG, vec=_VEC)
+MOVE_LOG = _table(move_id=_LONG, ts=_TIME, folder=_STR, asset_id=_LONG)
+RULES = _table(pattern=_STR, folder=_STR, updated_at=_TIME, seq=_LONG)
+TAG_VECTORS = _table(tag=_STR, tag_ord=_INT, vec=_VEC)
+REPLIES = _table(batch_id=_LONG, reply=_STR)
+SUGGESTIONS = _table(asset_id=_LONG, path=_STR, kind=_STR, category=_STR, suggested_folder=_STR,
+                     confidence=DoubleType(), reason=_STR)
 
 
 def conform(df: DataFrame, schema: StructType) -> DataFrame:

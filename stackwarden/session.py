@@ -59,7 +59,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+    done = df.checkpoint(eager=True)
+    # fresh column ids: the checkpoint would otherwise carry constraints over columns it no longer has
+    return done.select([done[c].alias(c) for c in done.columns])
 
 
 def is_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> bool:

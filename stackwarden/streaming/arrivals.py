@@ -31,7 +31,7 @@ def count_folders(
 ) -> StreamingQuery:
     """Running use count per folder. A move delivered twice within the delay counts once. Every batch
     writes the counters that changed."""
-    once = moves.withWatermark("ts", late).dropDuplicatesWithinWatermark(["move_id"])
+    once = moves.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).dropDuplicatesWithinWatermark(["move_id"])
     counts = once.groupBy("folder").agg(F.count(F.lit(1)).alias("used_count"))
 
     def handle(batch: DataFrame, batch_id: int) -> None:

@@ -20,7 +20,7 @@ _UNIT = "list_transform({v}, lambda x: x / sqrt(list_inner_product({v}, {v})))"
 VIEWS = {
     "assets": f"SELECT {_DOC.format(i='doc_id')} FROM documents",
     "near_docs": f"""SELECT doc_id, text, lang, source FROM documents UNION ALL
-        SELECT doc_id + {V.COPY}, replace(upper(text), ' ', '  '), lang, source FROM documents WHERE doc_id % 10 = 0""",
+        SELECT doc_id + {V.COPY}, replace(translate(text, '{V._LETTERS}', '{V._LETTERS.upper()}'), ' ', '  '), lang, source FROM documents WHERE doc_id % 10 = 0""",
     "near_texts": f"SELECT {_DOC.format(i='doc_id')} FROM near_docs",
     "hashed": """SELECT *,
         sha256((CASE WHEN size <= 32768 THEN content ELSE content[1:16384] || content[-16384:] END) || encode('|' || size)) AS quick_hash,
@@ -163,6 +163,34 @@ VIEWS["free_run"] = """SELECT 0::BIGINT AS step, dest_dir, taken, NULL::BIGINT A
 VIEWS["mover_order"] = """SELECT *, regexp_extract(name, '^(.+?)(\\.[^.]+)?$', 1) AS stem, coalesce(regexp_extract(name, '^.+(\\.[^.]+)$', 1), '') AS suffix,
     row_number() OVER (PARTITION BY dest_dir ORDER BY asset_id) AS rn FROM movers"""
 
+# files whose text and name are matched against the part names used as folders
+VIEWS["case_files"] = """SELECT 4000000 + asset_id AS asset_id, lower(text) AS text, lower(filename) AS filename FROM part_files UNION ALL
+    SELECT asset_id, CASE WHEN kind = 'video' THEN '' ELSE lower(strip_accents(text)) END, lower(regexp_extract(path, '[^/]+$')) FROM keyword_docs UNION ALL
+    SELECT 3000000 + asset_id, '', lower(name) FROM page_pictures"""
+_SPLIT = "list_filter(regexp_split_to_array({c}, '[^a-z0-9]+'), lambda t: length(t) >= 3)"
+VIEWS["case_words"] = f"""SELECT DISTINCT asset_id, unnest(a || b || list_transform(range(1, len(a)), lambda i: a[i] || a[i + 1])
+        || list_transform(range(1, len(b)), lambda i: b[i] || b[i + 1])) AS word
+    FROM (SELECT asset_id, {_SPLIT.format(c='text')} AS a, {_SPLIT.format(c='filename')} AS b FROM case_files)"""
+_LONG_WORDS = "list_filter(string_split(folder, ' '), lambda t: length(t) >= 4)"
+VIEWS["folder_needles"] = f"""SELECT *, unnest(needles) AS needle FROM (SELECT *, CASE WHEN len({_LONG_WORDS}) > 0 THEN {_LONG_WORDS}
+    ELSE [replace(folder, ' ', '')] END AS needles FROM part_folders)"""
+# For words of up to six letters a ratio of 0.85 means: equal, one letter more or less, or two more than six.
+VIEWS["alike"] = """SELECT needle, word FROM (SELECT DISTINCT needle FROM folder_needles) n JOIN (SELECT DISTINCT word FROM case_words) w ON needle = word
+    OR (abs(length(needle) - length(word)) = 1 AND levenshtein(needle, word) = 1)
+    OR (length(word) = length(needle) + 2 AND length(needle) >= 6 AND levenshtein(needle, word) = 2)"""
+VIEWS["whole_names"] = """SELECT f.asset_id, arg_min(p.folder, (-p.used_count, p.first_seen)) AS folder,
+    arg_min(least(0.95::DOUBLE, 0.80::DOUBLE + CASE WHEN p.used_count >= 3 THEN 0.05::DOUBLE ELSE 0 END
+        + CASE WHEN contains(f.t, p.c) AND contains(f.n, p.c) THEN 0.10::DOUBLE ELSE 0 END), (-p.used_count, p.first_seen)) AS confidence
+    FROM (SELECT asset_id, regexp_replace(text, '[^a-z0-9]+', '', 'g') AS t, regexp_replace(filename, '[^a-z0-9]+', '', 'g') AS n FROM case_files) f
+    JOIN (SELECT *, replace(folder, ' ', '') AS c FROM part_folders) p ON contains(f.t, p.c) OR contains(f.n, p.c) GROUP BY f.asset_id"""
+VIEWS["word_confidence"] = """SELECT asset_id, folder, used_count, first_seen, CASE WHEN r >= 1 THEN 0.75::DOUBLE + CASE WHEN used_count >= 3 THEN 0.05::DOUBLE ELSE 0 END
+        WHEN r >= 0.6 AND k >= 2 THEN 0.55::DOUBLE + 0.1::DOUBLE * r END AS conf
+    FROM (SELECT w.asset_id, n.folder, n.used_count, n.first_seen, len(n.needles) AS k, count(DISTINCT n.needle) / len(n.needles) AS r
+        FROM case_words w JOIN alike a ON a.word = w.word JOIN folder_needles n ON n.needle = a.needle GROUP BY w.asset_id, n.folder, n.used_count, n.first_seen, n.needles)"""
+VIEWS["folder_match"] = """SELECT asset_id, folder, confidence FROM whole_names UNION ALL
+    SELECT asset_id, arg_min(folder, (-conf, -used_count, first_seen)), max(conf) FROM word_confidence
+    WHERE conf IS NOT NULL AND asset_id NOT IN (SELECT asset_id FROM whole_names) GROUP BY asset_id"""
+
 _RECURSIVE = {"code_run", "vector_run", "free_run"}
 
 

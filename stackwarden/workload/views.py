@@ -10,10 +10,16 @@ from ..functions.paths import hamming_radius, kind_of
 from ..functions.vectors import as_double, unit
 
 COPY = 1_000_000  # derived copies get ids from here on
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    t = spark.read.parquet(f"{d}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    # a small file of long texts is one scan task: spread it. A table of many files stays as it is.
+    if name == "documents" and t.rdd.getNumPartitions() < cores:
+        t = t.repartition(cores)
+    return t
 
 
 def _doc_columns() -> list[Column]:
@@ -34,7 +40,7 @@ def near_texts(spark, d) -> DataFrame:
     """Documents, and for every tenth a shouted copy with doubled spaces."""
     docs = table(spark, d, "documents").select("doc_id", "text", "lang", "source")
     copy = docs.filter("doc_id % 10 = 0").select(
-        (F.col("doc_id") + COPY).alias("doc_id"), F.replace(F.upper("text"), F.lit(" "), F.lit("  ")).alias("text"), "lang", "source")
+        (F.col("doc_id") + COPY).alias("doc_id"), F.replace(F.translate("text", _LETTERS, _LETTERS.upper()), F.lit(" "), F.lit("  ")).alias("text"), "lang", "source")
     a = docs.unionByName(copy).select(*_doc_columns())
     return a.withColumn("kind", kind_of("path")).withColumn("content", F.encode("text", "UTF-8"))
 
@@ -56,7 +62,7 @@ def vectors(spark, d) -> DataFrame:
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("asset_id"), as_double("embedding").alias("vec"))
     i = F.col("asset_id")
     shifted = F.transform("vec", lambda x, k: x + F.when((k + 1) % 8 == i % 8, 0.06 * (1 + i % 6)).otherwise(0.0))
-    copy = e.filter("asset_id % 5 = 0").select((i + COPY).alias("asset_id"), shifted.alias("vec"))
+    copy = e.filter("asset_id % 5 = 0").withColumn("vec", shifted).withColumn("asset_id", i + COPY)
     v = e.unionByName(copy).select("asset_id", unit("vec").alias("vec"))
     ext = F.when(i % 4 == 2, ".pdf").when(i % 4 == 3, ".mp4").otherwise(".jpg")
     v = v.withColumn("path", F.concat(F.lit("/mix/f"), i.cast("string"), ext)).withColumn("size", 30000 + i * 104729 % 900000)

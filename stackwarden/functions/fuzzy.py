@@ -33,12 +33,17 @@ def edit_bound(needle, token) -> Column:
     return F.floor(total * (1.0 - MIN_RATIO) + 1e-9).cast("int")
 
 
-def may_match(needle, token) -> Column:
-    """Cheap test on the JVM that no matching pair fails."""
+def may_match(needle, token, max_edits: int | None = None) -> Column:
+    """Cheap test on the JVM that no matching pair fails. A known upper limit of the edits that can be
+    allowed at all lets the distance stop early."""
     a, b = _c(needle), _c(token)
-    bound = edit_bound(a, b)
+    edits = F.levenshtein(a, b) if max_edits is None else F.levenshtein(a, b, max_edits)
     return (
         (F.length(a) >= MIN_NEEDLE)
         & (F.abs(F.length(a) - F.length(b)) <= MAX_LENGTH_GAP)
-        & (F.levenshtein(a, b) <= bound)
+        & edits.between(F.lit(0), edit_bound(a, b))
     )
+
+
+def most_edits(longest_needle: int) -> int:
+    return int((2 * longest_needle + MAX_LENGTH_GAP) * (1.0 - MIN_RATIO) + 1e-9)

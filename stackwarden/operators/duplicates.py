@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import hashing as H
 from ..functions.display import human_size
+from ..session import cut_lineage
 from .ranking import place_in_group
 
 EXACT, NEAR = "exact", "quasi"
@@ -73,8 +74,12 @@ def confirm_bytes(assets: DataFrame) -> DataFrame:
 
 
 def text_members(fingerprinted: DataFrame) -> DataFrame:
-    """Assets grouped by equal text fingerprint: group_id, text_hash, asset_id, path, size."""
-    t = fingerprinted.filter(F.col("text_hash").isNotNull())
+    """Assets grouped by equal text fingerprint: group_id, text_hash, asset_id, path, size.
+
+    The fingerprints are written out first: they are small, and are needed twice, while the texts they
+    come from are large and should be read once.
+    """
+    t = cut_lineage(fingerprinted.filter(F.col("text_hash").isNotNull()).select("text_hash", "asset_id", "path", "size"))
     g = (
         t.groupBy("text_hash")
         .agg(F.count(F.lit(1)).alias("n_members"), F.min("asset_id").alias("group_id"))

@@ -11,25 +11,43 @@ from ..functions.paths import _c, category_of_folder, is_document, is_screen_siz
 
 
 # --- text patterns ------------------------------------------------------------------------------
-def keyword_hits(text) -> dict[str, Column]:
-    """Number of patterns of each category found in the text."""
-    # lower text and patterns need no case folding beyond the two letters that fold onto i and s
-    t = F.translate(F.lower(_c(text)), "\u0131\u017f", "is")
+def _search(t: Column, pattern: str) -> Column:
+    """The pattern found in t. Where every alternative is plain words, whole or not, a substring test
+    comes first: most texts hold none of them, and it is far cheaper than a search."""
+    words = [w.replace(r"\b", "") for w in pattern.split("|")]
+    plain = all(w.replace(" ", "").isalpha() and w.isascii() for w in words)
+    if not plain:
+        return t.rlike("(?U)" + pattern)
+    found = F.lit(False)
+    for w in words:
+        found = found | t.contains(w)
+    return found & t.rlike("(?U)" + pattern) if r"\b" in pattern else found
+
+
+def folded(text) -> Column:
+    """Lower case, with the two letters that fold onto i and s; needs no case folding when searched."""
+    t = F.lower(_c(text))
+    odd = t.contains("\u0131") | t.contains("\u017f")
+    return F.when(odd, F.translate(t, "\u0131\u017f", "is")).otherwise(t)
+
+
+def keyword_hits(t: Column) -> dict[str, Column]:
+    """Number of patterns of each category found in a folded text."""
     return {
-        cat: sum((F.coalesce(t.rlike("(?U)" + p), F.lit(False)).cast("int") for p in pats), F.lit(0))
+        cat: sum((F.coalesce(_search(t, p), F.lit(False)).cast("int") for p in pats), F.lit(0))
         for cat, pats in K.KEYWORD_PATTERNS.items()
     }
 
 
 def with_keyword_category(df: DataFrame, text: str = "text") -> DataFrame:
     """Adds keyword_hits and keyword_category: the category with most hits, the earlier one of equals."""
+    df = df.withColumn("_t", folded(text))
     named = [F.struct(n.alias("hits"), F.lit(-i).alias("place"), F.lit(cat).alias("category"))
-             for i, (cat, n) in enumerate(keyword_hits(text).items())]
-    best = F.array_max(F.array(*named))
-    df = df.withColumn("_best", best)
+             for i, (cat, n) in enumerate(keyword_hits(F.col("_t")).items())]
+    df = df.withColumn("_best", F.array_max(F.array(*named)))
     hit = F.col("_best.hits") > 0
     return df.withColumn("keyword_hits", F.col("_best.hits")).withColumn(
-        "keyword_category", F.when(hit, F.col("_best.category"))).drop("_best")
+        "keyword_category", F.when(hit, F.col("_best.category"))).drop("_best", "_t")
 
 
 # --- pictures -----------------------------------------------------------------------------------

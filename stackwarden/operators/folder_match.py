@@ -9,16 +9,20 @@ second, moved by at most k places), so neither compares everything with everythi
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fuzzy
 from ..functions.paths import unify_separators
 from ..functions.text import bigrams, compact, tokens
-from ..session import cut_lineage
+from ..session import cut_lineage, is_small
 
 MIN_SEGMENT = 4
 OFTEN_USED = 3
+# So few segments or words go into the plan as a literal; more of them are joined.
+FEW = 256
 
 
 def segments(folders: DataFrame) -> DataFrame:
@@ -36,11 +40,28 @@ def _bonus() -> Column:
     return F.when(F.col("used_count") >= OFTEN_USED, 0.05).otherwise(0.0)
 
 
-def whole_name_matches(assets: DataFrame, segs: DataFrame) -> DataFrame:
+def _literal(rows: list[dict], schema: str) -> Column:
+    return F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")
+
+
+def whole_name_matches(assets: DataFrame, segs: DataFrame, few: int = FEW) -> DataFrame:
     """Level 1: the first segment that occurs in the compact text or file name of (asset_id, text, filename)."""
+    if is_small(segs, few):
+        rows = [{"folder": r.folder, "used_count": r.used_count, "c": r.compact}
+                for r in segs.orderBy("place").collect()]  # at most `few`
+        known = _literal(rows, "folder string, used_count bigint, c string")
+
+        def hit(a: Column) -> Column:
+            return F.slice(F.transform(
+                F.filter(known, lambda s: a["t"].contains(s["c"]) | a["n"].contains(s["c"])),
+                lambda s: F.struct(s["folder"], s["used_count"], a["t"].contains(s["c"]).alias("in_text"),
+                                   a["n"].contains(s["c"]).alias("in_name"))), 1, 1)
+
+        # the one-element array holds the compact strings, so that they are worked out once per asset
+        both = F.array(F.struct(compact("text").alias("t"), compact("filename").alias("n")))
+        first = assets.select("asset_id", F.explode(F.flatten(F.transform(both, hit))).alias("s"))
+        return _whole_confidence(first.select("asset_id", "s.*"))
     longest = segs.agg(F.max(F.length("compact"))).first()[0]
-    if longest is None:
-        return assets.sparkSession.createDataFrame([], "asset_id long, folder string, confidence double")
 
     def windows(col: str, where: str) -> DataFrame:
         # every run of up to `longest` letters, one per position; the text itself is not copied along
@@ -56,7 +77,10 @@ def whole_name_matches(assets: DataFrame, segs: DataFrame) -> DataFrame:
         F.max(F.col("place_of") == "text").alias("in_text"), F.max(F.col("place_of") == "name").alias("in_name"))
     first = per_segment.groupBy("asset_id").agg(
         F.min(F.struct("place", "folder", "used_count", "in_text", "in_name")).alias("b"))
-    first = first.select("asset_id", "b.*")
+    return _whole_confidence(first.select("asset_id", "b.*"))
+
+
+def _whole_confidence(first: DataFrame) -> DataFrame:
     both = F.when(F.col("in_text") & F.col("in_name"), 0.10).otherwise(0.0)
     return first.select("asset_id", "folder", F.least(F.lit(0.80) + _bonus() + both, F.lit(0.95)).alias("confidence"))
 
@@ -78,8 +102,28 @@ def _pieces(length: Column, k: Column) -> Column:
         (base + F.when(i < extra, 1).otherwise(0)).alias("n")))
 
 
-def fuzzy_words(needles: DataFrame, words: DataFrame) -> DataFrame:
+def _listed_needles(needles: DataFrame) -> Column:
+    """The needles close to `word`, out of a literal list of at most FEW."""
+    listed = sorted(r.needle for r in needles.collect())
+    limit = fuzzy.most_edits(max(map(len, listed), default=0))
+    return F.filter(F.split(F.lit(" ".join(listed)), " "), lambda n: fuzzy.may_match(n, F.col("word"), limit))
+
+
+def _alike(close: DataFrame) -> DataFrame:
+    return close.withColumn("ratio", fuzzy.fuzzy_ratio("needle", "word")).filter(
+        F.col("ratio") >= fuzzy.MIN_RATIO).select("needle", "word")
+
+
+def fuzzy_words(needles: DataFrame, words: DataFrame, few: int = FEW) -> DataFrame:
     """Distinct (needle, word) that are equal or alike by Ratcliff-Obershelp at 0.85."""
+    needles = needles.select("needle").distinct()
+    if is_small(needles, few):
+        return _alike(words.select("word").distinct().select("word", F.explode(_listed_needles(needles)).alias("needle")))
+    return _alike(_close_by_pieces(needles, words))
+
+
+def _close_by_pieces(needles: DataFrame, words: DataFrame) -> DataFrame:
+    """Distinct (needle, word) within the edit bound, joined on a piece they share."""
     gap = fuzzy.MAX_LENGTH_GAP
     n = needles.select("needle").distinct().withColumn("nl", F.length("needle"))
     n = n.withColumn("wl", F.explode(F.sequence(F.col("nl") - gap, F.col("nl") + gap)))
@@ -99,24 +143,26 @@ def fuzzy_words(needles: DataFrame, words: DataFrame) -> DataFrame:
     w = w.filter(last >= first).withColumn("at", F.explode(F.sequence(first, last)))
     w = w.select("word", "nl", "wl", F.col("p.no").alias("no"), F.expr("substring(word, at, p.n)").alias("piece")).distinct()
 
-    close = (
-        w.join(n, ["nl", "wl", "no", "piece"])
-        .filter(fuzzy.may_match("needle", "word") | (F.col("needle") == F.col("word")))
-        .select("needle", "word").distinct()
-    )
-    return close.withColumn("ratio", fuzzy.fuzzy_ratio("needle", "word")).filter(
-        F.col("ratio") >= fuzzy.MIN_RATIO).drop("ratio")
+    met = w.join(n, ["nl", "wl", "no", "piece"]).filter(fuzzy.may_match("needle", "word"))
+    return met.select("needle", "word").distinct()
 
 
-def word_matches(assets: DataFrame, segs: DataFrame) -> DataFrame:
+def word_matches(assets: DataFrame, segs: DataFrame, few: int = FEW) -> DataFrame:
     """Levels 2 and 3: the folder segment most of whose words are found."""
     seg_needles = segs.select("place", "folder", "used_count", F.size("needles").alias("n_needles"),
                               F.explode("needles").alias("needle"))
     seg_needles = seg_needles.groupBy("place", "folder", "used_count", "n_needles", "needle").agg(
         F.count(F.lit(1)).alias("times"))
     words = asset_words(assets)
-    alike = fuzzy_words(seg_needles, words)
-    found = words.join(alike, "word").select("asset_id", "needle").distinct()
+    needles = seg_needles.select("needle").distinct()
+    if is_small(needles, few):
+        # the texts are read once; what is close to a needle is little and is written out
+        close = cut_lineage(words.select("asset_id", "word", F.explode(_listed_needles(needles)).alias("needle")))
+        alike = _alike(close.select("needle", "word").distinct())
+        found = close.join(alike, ["needle", "word"]).select("asset_id", "needle").distinct()
+    else:
+        alike = _alike(_close_by_pieces(needles, words))
+        found = words.join(alike, "word").select("asset_id", "needle").distinct()
     scored = found.join(seg_needles, "needle").groupBy("asset_id", "place", "folder", "used_count", "n_needles").agg(
         F.sum("times").alias("n_found"))
     ratio = F.col("n_found") / F.col("n_needles")
@@ -127,12 +173,12 @@ def word_matches(assets: DataFrame, segs: DataFrame) -> DataFrame:
     return best.select("asset_id", F.col("b.folder").alias("folder"), (-F.col("b.c")).alias("confidence"))
 
 
-def match_known_folders(assets: DataFrame, folders: DataFrame) -> DataFrame:
+def match_known_folders(assets: DataFrame, folders: DataFrame, few: int = FEW) -> DataFrame:
     """(asset_id, folder, confidence) for the assets that name a known folder."""
     segs = cut_lineage(segments(folders))
-    whole = cut_lineage(whole_name_matches(assets, segs))
+    whole = cut_lineage(whole_name_matches(assets, segs, few))
     left = assets.join(whole, "asset_id", "left_anti")
-    return whole.unionByName(word_matches(left, segs))
+    return whole.unionByName(word_matches(left, segs, few))
 
 
 def folders_containing(folders: DataFrame, typed: str) -> DataFrame:

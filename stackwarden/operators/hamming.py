@@ -83,6 +83,9 @@ def radius_pairs(codes: DataFrame, max_bucket: int = MAX_BUCKET, wide_from: int
     done = []
     while True:
         sizes = keyed.groupBy("mask", "part").count()
+        if (sizes.agg(F.max("count")).first()[0] or 0) <= max_bucket:
+            done.append(keyed)
+            break
         crowded = sizes.filter((F.col("count") > max_bucket)
                                & F.col("mask").isin([k for k, m in level.items() if len(m.free) > _STOP_AT_FREE_BITS]))
         crowded = cut_lineage(crowded.select("mask", "part"))

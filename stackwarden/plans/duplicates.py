@@ -9,6 +9,7 @@ from ..functions.paths import hamming_radius, is_document
 from ..functions.text import text_fingerprint
 from ..operators import duplicates as D
 from ..operators.images import hash_clusters
+from ..session import cut_lineage
 
 
 def exact_duplicates(assets: DataFrame, exclude: DataFrame | None = None) -> DataFrame:
@@ -33,13 +34,15 @@ def duplicate_members(
     """
     if exclude is not None:
         assets = D.exclude_paths(assets, exclude)
-    hashed = D.with_quick_hash(assets)
+    hashed = cut_lineage(D.with_quick_hash(assets).select("asset_id", "path", "size", "kind", "quick_hash", "digest"))
     cols = ["group_id", "kind", "rep_hash", "asset_id", "path", "size"]
     exact = D.exact_members(hashed)
+    if near:
+        exact = cut_lineage(exact)
     out = exact.select(cols).withColumn("match_pct", F.lit(100))
     if not near:
         return out
-    base = assets.select("asset_id", "path", "size", "kind")
+    base = hashed.select("asset_id", "path", "size", "kind")
     branches = []
     if hashes is not None:
         pictures = base.filter("kind = 'image'").join(hashes.select("asset_id", "a_hash"), "asset_id")
@@ -48,7 +51,7 @@ def duplicate_members(
         docs = base.filter(is_document("kind")).join(texts.select("asset_id", "text"), "asset_id")
         branches.append(D.text_members(docs.withColumn("text_hash", text_fingerprint("text", max_chars)).drop("text")))
     for clusters in branches:
-        members = D.near_groups(clusters, exact)
+        members = cut_lineage(D.near_groups(clusters, exact))
         out = out.unionByName(members.join(D.match_percentages(members), "group_id").select(cols + ["match_pct"]))
     return out
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from .paths import _c
+from .paths import _c, once
 
 
 def quick_hash(content, size) -> Column:
@@ -27,13 +27,13 @@ def average_hash(gray) -> Column:
     """64 bits of an 8x8 grey image: set where a value is above the mean, first value highest."""
     g = _c(gray)
     mean = F.aggregate(g, F.lit(0.0), lambda a, x: a + x.cast("double")) / F.size(g)
-    return F.when(
-        F.size(g) == 64,
-        F.aggregate(
-            g, F.lit(0).cast("long"),
-            lambda a, x: F.shiftleft(a, 1).bitwiseOR(F.when(x.cast("double") > mean, 1).otherwise(0).cast("long")),
-        ),
-    )
+
+
+    def bits(m: Column) -> Column:
+        return F.aggregate(g, F.lit(0).cast("long"), lambda a, x: F.shiftleft(a, 1).bitwiseOR(
+            F.when(x.cast("double") > m, 1).otherwise(0).cast("long")))
+
+    return F.when(F.size(g) == 64, once(mean, bits))
 
 
 def hamming(a, b) -> Column:

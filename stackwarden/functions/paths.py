@@ -12,6 +12,12 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def once(value: Column, use) -> Column:
+    """use(value), with the value worked out once: inside a lambda, or where a filter is pushed below it,
+    an expression would be repeated at each mention."""
+    return F.transform(F.array(value), use)[0]
+
+
 def unify_separators(path) -> Column:
     return F.translate(_c(path), "\\", "/")
 

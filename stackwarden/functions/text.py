@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from .paths import _c
+from .paths import _c, once
 
 # White space as Python's str.strip() and re see it.
 _WS = r"[\s\x1c-\x1f]"
@@ -134,8 +134,7 @@ def normalized_text(text) -> Column:
 def text_fingerprint(text, max_chars: int | None = None) -> Column:
     """SHA-256 of the lower-cased text with white space collapsed; null under 50 characters."""
     t = _c(text) if max_chars is None else F.substring(_c(text), 1, max_chars)
-    norm = normalized_text(t)
-    return F.when(F.length(norm) >= K.FINGERPRINT_MIN_CHARS, F.sha2(norm, 256))
+    return once(normalized_text(t), lambda n: F.when(F.length(n) >= K.FINGERPRINT_MIN_CHARS, F.sha2(n, 256)))
 
 
 def passage_input(text) -> Column:

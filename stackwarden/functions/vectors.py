@@ -7,7 +7,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .paths import _c
+from .paths import _c, once
 
 EPS = 1e-9
 
@@ -29,8 +29,7 @@ def norm(v) -> Column:
 def unit(v) -> Column:
     """Scaled to length one; a vector of (nearly) no length stays as it is."""
     v = as_double(v)
-    n = norm(v)
-    return F.when(n > EPS, F.transform(v, lambda x: x / n)).otherwise(v)
+    return once(norm(v), lambda n: F.when(n > EPS, F.transform(v, lambda x: x / n)).otherwise(v))
 
 
 def mean_vector(v) -> Column:

@@ -137,16 +137,17 @@ def leader_clusters(
     Equal vectors are clustered once. Few vectors, or a sparse graph: list the edges, elect leaders. A
     dense graph: never list its edges, but peel off leaders and what they cover until the rest is sparse.
     """
-    vectors = vectors.select("id", as_double("vec").alias("vec"))
-    first = cut_lineage(vectors.groupBy("vec").agg(F.min("id").alias("id")))
+    digest = F.sha2(F.concat_ws(",", as_double("vec").cast("array<string>")), 256)
+    vectors = vectors.select("id", as_double("vec").alias("vec"), digest.alias("digest"))
+    first = cut_lineage(vectors.groupBy("digest").agg(F.min("id").alias("id"), F.min_by("vec", "id").alias("vec")))
     n = first.count()
     if n <= direct_up_to:
         chosen = elect(first, cut_lineage(near_pairs(first, threshold, block_rows, n)), edges_per_task)
     else:
         chosen = _peel(first, threshold, block_rows, edges_per_vector, edges_per_task)
-    # every copy of a vector goes where the first one went
-    rep = first.join(chosen, "id").select("vec", "leader")
-    return vectors.join(rep, "vec").select("id", "leader")
+    # every copy of a vector goes where the first one went; only ids and digests move
+    rep = first.select("id", "digest").join(chosen, "id").select("digest", "leader")
+    return vectors.select("id", "digest").join(rep, "digest").select("id", "leader")
 
 
 def _peel(first: DataFrame, threshold: float, block_rows: int, edges_per_vector: int, edges_per_task: int) -> DataFrame:

@@ -19,9 +19,13 @@ EXACT, NEAR = "exact", "quasi"
 
 def with_quick_hash(assets: DataFrame) -> DataFrame:
     """Adds quick_hash and digest in the scan that reads the bytes, then lets go of the bytes: shuffles
-    further down carry hashes only."""
+    further down carry hashes only. What could not be read equals nothing and drops out here, by a test on
+    the bytes; a test on the hashes would be pushed down to the scan and hash everything twice.
+
+    Joins test their keys the same way, so cut the lineage before operators that join (all but `exact_groups`).
+    """
     return (
-        assets.withColumn("quick_hash", H.quick_hash("content", "size"))
+        assets.filter(F.col("content").isNotNull()).withColumn("quick_hash", H.quick_hash("content", "size"))
         .withColumn("digest", H.content_digest("content"))
         .drop("content")
     )
@@ -35,8 +39,7 @@ def hash_candidates(hashed: DataFrame) -> DataFrame:
     """Assets that share their quick hash with at least one other, with the size of the bucket. Counting
     combines map-side; the join back is an equi join that AQE splits where a bucket is skewed."""
     buckets = (
-        hashed.filter(F.col("quick_hash").isNotNull())
-        .groupBy("quick_hash").agg(F.count(F.lit(1)).alias("bucket_size"))
+        hashed.groupBy("quick_hash").agg(F.count("quick_hash").alias("bucket_size"))
         .filter("bucket_size >= 2")
     )
     return hashed.join(buckets, "quick_hash")
@@ -45,9 +48,8 @@ def hash_candidates(hashed: DataFrame) -> DataFrame:
 def exact_groups(hashed: DataFrame) -> DataFrame:
     """One row per group of identical contents: rep_hash, size, digest, n_members, group_id."""
     return (
-        hashed.filter(F.col("quick_hash").isNotNull() & F.col("digest").isNotNull())
-        .groupBy(F.col("quick_hash").alias("rep_hash"), "size", "digest")
-        .agg(F.count(F.lit(1)).alias("n_members"), F.min("asset_id").alias("group_id"))
+        hashed.groupBy(F.col("quick_hash").alias("rep_hash"), "size", "digest")
+        .agg(F.count("digest").alias("n_members"), F.min("asset_id").alias("group_id"))
         .filter("n_members >= 2")
     )
 
@@ -79,7 +81,7 @@ def text_members(fingerprinted: DataFrame) -> DataFrame:
     The fingerprints are written out first: they are small, and are needed twice, while the texts they
     come from are large and should be read once.
     """
-    t = cut_lineage(fingerprinted.filter(F.col("text_hash").isNotNull()).select("text_hash", "asset_id", "path", "size"))
+    t = cut_lineage(fingerprinted.select("text_hash", "asset_id", "path", "size")).filter("text_hash IS NOT NULL")
     g = (
         t.groupBy("text_hash")
         .agg(F.count(F.lit(1)).alias("n_members"), F.min("asset_id").alias("group_id"))

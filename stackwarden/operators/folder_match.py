@@ -102,11 +102,15 @@ def _pieces(length: Column, k: Column) -> Column:
         (base + F.when(i < extra, 1).otherwise(0)).alias("n")))
 
 
-def _listed_needles(needles: DataFrame) -> Column:
-    """The needles close to `word`, out of a literal list of at most FEW."""
+def _near_listed(words: DataFrame, needles: DataFrame) -> DataFrame:
+    """Every word with each needle it is close to, the needles (at most FEW) being a literal list."""
     listed = sorted(r.needle for r in needles.collect())
-    limit = fuzzy.most_edits(max(map(len, listed), default=0))
-    return F.filter(F.split(F.lit(" ".join(listed)), " "), lambda n: fuzzy.may_match(n, F.col("word"), limit))
+    sizes = [len(n) for n in listed] or [0]
+    gap = fuzzy.MAX_LENGTH_GAP
+    limit = fuzzy.most_edits(max(sizes))
+    close = F.filter(F.split(F.lit(" ".join(listed)), " "), lambda n: fuzzy.may_match(n, F.col("word"), limit))
+    fits = F.length("word").between(min(sizes) - gap, max(sizes) + gap)
+    return words.filter(fits).select("*", F.explode(close).alias("needle"))
 
 
 def _alike(close: DataFrame) -> DataFrame:
@@ -118,7 +122,7 @@ def fuzzy_words(needles: DataFrame, words: DataFrame, few: int = FEW) -> DataFra
     """Distinct (needle, word) that are equal or alike by Ratcliff-Obershelp at 0.85."""
     needles = needles.select("needle").distinct()
     if is_small(needles, few):
-        return _alike(words.select("word").distinct().select("word", F.explode(_listed_needles(needles)).alias("needle")))
+        return _alike(_near_listed(words.select("word").distinct(), needles).select("needle", "word"))
     return _alike(_close_by_pieces(needles, words))
 
 
@@ -147,8 +151,11 @@ def _close_by_pieces(needles: DataFrame, words: DataFrame) -> DataFrame:
     return met.select("needle", "word").distinct()
 
 
-def word_matches(assets: DataFrame, segs: DataFrame, few: int = FEW) -> DataFrame:
-    """Levels 2 and 3: the folder segment most of whose words are found."""
+def word_matches(assets: DataFrame, segs: DataFrame, settled: DataFrame | None = None, few: int = FEW) -> DataFrame:
+    """Levels 2 and 3: the folder segment most of whose words are found, for assets not settled before.
+
+    Settled assets are taken out once only ids and words are left: a join before would shuffle the texts.
+    """
     seg_needles = segs.select("place", "folder", "used_count", F.size("needles").alias("n_needles"),
                               F.explode("needles").alias("needle"))
     seg_needles = seg_needles.groupBy("place", "folder", "used_count", "n_needles", "needle").agg(
@@ -157,12 +164,15 @@ def word_matches(assets: DataFrame, segs: DataFrame, few: int = FEW) -> DataFram
     needles = seg_needles.select("needle").distinct()
     if is_small(needles, few):
         # the texts are read once; what is close to a needle is little and is written out
-        close = cut_lineage(words.select("asset_id", "word", F.explode(_listed_needles(needles)).alias("needle")))
+        close = _near_listed(words, needles)
+        close = cut_lineage(close if settled is None else close.join(settled.select("asset_id"), "asset_id", "left_anti"))
         alike = _alike(close.select("needle", "word").distinct())
         found = close.join(alike, ["needle", "word"]).select("asset_id", "needle").distinct()
     else:
         alike = _alike(_close_by_pieces(needles, words))
         found = words.join(alike, "word").select("asset_id", "needle").distinct()
+        if settled is not None:
+            found = found.join(settled.select("asset_id"), "asset_id", "left_anti")
     scored = found.join(seg_needles, "needle").groupBy("asset_id", "place", "folder", "used_count", "n_needles").agg(
         F.sum("times").alias("n_found"))
     ratio = F.col("n_found") / F.col("n_needles")
@@ -177,8 +187,7 @@ def match_known_folders(assets: DataFrame, folders: DataFrame, few: int = FEW) -
     """(asset_id, folder, confidence) for the assets that name a known folder."""
     segs = cut_lineage(segments(folders))
     whole = cut_lineage(whole_name_matches(assets, segs, few))
-    left = assets.join(whole, "asset_id", "left_anti")
-    return whole.unionByName(word_matches(left, segs, few))
+    return whole.unionByName(word_matches(assets, segs, whole, few))
 
 
 def folders_containing(folders: DataFrame, typed: str) -> DataFrame:

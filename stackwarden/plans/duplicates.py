@@ -14,9 +14,10 @@ from ..session import cut_lineage
 
 def exact_duplicates(assets: DataFrame, exclude: DataFrame | None = None) -> DataFrame:
     """Groups of identical files by recoverable bytes: one shuffle of hashes, then the result's sort."""
-    if exclude is not None:
-        assets = D.exclude_paths(assets, exclude)
-    return D.summarise_exact(D.exact_groups(D.with_quick_hash(assets))).orderBy(*D.result_order())
+    hashed = D.with_quick_hash(assets)
+    if exclude is not None:  # after the bytes are gone, so that no join shuffles them
+        hashed = D.exclude_paths(hashed, exclude)
+    return D.summarise_exact(D.exact_groups(hashed)).orderBy(*D.result_order())
 
 
 def duplicate_members(
@@ -32,9 +33,8 @@ def duplicate_members(
     With near=True also pictures alike by perceptual hash (asset_id, a_hash) and documents of equal
     normalised text (asset_id, text).
     """
-    if exclude is not None:
-        assets = D.exclude_paths(assets, exclude)
-    hashed = cut_lineage(D.with_quick_hash(assets).select("asset_id", "path", "size", "kind", "quick_hash", "digest"))
+    hashed = D.with_quick_hash(assets).select("asset_id", "path", "size", "kind", "quick_hash", "digest")
+    hashed = cut_lineage(hashed if exclude is None else D.exclude_paths(hashed, exclude))
     cols = ["group_id", "kind", "rep_hash", "asset_id", "path", "size"]
     exact = D.exact_members(hashed)
     if near:
@@ -48,8 +48,8 @@ def duplicate_members(
         pictures = base.filter("kind = 'image'").join(hashes.select("asset_id", "a_hash"), "asset_id")
         branches.append(hash_clusters(pictures.withColumn("radius", hamming_radius("path"))))
     if texts is not None:
-        docs = base.filter(is_document("kind")).join(texts.select("asset_id", "text"), "asset_id")
-        branches.append(D.text_members(docs.withColumn("text_hash", text_fingerprint("text", max_chars)).drop("text")))
+        prints = texts.select("asset_id", text_fingerprint("text", max_chars).alias("text_hash"))
+        branches.append(D.text_members(base.filter(is_document("kind")).join(prints, "asset_id")))
     for clusters in branches:
         members = cut_lineage(D.near_groups(clusters, exact))
         out = out.unionByName(members.join(D.match_percentages(members), "group_id").select(cols + ["match_pct"]))

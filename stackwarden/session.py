@@ -64,6 +64,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return done.select([done[c].alias(c) for c in done.columns])
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table of fewer slices than cores (one small file of long texts, say), spread over the cores. A
+    large table has many slices and stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def is_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> bool:
     """Counted, not guessed."""
     return df.count() <= max_rows

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.duplicates import with_quick_hash
+from ..session import spread
 
 Trigger = dict  # arguments of DataStreamWriter.trigger, e.g. {"availableNow": True}
 
@@ -20,7 +21,7 @@ def suggest_on_arrival(
     overwrites its own output."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        suggest(batch).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        suggest(spread(batch)).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     w = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     return (w.trigger(**trigger) if trigger else w).start()

@@ -336,7 +336,8 @@ def _scanned(a: DataFrame) -> DataFrame:
 
 
 def _hashed(spark, d) -> DataFrame:
-    return duplicates.with_quick_hash(_scanned(V.assets(spark, d)))
+    return cut_lineage(duplicates.with_quick_hash(_scanned(V.assets(spark, d))).select(
+        "asset_id", "path", "size", "kind", "quick_hash", "digest"))
 
 
 @query("exact_duplicates", "SELECT * FROM exact_s")
@@ -456,7 +457,7 @@ def _(spark, d):
     a = _scanned(V.assets(spark, d))
     gone = duplicates.keepers(duplicates.exact_members(_hashed(spark, d))).join(
         a.select("asset_id", "path"), F.col("keep_id") == F.col("asset_id")).select("path")
-    g = duplicates.exact_groups(duplicates.with_quick_hash(duplicates.exclude_paths(a, gone)))
+    g = duplicates.exact_groups(duplicates.exclude_paths(_hashed(spark, d), gone))
     return g.select("rep_hash", "size", "n_members")
 
 

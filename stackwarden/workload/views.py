@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.hashing import average_hash
 from ..functions.paths import hamming_radius, kind_of
 from ..functions.vectors import as_double, unit
+from ..session import spread
 
 COPY = 1_000_000  # derived copies get ids from here on
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"
@@ -15,11 +16,7 @@ _LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     t = spark.read.parquet(f"{d}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    # a small file of long texts is one scan task: spread it. A table of many files stays as it is.
-    if name == "documents" and t.rdd.getNumPartitions() < cores:
-        t = t.repartition(cores)
-    return t
+    return spread(t) if name == "documents" else t
 
 
 def _doc_columns() -> list[Column]:

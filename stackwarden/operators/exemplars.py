@@ -88,8 +88,8 @@ def _score(ids, q: np.ndarray, payload: bytes, modality: str, top_n: int | None)
     k = len(folders) if top_n is None else min(top_n, len(folders))
     order = np.argsort(-s, axis=1, kind="stable")[:, :k]  # equal scores stay in folder order
     return pd.DataFrame({
-        "asset_id": np.repeat(ids, k), "modality": modality,
-        "folder": np.array(folders, dtype=object)[order].ravel(),
+        "asset_id": np.repeat(ids, k), "modality": pd.Series([modality] * (len(ids) * k), dtype=object),
+        "folder": pd.Series(np.array(folders, dtype=object)[order].ravel(), dtype=object),
         "score": np.take_along_axis(s, order, axis=1).ravel(),
     })
 
@@ -142,7 +142,7 @@ def folder_scores(
 
         def meet(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             if len(left) == 0 or len(right) == 0:
-                return pd.DataFrame({"asset_id": [], "modality": [], "folder": [], "score": []})
+                return pd.DataFrame({c: pd.Series(dtype=object) for c in ("asset_id", "modality", "folder", "score")})
             return _score(left["asset_id"].to_numpy(), np.stack(left["vec"].to_numpy()),
                           right["payload"].iloc[0], key[0], top_n)
 

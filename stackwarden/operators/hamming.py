@@ -94,20 +94,17 @@ def radius_pairs(codes: DataFrame, max_bucket: int = MAX_BUCKET, wide_from: int
             done.append(keyed)
             break
         done.append(keyed.join(crowded, ["mask", "part"], "left_anti"))
-        nxt, level = {}, {}
+        children, level = [], {}
         for k in hot:
-            children = range(len(masks), len(masks) + MAX_RADIUS + 1)
-            for c, m in zip(children, masks[k].split()):
+            ids = range(len(masks), len(masks) + MAX_RADIUS + 1)
+            for c, m in zip(ids, masks[k].split()):
                 masks[c] = level[c] = m
-            nxt[k] = list(children)
-        again = keyed.join(crowded, ["mask", "part"], "left_semi")
-        pick = F.coalesce(*[
-            F.when(F.col("mask") == k, F.array(*[
-                F.struct(F.lit(c).alias("mask"), F.col("code").bitwiseAND(F.lit(_signed(masks[c].bits))).alias("part"))
-                for c in cs])) for k, cs in nxt.items()
-        ])
-        keyed = cut_lineage(again.select("id", "code", "radius", F.explode(pick).alias("k"))
-                            .select("id", "code", "radius", "k.*"))
+                children.append((k, c, _signed(m.bits)))
+        # at most four rows per mask
+        split = F.broadcast(codes.sparkSession.createDataFrame(children, "mask int, child int, bits long"))
+        again = keyed.join(crowded, ["mask", "part"], "left_semi").join(split, "mask")
+        keyed = cut_lineage(again.select("id", "code", "radius", F.col("child").alias("mask"),
+                                         F.col("code").bitwiseAND(F.col("bits")).alias("part")))
     keyed = done[0]
     for d in done[1:]:
         keyed = keyed.unionByName(d)
@@ -119,14 +116,9 @@ def radius_pairs(codes: DataFrame, max_bucket: int = MAX_BUCKET, wide_from: int
         (F.col("a.mask") == F.col("b.mask")) & (F.col("a.part") == F.col("b.part"))
         & (F.col("a.id") < F.col("b.id")) & (hamming("a.code", "b.code") <= F.col("b.radius")),
     )
-    # the few pairs found: keep each under the first mask it agrees on
-    spans = {}
-    for k, m in masks.items():
-        spans.setdefault(m.earlier, []).append(k)
-    seen = F.lit(False)
-    for earlier, ks in spans.items():
-        for e in earlier:
-            seen = seen | (F.col("a.mask").isin(ks) & (diff.bitwiseAND(F.lit(_signed(e))) == 0))
-    return pairs.filter(~seen).select(
-        F.col("a.id").alias("lo"), F.col("b.id").alias("hi"), hamming("a.code", "b.code").alias("distance")
-    )
+    # of the pairs found, keep each under the first mask it agrees on; one row per mask
+    earlier = F.broadcast(codes.sparkSession.createDataFrame(
+        [(k, [_signed(e) for e in m.earlier]) for k, m in masks.items()], "mask int, earlier array<long>"))
+    pairs = pairs.select("a.mask", F.col("a.id").alias("lo"), F.col("b.id").alias("hi"), diff.alias("diff")).join(earlier, "mask")
+    again = F.exists("earlier", lambda e: F.col("diff").bitwiseAND(e) == 0)
+    return pairs.filter(~again).select("lo", "hi", F.bit_count("diff").alias("distance"))

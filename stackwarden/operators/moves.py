@@ -18,6 +18,7 @@ from ..session import cut_lineage
 from .ranking import place_in_group
 
 _CHAIN = ["dest_dir", "name"]
+SLOTS_PER_STEP = 4_000
 _NUMBERED = r"^(.+)_([1-9][0-9]{0,17})$"
 
 
@@ -30,10 +31,10 @@ def _slot_no(name) -> Column:
     return F.regexp_extract(stem(name), _NUMBERED, 2).try_cast("long")
 
 
-def _skips(kids: Column) -> Column:
+def _skips(kids: Column, before: Column) -> Column:
     """Which outside slots a chain has to jump over, going up: slot N with limit b is jumped if fewer
     than b were jumped before it (b = N + z - arrivals of the chain before the outside file)."""
-    start = F.struct(F.lit(0).cast("long").alias("x"), F.array().cast("array<bigint>").alias("skipped"))
+    start = F.struct(before.alias("x"), F.array().cast("array<bigint>").alias("skipped"))
 
     def step(acc: Column, k: Column) -> Column:
         jump = acc["x"] < k["b"]
@@ -43,7 +44,27 @@ def _skips(kids: Column) -> Column:
     return F.aggregate(kids, start, step, lambda acc: acc["skipped"])
 
 
-def free_names(movers: DataFrame, existing: DataFrame, rows_per_task: int = 1_000_000) -> DataFrame:
+def _jumps(slots: DataFrame, rows_per_task: int, per_step: int = SLOTS_PER_STEP) -> DataFrame:
+    """The jumped ones of (dest_dir, parent, n, b). A chain's slots are gone through in steps of bounded
+    size, carrying the number jumped so far; nearly always one step does for all chains."""
+    keys = ["dest_dir", "parent"]
+    placed = cut_lineage(place_in_group(slots, keys, [F.col("n").asc()], "at", rows_per_task=rows_per_task)
+                         .withColumn("step", F.floor((F.col("at") - 1) / per_step)))
+    last = placed.agg(F.max("step")).first()[0]
+    done = None
+    for step in range((-1 if last is None else last) + 1):
+        part = placed.filter(F.col("step") == step).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("n", "b"))).alias("k"))
+        so_far = F.lit(0).cast("long")
+        if done is not None:
+            part = part.join(done.groupBy(*keys).agg(F.count(F.lit(1)).alias("x")), keys, "left")
+            so_far = F.coalesce("x", so_far)
+        found = cut_lineage(part.select(*keys, F.explode(_skips(F.col("k"), so_far)).alias("n")))
+        done = found if done is None else done.unionByName(found)
+    return slots.select(*keys, "n").limit(0) if done is None else done
+
+
+def free_names(movers: DataFrame, existing: DataFrame, rows_per_task: int = 1_000_000,
+               slots_per_step: int = SLOTS_PER_STEP) -> DataFrame:
     """(asset_id, dest_dir, name, new_name) for movers (asset_id, dest_dir, name), given what is already
     in the destinations (dest_dir, name)."""
     movers = cut_lineage(movers.select("asset_id", *_CHAIN))
@@ -82,9 +103,7 @@ def free_names(movers: DataFrame, existing: DataFrame, rows_per_task: int = 1_00
         levels.append(level)
         mine = kids.join(level.select("dest_dir", F.col("name").alias("parent"), "z"), ["dest_dir", "parent"])
         b = F.col("n") + F.col("z") - F.col("a")
-        chains = mine.groupBy("dest_dir", "parent").agg(
-            F.array_sort(F.collect_list(F.struct("n", b.alias("b")))).alias("k"))
-        jumps = cut_lineage(chains.select("dest_dir", "parent", F.explode(_skips(F.col("k"))).alias("n")))
+        jumps = _jumps(mine.select("dest_dir", "parent", "n", b.alias("b")), rows_per_task, slots_per_step)
         skipped.append(jumps)
         own = kids.filter("first IS NOT NULL").join(
             level.select("dest_dir", F.col("name").alias("parent")), ["dest_dir", "parent"], "left_semi")

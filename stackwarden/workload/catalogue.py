@@ -860,7 +860,7 @@ def _(spark, d):
 
 
 @query("keywords", f"""SELECT asset_id, rank, word AS keyword FROM ({_FREQ}) WHERE asset_id % 4 IN (1, 2) UNION ALL
-    SELECT asset_id, rank, tag FROM (SELECT *, row_number() OVER (PARTITION BY asset_id ORDER BY score DESC, tag_ord) AS rank FROM ({_TAG_SCORES})) WHERE rank <= 6 AND score >= 0.22 AND asset_id % 4 = 0""")
+    SELECT asset_id, rank, tag FROM (SELECT *, row_number() OVER (PARTITION BY asset_id ORDER BY score DESC, tag_ord) AS rank FROM ({_TAG_SCORES})) WHERE rank <= 6 AND score >= 0.22 AND asset_id % 4 = 0 AND asset_id IN (SELECT doc_id FROM documents)""")
 def _(spark, d):
     docs = V.table(spark, d, "documents").select(F.col("doc_id").alias("asset_id"), "text")
     a = V.keyword_docs(spark, d).drop("text").join(docs, "asset_id")  # pictures, documents and videos by id

@@ -23,15 +23,15 @@ def one_by_one(movers, existing):
     return out
 
 
-@pytest.mark.parametrize("seed,rows_per_task", [(0, 10**6), (1, 10**6), (2, 0), (3, 10**6)])
-def test_free_names_equal_the_sequential_rule(spark, seed, rows_per_task):
+@pytest.mark.parametrize("seed,rows_per_task,per_step", [(0, 10**6, 4000), (2, 0, 4000), (3, 10**6, 1)])
+def test_free_names_equal_the_sequential_rule(spark, seed, rows_per_task, per_step):
     rnd = random.Random(seed)
     dirs = [f"/d{k}" for k in range(12)]
     movers = [(i, rnd.choice(dirs), rnd.choice(NAMES)) for i in rnd.sample(range(1000), 260)]
     existing = {(rnd.choice(dirs), rnd.choice(NAMES)) for _ in range(30)}
     m = spark.createDataFrame(movers, "asset_id long, dest_dir string, name string")
     e = spark.createDataFrame(sorted(existing), "dest_dir string, name string")
-    got = {r.asset_id: r.new_name for r in moves.free_names(m, e, rows_per_task).collect()}
+    got = {r.asset_id: r.new_name for r in moves.free_names(m, e, rows_per_task, per_step).collect()}
     assert got == one_by_one(movers, existing)
 
 

@@ -12,28 +12,37 @@ from pyspark.sql import functions as F
 BROADCAST_MAX_ROWS = 200_000
 BROADCAST_MAX_BYTES = 64 * 1024 * 1024
 
+# What the operators rely on; all of it can be set on a running session. Joins back to a hot key are split
+# by AQE, also where the split costs the next operator a shuffle.
+RUNTIME_SETTINGS = {
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    "spark.sql.execution.arrow.pyspark.enabled": "true",
+}
+
 _local_dirs: dict[str, str] = {}
 
 
+def tune(spark: SparkSession) -> SparkSession:
+    """Applies the settings to a session made elsewhere."""
+    for key, value in RUNTIME_SETTINGS.items():
+        spark.conf.set(key, value)
+    return spark
+
+
 def build_session(app: str = "stackwarden", master: str | None = None, partitions: int | None = None) -> SparkSession:
     """A session with the settings the operators rely on. A cluster's own settings win elsewhere."""
-    b = (
-        SparkSession.builder.appName(app)
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
-        .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false")
-    )
+    b = SparkSession.builder.appName(app).config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
     if master:
         b = b.master(master)
     if partitions:
         b = b.config("spark.sql.shuffle.partitions", str(partitions))
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    return spark
+    return tune(spark)
 
 
 def shared_dir(spark: SparkSession) -> str:

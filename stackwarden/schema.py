@@ -28,6 +28,7 @@ EXEMPLARS = _table(folder=_STR, modality=_STR, seq=_LONG, vec=_VEC)
 MOVE_LOG = _table(move_id=_LONG, ts=_TIME, folder=_STR, asset_id=_LONG)
 RULES = _table(pattern=_STR, folder=_STR, updated_at=_TIME, seq=_LONG)
 TAG_VECTORS = _table(tag=_STR, tag_ord=_INT, vec=_VEC)
+VECTOR_CACHE = _table(fingerprint=_STR, vec=_VEC)
 REPLIES = _table(batch_id=_LONG, reply=_STR)
 SUGGESTIONS = _table(asset_id=_LONG, path=_STR, kind=_STR, category=_STR, suggested_folder=_STR,
                      confidence=DoubleType(), reason=_STR)

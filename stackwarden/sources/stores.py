@@ -76,6 +76,11 @@ def rule_store(spark: SparkSession, path: str) -> Log:
     return Log(spark, path, S.RULES)
 
 
+def vector_cache(spark: SparkSession, path: str) -> Log:
+    """Encoded vectors by file version; append what `plans.filing.enrich_missing` returns."""
+    return Log(spark, path, S.VECTOR_CACHE)
+
+
 def known_folders(log: Log) -> DataFrame:
     return folder_usage(log.read())
 

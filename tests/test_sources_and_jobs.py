@@ -100,9 +100,11 @@ def test_enrichment_is_idempotent(spark):
         for b in batches:
             yield b[["fingerprint"]].assign(vec=[[1.0]] * len(b))
 
-    empty = spark.createDataFrame([], "fingerprint string, vec array<float>")
-    first = filing.enrich_missing(a, empty, encoder)
-    assert first.count() == 10 and filing.enrich_missing(a, first, encoder).count() == 0
+    cache = stores.vector_cache(spark, tempfile.mkdtemp(prefix="spark-", dir="/tmp") + "/cache")
+    for _ in range(2):
+        cache.append(filing.enrich_missing(a, cache.read(), encoder))
+    assert cache.read().count() == 10
+    assert filing.enrich_missing(a.withColumn("size", F.lit(6)), cache.read(), encoder).count() == 10
 
 
 def test_streams_over_several_batches(spark):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,17 +13,27 @@ from ..functions.paths import _c, category_of_folder, is_document, is_screen_siz
 
 
 # --- text patterns ------------------------------------------------------------------------------
+_NOT_FIXED = re.compile(r"(?:\\[bsd]|\[[^\]]*\]|[^\[\]\\](?=[?*{])|\.)(?:[+*?]|\{[^}]*\})?")
+
+
+def _needed_words(pattern: str) -> list[str] | None:
+    """For every alternative the longest run of letters a text must hold; None if one has no such run."""
+    if "(" in pattern:
+        return None
+    runs = [max(_NOT_FIXED.sub("\0", alt).split("\0"), key=len) for alt in pattern.split("|")]
+    return runs if all(len(r) >= 2 for r in runs) else None
+
+
 def _search(t: Column, pattern: str) -> Column:
-    """The pattern found in t. Where every alternative is plain words, whole or not, a substring test
-    comes first: most texts hold none of them, and it is far cheaper than a search."""
-    words = [w.replace(r"\b", "") for w in pattern.split("|")]
-    plain = all(w.replace(" ", "").isalpha() and w.isascii() for w in words)
-    if not plain:
+    """The pattern found in t. A substring test for what each alternative cannot do without comes first:
+    most texts hold none of it, and it is far cheaper than a search."""
+    words = _needed_words(pattern)
+    if words is None:
         return t.rlike("(?U)" + pattern)
     found = F.lit(False)
     for w in words:
         found = found | t.contains(w)
-    return found & t.rlike("(?U)" + pattern) if r"\b" in pattern else found
+    return found if words == pattern.split("|") else found & t.rlike("(?U)" + pattern)
 
 
 def folded(text) -> Column:

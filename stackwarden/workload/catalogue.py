@@ -811,7 +811,7 @@ _NO_SEM = "SELECT NULL::BIGINT AS asset_id, NULL AS folder, NULL::DOUBLE AS conf
 def _suggest(spark, d, semantic: bool) -> DataFrame:
     a = _cascade_assets(spark, d)
     charts = filing.chart_pictures(V.pixels(spark, d))
-    extra = dict(exemplars=V.exemplars(spark, d), vectors=V.queries_for(spark, d)) if semantic else {}
+    extra = dict(exemplars=_store(spark, d), vectors=V.queries_for(spark, d)) if semantic else {}
     s = plan_file.suggest_folders(a, V.part_folders(spark, d), filing.current_rules(V.rule_log(spark, d)), charts=charts, **extra)
     return s.withColumn("confidence", _r("confidence"))
 

@@ -8,16 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import fresh_path
-from . import bpe, packing, tokenfiles
+from . import bpe, licenses, packing, quality, tokenfiles
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
-def query(fn):
-    QUERIES[fn.__name__] = fn
-    return fn
+def query(fn=None, *, sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return register(fn) if fn else register
 
 
 def vocabulary(name: str) -> str:
@@ -26,6 +31,18 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query(sql=licenses.summary_sql())
+def op1_licenses(spark: SparkSession, d: str) -> DataFrame:
+    return licenses.summary(licenses.scan(table(spark, d, "documents")))
+
+
+@query(sql=quality.judge_sql())
+def op2_quality(spark: SparkSession, d: str) -> DataFrame:
+    return quality.judge(table(spark, d, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        F.round("quality", 4).alias("quality"))
+
+
 @query
 def op3_bpe(spark: SparkSession, d: str) -> DataFrame:
     import public_tokenizers

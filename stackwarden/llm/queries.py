@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import fresh_path
-from . import bpe, licenses, packing, quality, tokenfiles
+from . import bpe, langid, licenses, packing, quality, simhash, tokenfiles
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,6 +53,17 @@ def op3_bpe(spark: SparkSession, d: str) -> DataFrame:
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
 
 
+@query
+def op7_language(spark: SparkSession, d: str) -> DataFrame:
+    return langid.identify(table(spark, d, "documents"))
+
+
+@query
+def op8_simhash(spark: SparkSession, d: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, d, "documents")).select(
+        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 @query
 def op9_packing(spark: SparkSession, d: str) -> DataFrame:
     pieces = packing.pack(table(spark, d, "documents"), vocabulary("byte_bpe_50k.json"), end_id=1)

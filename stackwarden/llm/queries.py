@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import fresh_path
-from . import bpe, langid, licenses, packing, quality, simhash, tokenfiles
+from . import bpe, fingerprints, langid, licenses, packing, quality, simhash, tokenfiles
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,6 +53,11 @@ def op3_bpe(spark: SparkSession, d: str) -> DataFrame:
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
 
 
+@query
+def op4_fingerprints(spark: SparkSession, d: str) -> DataFrame:
+    return fingerprints.compare_with_next(table(spark, d, "documents"))
+
+
 @query
 def op7_language(spark: SparkSession, d: str) -> DataFrame:
     return langid.identify(table(spark, d, "documents"))

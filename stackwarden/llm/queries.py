@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import fresh_path
-from . import bpe, fingerprints, langid, licenses, packing, quality, simhash, tokenfiles
+from . import bpe, fingerprints, langid, licenses, packing, quality, simhash, tokenfiles, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,6 +58,18 @@ def op4_fingerprints(spark: SparkSession, d: str) -> DataFrame:
     return fingerprints.compare_with_next(table(spark, d, "documents"))
 
 
+@query(sql="""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+q AS (SELECT page_id, octet_length(body)::BIGINT AS payload_bytes, sha1(body) AS payload_digest,
+    max(page_id) OVER (PARTITION BY body) AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+    CASE WHEN payload_bytes >= 1000 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN payload_bytes >= 1000 AND page_id <> first THEN first END AS refers_to FROM q""")
+def op6_warc(spark: SparkSession, d: str) -> DataFrame:
+    path = warc.write(table(spark, d, "pages"), fresh_path(spark, "warc"))
+    return warc.read(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query
 def op7_language(spark: SparkSession, d: str) -> DataFrame:
     return langid.identify(table(spark, d, "documents"))

@@ -21,8 +21,8 @@ def space_beside_white(text: str) -> bool:
     return "  " in text or " \n" in text or "\n " in text or bool(RARE.search(text) and BESIDE.search(text))
 
 
-# Chunks kept by a worker; a full table starts anew
-KEPT_CHUNKS = 500_000
+# Chunks kept by a worker: a full table is set aside, and what is used again moves to the new one
+KEPT_CHUNKS = 600_000
 # Longer chunks are encoded but not kept
 KEPT_CHARS = 64
 
@@ -33,11 +33,12 @@ class ChunkEncoder:
     def __init__(self, encode_all: Callable[[list[str]], list[bytes]], kept: int = KEPT_CHUNKS):
         self.encode_all, self.kept = encode_all, kept
         self.after: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def encode(self, texts: Sequence[str | None]) -> list[bytes]:
         if len(self.after) > self.kept:
-            self.after = {}
-        get = self.after.get
+            self.before, self.after = self.after, {}
+        get, older = self.after.get, self.before.get
         out: list[bytes] = []
         late: list[tuple[int, bytes | None, list[str], list[bytes | None]]] = []
         new: dict[str, bytes] = {}
@@ -55,7 +56,14 @@ class ChunkEncoder:
                 if head:
                     whole[head] = b""
                 if None in ids:
-                    new.update((p, b"") for p, x in zip(parts, ids) if x is None)
+                    for k, x in enumerate(ids):
+                        if x is None:
+                            p = parts[k]
+                            x = ids[k] = older(p)
+                            if x is None:
+                                new[p] = b""
+                            else:
+                                self.after[p] = x
                 late.append((i, head, parts, ids))
                 out.append(b"")
         got = self.encode_all([" " + p for p in new] + list(whole))

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import fresh_path
-from . import bpe, fingerprints, langid, licenses, packing, quality, simhash, tokenfiles, warc
-from .common import table
+from . import bpe, fingerprints, langid, licenses, packing, quality, simhash, suffixes, tokenfiles, warc
+from .common import id_and_text, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -58,6 +58,13 @@ def op4_fingerprints(spark: SparkSession, d: str) -> DataFrame:
     return fingerprints.compare_with_next(table(spark, d, "documents"))
 
 
+@query
+def op5_suffixes(spark: SparkSession, d: str) -> DataFrame:
+    cut = suffixes.remove_repeats(id_and_text(table(spark, d, "documents")), length=400)
+    return cut.select(F.col("row.doc_id").alias("doc_id"), "n_bytes", "n_removed", F.size("starts").cast("long").alias("n_spans"),
+                      F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query(sql="""
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
 q AS (SELECT page_id, octet_length(body)::BIGINT AS payload_bytes, sha1(body) AS payload_digest,

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, fresh_path
 from .common import id_and_text, whole_rows
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -123,9 +123,13 @@ def judge(docs: DataFrame, rules=tuple(RULES), keep_from: float = KEEP_FROM) ->
 
 
 def keep_good(docs: DataFrame, rules=tuple(RULES), keep_from: float = KEEP_FROM) -> DataFrame:
-    """The rows of docs that judge() keeps, unchanged. Texts are counted twice instead of being joined back."""
-    p = estimate(count_votes(with_counts(id_and_text(docs), "doc_id").select(*votes(rules)), rules), rules)
-    rows = with_counts(whole_rows(docs), "row").select("*", *votes(rules))
+    """The rows of docs that judge() keeps, unchanged. Rows are written once with their counts and votes, so nothing is
+    counted twice and nothing is joined back."""
+    spark, path = docs.sparkSession, fresh_path(docs.sparkSession, "quality")
+    made = with_counts(whole_rows(docs), "row").select("*", *votes(rules))
+    made.write.parquet(path)
+    rows = spark.read.schema(made.schema).parquet(path)
+    p = estimate(count_votes(rows, rules), rules)
     return rows.filter(~F.expr(BASE_FAILED) & (posterior(p, rules) >= keep_from)).select("row.*")
 
 

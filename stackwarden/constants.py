@@ -23,7 +23,6 @@ MATCH_MIN_CHARS = 5
 ENCODER_MAX_CHARS = 2000
 EXEMPLARS_PER_FOLDER = 50
 IMPORT_PER_FOLDER = 8
-SIDE_TOP_N = 20
 LABEL_BATCH = 20
 GROUPS_PER_PAGE = 50
 CLUSTERS_PER_PAGE = 30

@@ -109,5 +109,5 @@ def training_label(path, root: str) -> Column:
     """Parent directory relative to the root, empty for files at the root or outside of it."""
     base = root.replace("\\", "/").rstrip("/") + "/"
     parent = F.concat(parent_dir(path), F.lit("/"))
-    inside = F.substring(parent, len(base) + 1, 1_000_000)
+    inside = F.substring(parent, F.lit(len(base) + 1), F.length(parent))
     return F.when(parent.startswith(base), F.regexp_replace(inside, "/$", "")).otherwise("")

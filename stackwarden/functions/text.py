@@ -138,9 +138,18 @@ def text_fingerprint(text, max_chars: int | None = None) -> Column:
 
 
 def passage_input(text) -> Column:
-    """The string a text encoder is given; null when there is nothing to encode."""
+    """The string a text encoder is given for a short text, uncut; null when there is nothing to encode."""
     t = trim_unicode(text)
-    return F.when(F.length(t) > 0, F.concat(F.lit("passage: "), F.substring(t, 1, K.ENCODER_MAX_CHARS)))
+    return F.when(F.length(t) > 0, F.concat(F.lit("passage: "), t))
+
+
+def passage_inputs(text, max_chars: int = K.ENCODER_MAX_CHARS) -> Column:
+    """The whole text as an array of such strings, each of a passage of at most max_chars characters; empty when there
+    is nothing to encode. The vectors of a text's passages are pooled by operators.exemplars.pooled."""
+    t = trim_unicode(text)
+    starts = F.when(F.length(t) > 0, F.sequence(F.lit(1), F.length(t), F.lit(max_chars))).otherwise(F.array().cast("array<int>"))
+    return F.transform(F.coalesce(starts, F.array().cast("array<int>")),
+                       lambda i: F.concat(F.lit("passage: "), F.substring(t, i, F.lit(max_chars))))
 
 
 def tag_input(tag) -> Column:

@@ -64,13 +64,14 @@ def exact_members(hashed: DataFrame) -> DataFrame:
 
 
 def confirm_bytes(assets: DataFrame) -> DataFrame:
-    """Groups whose contents are byte for byte the same, beyond equal digests. Every group passes unless
-    SHA-256 collides; min and max of the bytes combine map-side, one value per group and partition."""
+    """Groups whose contents are the same by a second, independent digest. Every group passes unless SHA-256 collides.
+    Both digests are taken where the bytes are read; no bytes are grouped, sorted or shuffled."""
+    hashed = assets.select("asset_id", "size", H.quick_hash("content", "size").alias("rep_hash"),
+                           H.content_digest("content").alias("digest"), F.sha2("content", 512).alias("second"))
     return (
-        assets.groupBy(H.quick_hash("content", "size").alias("rep_hash"), "size",
-                       H.content_digest("content").alias("digest"))
+        hashed.groupBy("rep_hash", "size", "digest")
         .agg(F.count(F.lit(1)).alias("n_members"), F.min("asset_id").alias("group_id"),
-             (F.min("content") == F.max("content")).alias("same_bytes"))
+             (F.min("second") == F.max("second")).alias("same_bytes"))
         .filter("n_members >= 2")
     )
 

@@ -1,6 +1,7 @@
 """Learned example vectors per folder, and how assets score against them.
 
-Store rows: folder, modality ('image' or 'text'), seq, vec. A folder keeps its latest 50 per modality.
+Store rows: folder, modality ('image' or 'text'), seq, vec. Everything learned is stored; `latest` cuts a store to the
+newest vectors of each folder and modality where that is wanted.
 """
 
 from __future__ import annotations
@@ -69,34 +70,81 @@ def purge_name_only(store: DataFrame) -> DataFrame:
 
 
 # --- scoring ------------------------------------------------------------------------------------
-def _pack(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Exemplars of some folders of one modality as one matrix, with their centroids."""
+def _matrices(pdf: pd.DataFrame) -> tuple:
+    """Exemplars of some folders of one modality: folders, where each begins, all vectors, centroids."""
     pdf = pdf.sort_values(["folder", "seq"])
     mat = np.stack(pdf["vec"].to_numpy()).astype("float64")
     folders, starts = np.unique(pdf["folder"].to_numpy(dtype=object), return_index=True)
     cents = np.add.reduceat(mat, starts, axis=0)
     cents /= np.diff(np.append(starts, len(mat)))[:, None]
     n = np.linalg.norm(cents, axis=1, keepdims=True)
-    cents = np.where(n > 1e-9, cents / np.where(n > 1e-9, n, 1.0), cents)
-    return pd.DataFrame({"modality": [pdf["modality"].iloc[0]], "block": [int(pdf["block"].iloc[0])],
-                         "payload": [pickle.dumps((list(folders), starts, mat, cents))]})
+    return list(folders), starts, mat, np.where(n > 1e-9, cents / np.where(n > 1e-9, n, 1.0), cents)
+
+
+def _pack(pdf: pd.DataFrame) -> pd.DataFrame:
+    sides = {m: _matrices(part) for m, part in pdf.groupby("modality")}
+    return pd.DataFrame({"side": [pdf["side"].iloc[0]], "block": [int(pdf["block"].iloc[0])], "payload": [pickle.dumps(sides)]})
+
 
+def _blend(q: np.ndarray, side: tuple) -> np.ndarray:
+    folders, starts, mat, cents = side
+    return 0.6 * np.maximum.reduceat(q @ mat.T, starts, axis=1) + 0.4 * (q @ cents.T)
 
-def _score(ids, q: np.ndarray, payload: bytes, modality: str, top_n: int | None) -> pd.DataFrame:
-    folders, starts, mat, cents = pickle.loads(payload)
-    s = 0.6 * np.maximum.reduceat(q @ mat.T, starts, axis=1) + 0.4 * (q @ cents.T)
+
+def _best(ids, modality, folders, s: np.ndarray, top_n: int | None) -> pd.DataFrame:
+    """The best n folders of each row of scores; nan is no score, equal scores stay in folder order."""
+    s = np.where(np.isnan(s), -np.inf, s)
     k = len(folders) if top_n is None else min(top_n, len(folders))
-    order = np.argsort(-s, axis=1, kind="stable")[:, :k]  # equal scores stay in folder order
-    return pd.DataFrame({
+    order = np.argsort(-s, axis=1, kind="stable")[:, :k]
+    out = pd.DataFrame({
         "asset_id": np.repeat(ids, k), "modality": pd.Series([modality] * (len(ids) * k), dtype=object),
         "folder": pd.Series(np.array(folders, dtype=object)[order].ravel(), dtype=object),
         "score": np.take_along_axis(s, order, axis=1).ravel(),
     })
+    return out[out["score"] > -np.inf]
 
 
 _SCORED = "asset_id long, modality string, folder string, score double"
 
 
+def _against(queries: DataFrame, store: DataFrame, by_side: bool, score, broadcast_bytes: int) -> tuple[DataFrame, int]:
+    """score(queries, sides, side) for each block of queries and of exemplars, and the number of blocks of exemplars.
+    The exemplars are broadcast if their counted size allows; else blocks of both meet, each pair in one task.
+    Queries have the columns side (what they are compared with) and asset_id; by_side keeps modalities apart."""
+    n, dim = store.agg(F.count(F.lit(1)), F.max(F.size("vec"))).first()
+    n_blocks = max(1, math.ceil((n or 0) / BLOCK_EXEMPLARS))
+    packed = (
+        store.withColumn("block", F.pmod(F.xxhash64("folder"), F.lit(n_blocks)).cast("int"))
+        .withColumn("side", F.col("modality") if by_side else F.lit(""))
+        .groupBy("side", "block").applyInPandas(_pack, "side string, block int, payload binary")
+    )
+    if (n or 0) * (dim or 0) * 8 <= broadcast_bytes:
+        held: dict[str, list[bytes]] = {}
+        for r in packed.collect():  # within broadcast_bytes, counted above
+            held.setdefault(r.side, []).append(bytes(r.payload))
+        shared = queries.sparkSession.sparkContext.broadcast(held)
+
+        def each(batches):
+            for pdf in batches:
+                for side, part in pdf.groupby("side"):
+                    for payload in shared.value.get(side, ()):
+                        yield score(part, pickle.loads(payload), side)
+
+        return queries.mapInPandas(each, _SCORED), n_blocks
+    n_q = max(1, math.ceil(queries.count() / BLOCK_QUERIES))
+    q = queries.withColumn("q", F.pmod(F.xxhash64("asset_id"), F.lit(n_q)).cast("int")).withColumn(
+        "block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+    e = packed.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))))
+
+    def meet(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if len(left) == 0 or len(right) == 0:
+            return pd.DataFrame({c: pd.Series(dtype=object) for c in ("asset_id", "modality", "folder", "score")})
+        return score(left, pickle.loads(right["payload"].iloc[0]), key[0])
+
+    keys = ["side", "q", "block"]
+    return q.groupBy(*keys).cogroup(e.groupBy(*keys)).applyInPandas(meet, _SCORED), n_blocks
+
+
 def folder_scores(
     queries: DataFrame,
     store: DataFrame,
@@ -104,68 +152,56 @@ def folder_scores(
     min_exemplars: int = 1,
     broadcast_bytes: int = BROADCAST_MAX_BYTES,
 ) -> DataFrame:
-    """(asset_id, modality, folder, score): 0.6 x best exemplar + 0.4 x centroid.
-
-    Takes (asset_id, modality, vec). The exemplars are broadcast if their counted size allows; else
-    exemplars and queries are cut into blocks and each pair of blocks meets in one task.
-    """
+    """(asset_id, modality, folder, score): 0.6 x best exemplar + 0.4 x centroid. Takes (asset_id, modality, vec)."""
     store = store.select(*_KEYS, "seq", as_double("vec").alias("vec"))
     if min_exemplars > 1:
         enough = store.groupBy(*_KEYS).count().filter(F.col("count") >= min_exemplars).select(*_KEYS)
         store = store.join(enough, _KEYS, "left_semi")
-    n, dim = store.agg(F.count(F.lit(1)), F.max(F.size("vec"))).first()
-    n_blocks = max(1, math.ceil((n or 0) / BLOCK_EXEMPLARS))
-    packed = (
-        store.withColumn("block", F.pmod(F.xxhash64("folder"), F.lit(n_blocks)).cast("int"))
-        .groupBy("modality", "block").applyInPandas(_pack, "modality string, block int, payload binary")
-    )
-    queries = queries.select("asset_id", "modality", as_double("vec").alias("vec"))
-    if (n or 0) * (dim or 0) * 8 <= broadcast_bytes:
-        sides: dict[str, list[bytes]] = {}
-        for r in packed.collect():  # within broadcast_bytes, counted above
-            sides.setdefault(r.modality, []).append(bytes(r.payload))
-        shared = queries.sparkSession.sparkContext.broadcast(sides)
 
-        def score(batches):
-            for pdf in batches:
-                for modality, part in pdf.groupby("modality"):
-                    q = np.stack(part["vec"].to_numpy())
-                    for payload in shared.value.get(modality, ()):
-                        yield _score(part["asset_id"].to_numpy(), q, payload, modality, top_n)
-
-        scored = queries.mapInPandas(score, _SCORED)
-    else:
-        n_q = max(1, math.ceil(queries.count() / BLOCK_QUERIES))
-        q = queries.withColumn("q", F.pmod(F.xxhash64("asset_id"), F.lit(n_q)).cast("int")).withColumn(
-            "block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-        e = packed.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))))
-
-        def meet(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-            if len(left) == 0 or len(right) == 0:
-                return pd.DataFrame({c: pd.Series(dtype=object) for c in ("asset_id", "modality", "folder", "score")})
-            return _score(left["asset_id"].to_numpy(), np.stack(left["vec"].to_numpy()),
-                          right["payload"].iloc[0], key[0], top_n)
-
-        keys = ["modality", "q", "block"]
-        scored = q.groupBy(*keys).cogroup(e.groupBy(*keys)).applyInPandas(meet, _SCORED)
+    def score(part: pd.DataFrame, sides: dict, modality: str) -> pd.DataFrame:
+        return _best(part["asset_id"].to_numpy(), modality, sides[modality][0],
+                     _blend(np.stack(part["vec"].to_numpy()), sides[modality]), top_n)
+
+    q = queries.select("asset_id", F.col("modality").alias("side"), as_double("vec").alias("vec"))
+    scored, n_blocks = _against(q, store, True, score, broadcast_bytes)
     if top_n is None or n_blocks == 1:
         return scored
     return top_folders(scored, top_n, ["asset_id", "modality"]).drop("rank")
 
 
-def top_folders(scores: DataFrame, n: int, groups=("asset_id",)) -> DataFrame:
-    return top_per_group(scores, list(groups), [F.col("score").desc(), F.col("folder").asc()], n)
+def combined_scores(queries: DataFrame, store: DataFrame, top_n: int | None = None,
+                    broadcast_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
+    """(asset_id, folder, score): one score per asset and folder, 55/45 where both sides know the folder, 85 % of the
+    one score otherwise; or the best n of all folders. Both sides of an asset meet the same block, so they are combined
+    before anything is left out."""
+
+    def side(m: str):
+        return F.first(F.when(F.col("modality") == m, as_double("vec")), ignorenulls=True).alias(m)
+
+    q = queries.groupBy("asset_id").agg(side("image"), side("text")).withColumn("side", F.lit(""))
+
+    def score(part: pd.DataFrame, sides: dict, _: str) -> pd.DataFrame:
+        names = np.array(sorted(set().union(*(s[0] for s in sides.values()))), dtype=object)
+        one = {}
+        for m in ("image", "text"):
+            one[m] = np.full((len(part), len(names)), np.nan)
+            have = np.flatnonzero(part[m].notna().to_numpy())
+            if m in sides and len(have):
+                at = np.searchsorted(names, np.array(sides[m][0], dtype=object))
+                one[m][np.ix_(have, at)] = _blend(np.stack(part[m].to_numpy()[have]), sides[m])
+        i, t = one["image"], one["text"]
+        both = np.where(np.isnan(t), 0.85 * i, np.where(np.isnan(i), 0.85 * t, 0.55 * i + 0.45 * t))
+        return _best(part["asset_id"].to_numpy(), None, names, both, top_n)
+
+    scored, n_blocks = _against(q, store.select(*_KEYS, "seq", as_double("vec").alias("vec")), False, score, broadcast_bytes)
+    scored = scored.drop("modality")
+    if top_n is None or n_blocks == 1:
+        return scored
+    return top_folders(scored, top_n).drop("rank")
 
 
-def combined_scores(scores: DataFrame) -> DataFrame:
-    """One score per asset and folder out of the top 20 of each modality: 55/45 where both sides know
-    the folder, 85 % of the one score otherwise."""
-    side = top_folders(scores, K.SIDE_TOP_N, ["asset_id", "modality"])
-    si = F.max(F.when(F.col("modality") == "image", F.col("score")))
-    st = F.max(F.when(F.col("modality") == "text", F.col("score")))
-    both = side.groupBy("asset_id", "folder").agg(si.alias("si"), st.alias("st"))
-    return both.select("asset_id", "folder", F.coalesce(
-        0.55 * F.col("si") + 0.45 * F.col("st"), 0.85 * F.col("si"), 0.85 * F.col("st")).alias("score"))
+def top_folders(scores: DataFrame, n: int, groups=("asset_id",)) -> DataFrame:
+    return top_per_group(scores, list(groups), [F.col("score").desc(), F.col("folder").asc()], n)
 
 
 def decide(scores: DataFrame) -> DataFrame:

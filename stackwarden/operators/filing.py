@@ -29,11 +29,11 @@ def _search(t: Column, pattern: str) -> Column:
     most texts hold none of it, and it is far cheaper than a search."""
     words = _needed_words(pattern)
     if words is None:
-        return t.rlike("(?U)" + pattern)
+        return t.rlike("(?dU)" + pattern)
     found = F.lit(False)
     for w in words:
         found = found | t.contains(w)
-    return found if words == pattern.split("|") else found & t.rlike("(?U)" + pattern)
+    return found if words == pattern.split("|") else found & t.rlike("(?dU)" + pattern)
 
 
 def folded(text) -> Column:

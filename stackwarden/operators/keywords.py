@@ -44,13 +44,13 @@ def frequent_words(docs: DataFrame, top_n: int = 6) -> DataFrame:
 
 def tag_scores(images: DataFrame, tags: DataFrame, top_n: int | None = None) -> DataFrame:
     """(asset_id, tag, tag_ord, score): cosine of every image vector with every tag vector, or the best n."""
-    store = tags.select(F.format_string("%05d|%s", "tag_ord", "tag").alias("folder"), F.lit("image").alias("modality"),
+    store = tags.select(F.concat(F.lpad(F.col("tag_ord").cast("string"), 10, "0"), F.lit("|"), "tag").alias("folder"), F.lit("image").alias("modality"),
                         F.col("tag_ord").cast("long").alias("seq"), "vec")
     q = images.select("asset_id", F.lit("image").alias("modality"), "vec")
     # one unit vector per tag: best example and centroid are the same
     s = folder_scores(q, store, top_n)
-    return s.select("asset_id", F.substring("folder", 7, 1_000).alias("tag"),
-                    F.substring("folder", 1, 5).cast("int").alias("tag_ord"), "score")
+    return s.select("asset_id", F.expr("substring(folder, 12)").alias("tag"),
+                    F.substring("folder", 1, 10).cast("int").alias("tag_ord"), "score")
 
 
 def image_tags(images: DataFrame, tags: DataFrame, top_n: int = 6, min_score: float = K.TAG_MIN_SCORE) -> DataFrame:

@@ -47,8 +47,7 @@ def suggest_folders(
         q = vectors.join(with_words, "asset_id").filter(
             ((F.col("modality") == "image") & (F.col("kind") == "image"))
             | ((F.col("modality") == "text") & F.col("has_words"))).select("asset_id", "modality", "vec")
-        scores = X.folder_scores(q, X.purge_name_only(exemplars), K.SIDE_TOP_N)
-        sem = X.decide(X.combined_scores(scores)).select(
+        sem = X.decide(X.combined_scores(q, X.purge_name_only(exemplars), 2)).select(
             "asset_id", F.col("folder").alias("sem_folder"), F.col("confidence").alias("sem_conf"),
             F.col("reason").alias("sem_reason"))
         a = a.drop("text").join(sem, "asset_id", "left")
@@ -65,7 +64,7 @@ def suggest_folders(
 
 def sample_training_files(files: DataFrame, per_folder: int = K.IMPORT_PER_FOLDER, seed: int = 0) -> DataFrame:
     """At most eight files per label, drawn at random but the same for the same seed."""
-    draw = [F.xxhash64("path", F.lit(seed)).asc(), F.col("path").asc()]
+    draw = [F.sha2(F.concat_ws("|", "path", F.lit(str(seed))), 256).asc(), F.col("path").asc()]
     return top_per_group(files, ["label"], draw, per_folder, "draw").drop("draw")
 
 
@@ -80,18 +79,20 @@ def learnable(labelled: DataFrame) -> DataFrame:
     return image.unionByName(text)
 
 
-def learn(store: DataFrame, labelled: DataFrame) -> DataFrame:
-    """The store with the new examples appended, cut to the latest 50 per folder and modality."""
-    new = learnable(labelled)
-    return X.latest(store.select("folder", "modality", "seq", "vec").unionByName(new))
+def learn(store: DataFrame, labelled: DataFrame, keep: int | None = None) -> DataFrame:
+    """The store with the new examples appended; with keep, cut to the latest so many per folder and modality."""
+    grown = store.select("folder", "modality", "seq", "vec").unionByName(learnable(labelled))
+    return grown if keep is None else X.latest(grown, keep)
 
 
 def enrich_missing(assets: DataFrame, cache: DataFrame, encoder: Encoder, schema: str = "fingerprint string, vec array<float>") -> DataFrame:
     """Vectors for the file versions the cache (fingerprint, vec) does not hold yet. The encoder maps
     batches with the assets' columns and fingerprint to batches of the given schema."""
     a = assets.withColumn("fingerprint", cache_fingerprint("path", "mtime", "size"))
-    todo = a.join(cache.select("fingerprint"), "fingerprint", "left_anti").dropDuplicates(["fingerprint"])
-    return todo.mapInPandas(encoder, schema)
+    # versions are picked by narrow keys; contents and texts meet the picked ids only, and are never grouped or sorted
+    todo = (a.select("fingerprint", "asset_id").join(cache.select("fingerprint"), "fingerprint", "left_anti")
+            .groupBy("fingerprint").agg(F.min("asset_id").alias("asset_id")).select("asset_id"))
+    return a.join(todo, "asset_id", "left_semi").mapInPandas(encoder, schema)
 
 
 def seed_folder_names(store: DataFrame, folders: DataFrame, encoder: Encoder) -> DataFrame:

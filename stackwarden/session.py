@@ -6,7 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 # What a broadcast may hold at most; above it the operators take their shuffled form.
 BROADCAST_MAX_ROWS = 200_000
@@ -50,7 +49,7 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named
-    if spark.sparkContext.master.startswith("local"):
+    if spark.sparkContext.master.split("[")[0] == "local":
         app = spark.sparkContext.applicationId
         if app not in _local_dirs:
             _local_dirs[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
@@ -83,9 +82,3 @@ def spread(df: DataFrame) -> DataFrame:
 def is_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> bool:
     """Counted, not guessed."""
     return df.count() <= max_rows
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Mark df for broadcast only after its rows have been counted; else leave the join to shuffle."""
-    return F.broadcast(df) if is_small(df, max_rows) else df
-

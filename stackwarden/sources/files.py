@@ -93,7 +93,7 @@ def first_level_folders(files: DataFrame, roots: Iterable[str]) -> DataFrame:
     p = unify_separators("path")
     for root in roots:
         base = root.replace("\\", "/").rstrip("/") + "/"
-        rest = F.when(p.startswith(base), F.split(F.substring(p, len(base) + 1, 1_000_000), "/"))
+        rest = F.when(p.startswith(base), F.split(F.substring(p, F.lit(len(base) + 1), F.length(p)), "/"))
         names.append(F.when((F.size(rest) > 1) & ~rest[0].startswith("."), rest[0]))
     n = files.select(F.explode(F.array(*names)).alias("folder"))
     return n.filter("folder IS NOT NULL AND folder <> ''").distinct()

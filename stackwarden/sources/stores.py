@@ -8,7 +8,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from .. import schema as S
-from ..operators.exemplars import latest
 from ..operators.filing import current_rules, folder_usage
 
 
@@ -45,7 +44,7 @@ class ExemplarStore:
 
     def save(self, store: DataFrame) -> None:
         name = f"v-{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
-        S.conform(latest(store), S.EXEMPLARS).write.partitionBy("modality").parquet(f"{self.root}/{name}")
+        S.conform(store, S.EXEMPLARS).write.partitionBy("modality").parquet(f"{self.root}/{name}")
 
     def drop_old(self, keep: int = 2) -> None:
         for n in self.versions()[:-keep]:

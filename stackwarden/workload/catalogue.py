@@ -278,11 +278,15 @@ def _(spark, d):
     return v.join(copies, "asset_id").select("asset_id", _r(vectors.dot("vec", "other")).alias("cosine"))
 
 
-@query("model_inputs", """SELECT conv_id AS asset_id, turn, coalesce('passage: ' || substring(nullif(trim(text), ''), 1, 2000), '') AS model_input, 'a photo of ' || role AS tag_input FROM conversations""")
+@query("model_inputs", """SELECT asset_id, turn, passage_no, 'passage: ' || substring(t, passage_no * 2000 + 1, 2000) AS model_input, tag_input FROM (
+    SELECT asset_id, turn, t, tag_input, unnest(range((length(t) + 1999) // 2000)) AS passage_no FROM (
+        SELECT conv_id AS asset_id, turn, trim(text) AS t, 'a photo of ' || role AS tag_input FROM conversations UNION ALL
+        SELECT doc_id, -1, trim(text), 'a photo of ' || lang FROM documents))""")
 def _(spark, d):
-    c = V.table(spark, d, "conversations")
-    return c.select(F.col("conv_id").alias("asset_id"), "turn", F.coalesce(text.passage_input("text"), F.lit("")).alias("model_input"),
-                    text.tag_input("role").alias("tag_input"))
+    c = V.table(spark, d, "conversations").select(F.col("conv_id").alias("asset_id"), "turn", "text", F.col("role").alias("tag"))
+    t = V.table(spark, d, "documents").select(F.col("doc_id").alias("asset_id"), F.lit(-1).cast("long").alias("turn"), "text", F.col("lang").alias("tag"))
+    p = c.unionByName(t).select("asset_id", "turn", text.tag_input("tag").alias("tag_input"), F.posexplode(text.passage_inputs("text")).alias("n", "model_input"))
+    return p.select("asset_id", "turn", F.col("n").cast("long").alias("passage_no"), "model_input", "tag_input")
 
 
 def _year_sql(c: str) -> str:
@@ -585,16 +589,16 @@ def _(spark, d):
 
 # --- exemplars and semantic match ---------------------------------------------------------------
 def _store(spark, d) -> DataFrame:
-    return exemplars.latest(V.exemplars(spark, d))
+    return V.exemplars(spark, d)
 
 
 def _scores(spark, d, top_n=None) -> DataFrame:
     return exemplars.folder_scores(V.queries_for(spark, d), _store(spark, d), top_n)
 
 
-@query("latest_exemplars", "SELECT folder, modality, seq FROM kept")
+@query("latest_exemplars", f"SELECT folder, modality, seq FROM exemplars QUALIFY row_number() OVER (PARTITION BY folder, modality ORDER BY seq DESC) <= {K.EXEMPLARS_PER_FOLDER}")
 def _(spark, d):
-    return _store(spark, d).select("folder", "modality", "seq")
+    return exemplars.latest(V.exemplars(spark, d), K.EXEMPLARS_PER_FOLDER).select("folder", "modality", "seq")
 
 
 @query("centroids", "SELECT folder, modality, i, round(x, 6) AS x FROM (SELECT folder, modality, unnest(centroid) AS x, generate_subscripts(centroid, 1) - 1 AS i FROM centroids)")
@@ -655,18 +659,18 @@ def _(spark, d):
 
 @query("combined_scores", "SELECT asset_id, folder, round(score, 6) AS score FROM combined")
 def _(spark, d):
-    return exemplars.combined_scores(_scores(spark, d, K.SIDE_TOP_N)).withColumn("score", _r("score"))
+    return exemplars.combined_scores(V.queries_for(spark, d), _store(spark, d)).withColumn("score", _r("score"))
 
 
 @query("semantic_decisions", "SELECT asset_id, folder, round(confidence, 6) AS confidence, reason FROM decided")
 def _(spark, d):
-    return exemplars.decide(exemplars.combined_scores(_scores(spark, d, K.SIDE_TOP_N))).withColumn("confidence", _r("confidence"))
+    return exemplars.decide(exemplars.combined_scores(V.queries_for(spark, d), _store(spark, d), 2)).withColumn("confidence", _r("confidence"))
 
 
 @query("explained_matches", """SELECT r.asset_id, r.rnk AS rank, r.folder, round(r.score, 6) AS score, c.n_image, c.n_text FROM ranked_scores r
     LEFT JOIN (SELECT folder, count(*) FILTER (modality = 'image') AS n_image, count(*) FILTER (modality = 'text') AS n_text FROM kept GROUP BY folder) c ON c.folder = r.folder WHERE r.rnk <= 5""")
 def _(spark, d):
-    e = exemplars.explain(exemplars.combined_scores(_scores(spark, d, K.SIDE_TOP_N)), _store(spark, d))
+    e = exemplars.explain(exemplars.combined_scores(V.queries_for(spark, d), _store(spark, d), 5), _store(spark, d))
     return e.withColumn("score", _r("score")).withColumn("rank", F.col("rank").cast("long"))
 
 
@@ -827,7 +831,7 @@ _SEM = """SELECT asset_id, folder, CASE WHEN score >= 0.70 THEN least(0.95::DOUB
         CASE WHEN score >= 0.70 THEN 'semantic_strong' WHEN score >= 0.45 AND gap >= 0.02 THEN 'semantic_match' ELSE 'semantic_weak' END AS reason
     FROM (SELECT *, row_number() OVER w AS rnk, score - lead(score, 1, -1) OVER w AS gap FROM (
         SELECT asset_id, folder, CASE WHEN si IS NOT NULL AND st IS NOT NULL THEN 0.55::DOUBLE * si + 0.45::DOUBLE * st ELSE 0.85::DOUBLE * coalesce(si, st) END AS score
-        FROM (SELECT s.asset_id, s.folder, max(s.score) FILTER (s.modality = 'image') AS si, max(s.score) FILTER (s.modality = 'text') AS st FROM side s JOIN keyword_docs k ON k.asset_id = s.asset_id
+        FROM (SELECT s.asset_id, s.folder, max(s.score) FILTER (s.modality = 'image') AS si, max(s.score) FILTER (s.modality = 'text') AS st FROM scores s JOIN keyword_docs k ON k.asset_id = s.asset_id
             WHERE (s.modality = 'image' AND k.kind = 'image') OR (s.modality = 'text' AND k.kind <> 'video' AND length(trim(k.text)) >= 5) GROUP BY s.asset_id, s.folder))
         WINDOW w AS (PARTITION BY asset_id ORDER BY score DESC, folder))
     WHERE rnk = 1 AND (score >= 0.70 OR (score >= 0.45 AND gap >= 0.02) OR (score >= 0.35 AND gap >= 0.05))"""
@@ -921,8 +925,7 @@ def _file_kind() -> Column:
 
 @query("learned_store", """SELECT folder, modality, seq FROM (SELECT folder, modality, seq FROM exemplars UNION ALL
     SELECT 'F' || (vec_id % 7), 'image', 1000000 + vec_id FROM embeddings WHERE vec_id % 4 < 2 UNION ALL
-    SELECT 'F' || (e.vec_id % 7), 'text', 1000000 + e.vec_id FROM embeddings e JOIN documents t ON t.doc_id = e.vec_id WHERE e.vec_id % 4 < 3 AND length(trim(t.text)) >= 20)
-    QUALIFY row_number() OVER (PARTITION BY folder, modality ORDER BY seq DESC) <= 50""")
+    SELECT 'F' || (e.vec_id % 7), 'text', 1000000 + e.vec_id FROM embeddings e JOIN documents t ON t.doc_id = e.vec_id WHERE e.vec_id % 4 < 3 AND length(trim(t.text)) >= 20)""")
 def _(spark, d):
     t = V.table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), "text")
     new = V.table(spark, d, "embeddings").join(t, "vec_id", "left").select(
@@ -931,7 +934,7 @@ def _(spark, d):
     return plan_file.learn(V.exemplars(spark, d), new).select("folder", "modality", "seq")
 
 
-@query("training_sample")
+@query("training_sample", "SELECT asset_id, path, label FROM (SELECT asset_id, path, source AS label, row_number() OVER (PARTITION BY source ORDER BY sha256(path || '|0'), path) AS k FROM assets JOIN documents ON doc_id = asset_id) WHERE k <= 8")
 def _(spark, d):
     labelled = files.with_training_label(V.assets(spark, d), "/lib").select("asset_id", "path", "label")
     return plan_file.sample_training_files(labelled)

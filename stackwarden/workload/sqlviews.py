@@ -42,7 +42,7 @@ VIEWS = {
             CASE asset_id % 4 WHEN 2 THEN 'pdf' WHEN 3 THEN 'video' ELSE 'image' END AS kind FROM raw_vectors""",
     "exemplars": """SELECT 'F' || label AS folder, CASE WHEN vec_id % 2 = 0 THEN 'image' ELSE 'text' END AS modality, vec_id AS seq,
             list_transform(embedding, lambda x: x::DOUBLE) AS vec FROM embeddings""",
-    "kept": "SELECT * FROM exemplars QUALIFY row_number() OVER (PARTITION BY folder, modality ORDER BY seq DESC) <= 50",
+    "kept": "SELECT * FROM exemplars",
     "dims": "SELECT folder, modality, unnest(vec) AS x, generate_subscripts(vec, 1) AS i FROM kept",
     "means": "SELECT folder, modality, list(m ORDER BY i) AS v FROM (SELECT folder, modality, i, avg(x) AS m FROM dims GROUP BY ALL) GROUP BY ALL",
     "centroids": f"SELECT folder, modality, {_UNIT.format(v='v')} AS centroid FROM means",
@@ -56,10 +56,9 @@ VIEWS = {
     "scores": """SELECT b.asset_id, b.modality, b.folder, 0.6::DOUBLE * b.m + 0.4::DOUBLE * list_inner_product(q.vec, c.centroid) AS score
         FROM best_example b JOIN queries_v q ON b.asset_id = q.asset_id AND b.modality = q.modality
         JOIN centroids c ON b.folder = c.folder AND b.modality = c.modality""",
-    "side": "SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY asset_id, modality ORDER BY score DESC, folder) <= 20",
     "combined": """SELECT coalesce(i.asset_id, t.asset_id) AS asset_id, coalesce(i.folder, t.folder) AS folder,
             coalesce(0.55::DOUBLE * i.score + 0.45::DOUBLE * t.score, 0.85::DOUBLE * i.score, 0.85::DOUBLE * t.score) AS score
-        FROM (SELECT * FROM side WHERE modality = 'image') i FULL JOIN (SELECT * FROM side WHERE modality = 'text') t
+        FROM (SELECT * FROM scores WHERE modality = 'image') i FULL JOIN (SELECT * FROM scores WHERE modality = 'text') t
         ON i.asset_id = t.asset_id AND i.folder = t.folder""",
     "ranked_scores": """SELECT *, row_number() OVER w AS rnk, lead(score, 1, -1) OVER w AS second, score - lead(score, 1, -1) OVER w AS gap
         FROM combined WINDOW w AS (PARTITION BY asset_id ORDER BY score DESC, folder)""",

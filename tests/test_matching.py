@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from stackwarden import constants as K
-from stackwarden.operators import exemplars, filing, folder_match
+from stackwarden.operators import duplicates, exemplars, filing, folder_match, keywords
+from stackwarden.plans import filing as plan_filing
 
 WORDS = "invoice invoce travel travels holiday holidya report reports bank banque photo photos garden gardens ab cd".split()
 
@@ -76,7 +77,7 @@ def test_pieces_find_all_words_within_the_bound(spark):
 
 def test_keyword_search_equals_plain_patterns(spark):
     texts = ["Mon IBAN et le solde", "ſolde", "les soldes", "TOTAL 12,50", "M15 chart", "m123", "Expérience  professionnelle", "diplomé", "xcontractx contract",
-             "signalement", "n° facture", "date d'échéance", "conditions générales", "", "caisse d epargne", "vu a midi", "Recu 1", "KIBAN"]
+             "total due\u2028 12,50 eur", "total due\r12,50 eur", "total due\x85 12,50", "total due\n12,50 eur", "signalement", "n° facture", "date d'échéance", "conditions générales", "", "caisse d epargne", "vu a midi", "Recu 1", "KIBAN"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
     got = {r.i: r.keyword_category for r in filing.with_keyword_category(df).collect()}
     for i, t in enumerate(texts):
@@ -114,3 +115,52 @@ def test_cascade_prefers_names_only_when_meaning_is_not_certain(spark):
                    F.lit(False).alias("is_chart"), F.lit(None).cast("struct<category:string,folder:string,confidence:double>").alias("hint"),
                    none.alias("rule_keyword"), none.alias("rule_chart"), none.alias("rule_hint"))
     assert {r.asset_id: r.category for r in filing.cascade(df).collect()} == {1: "Bank", 2: "Other", 3: "Bank", 4: "Other"}
+
+
+@pytest.mark.parametrize("limit", [0, 1 << 30])
+def test_combined_scores_leave_no_folder_out(spark, limit, monkeypatch):
+    monkeypatch.setattr(exemplars, "BLOCK_EXEMPLARS", 40)
+    monkeypatch.setattr(exemplars, "BLOCK_QUERIES", 7)
+    rnd = np.random.default_rng(3)
+    unit = lambda n: [[float(x) for x in r / np.linalg.norm(r)] for r in rnd.normal(size=(n, 6))]
+    store = [(f"f{i % 45:02d}", m, i, v) for m in ("image", "text") for i, v in enumerate(unit(150)) if not (m == "text" and i % 45 > 40)]
+    asks = [(i, m, v) for m in ("image", "text") for i, v in enumerate(unit(20)) if not (m == "image" and i == 3)]
+    one = {}
+    for a, m, q in asks:
+        for f in {s[0] for s in store if s[1] == m}:
+            vs = np.array([s[3] for s in store if s[0] == f and s[1] == m])
+            c = vs.mean(axis=0)
+            one[a, f, m] = 0.6 * (vs @ q).max() + 0.4 * float(c / np.linalg.norm(c) @ q)
+    want = {}
+    for a, f in {(a, f) for a, f, _ in one}:
+        i, t = one.get((a, f, "image")), one.get((a, f, "text"))
+        want[a, f] = 0.85 * t if i is None else 0.85 * i if t is None else 0.55 * i + 0.45 * t
+    s = spark.createDataFrame(store, "folder string, modality string, seq long, vec array<double>")
+    q = spark.createDataFrame(asks, "asset_id long, modality string, vec array<double>")
+    got = {(r.asset_id, r.folder): r.score for r in exemplars.combined_scores(q, s, None, limit).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - v) < 1e-9 for k, v in want.items())
+    best = exemplars.combined_scores(q, s, 2, limit).collect()
+    for a in range(20):
+        mine = sorted((-v, f) for (x, f), v in want.items() if x == a)[:2]
+        assert [f for _, f in sorted((-r.score, r.folder) for r in best if r.asset_id == a)] == [f for _, f in mine]
+
+
+def test_tags_of_any_number_and_length(spark):
+    tags = spark.createDataFrame([("a" * 1500, 100001, [1.0, 0.0]), ("alpha", 99999, [0.0, 1.0])], "tag string, tag_ord int, vec array<double>")
+    images = spark.createDataFrame([(1, [1.0, 0.0])], "asset_id long, vec array<double>")
+    got = {(r.tag, r.tag_ord) for r in keywords.tag_scores(images, tags).collect()}
+    assert got == {("a" * 1500, 100001), ("alpha", 99999)}
+
+
+def test_bytes_and_texts_stay_out_of_groups(spark):
+    assets = spark.createDataFrame([(1, "/a", 2000, "x", bytearray(b"q"))], "asset_id long, path string, size long, text string, content binary").withColumn("mtime", F.current_timestamp())
+    cache = spark.createDataFrame([], "fingerprint string")
+
+    def encoder(batches):
+        yield from ()
+
+    for df in (duplicates.confirm_bytes(assets), plan_filing.enrich_missing(assets, cache, encoder)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        for line in plan.split("\n"):
+            if re.search(r"HashAggregate|SortAggregate|Sort ", line):
+                assert "content" not in line and "text#" not in line, line

@@ -74,7 +74,7 @@ def test_stores(spark):
     assert store.load().count() == 0
     rows = [("F", "image", i, [float(i)]) for i in range(60)]
     store.save(spark.createDataFrame(rows, "folder string, modality string, seq long, vec array<float>"))
-    assert sorted(r.seq for r in store.load().collect()) == list(range(10, 60))
+    assert sorted(r.seq for r in store.load().collect()) == list(range(60))
     store.save(filing.learn(store.load(), spark.createDataFrame(
         [("F", 99, "image", "long enough text here", [1.0], [2.0]), ("F", 98, "video", "long enough text here", [1.0], [2.0]), ("G", 97, "pdf", "short", None, [2.0])],
         "folder string, seq long, kind string, text string, image_vec array<float>, text_vec array<float>")))

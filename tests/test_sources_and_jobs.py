@@ -79,7 +79,9 @@ def test_stores(spark):
         [("F", 99, "image", "long enough text here", [1.0], [2.0]), ("F", 98, "video", "long enough text here", [1.0], [2.0]), ("G", 97, "pdf", "short", None, [2.0])],
         "folder string, seq long, kind string, text string, image_vec array<float>, text_vec array<float>")))
     got = {(r.folder, r.modality): r.n for r in store.load().groupBy("folder", "modality").agg(F.count("*").alias("n")).collect()}
-    assert got == {("F", "image"): 50, ("F", "text"): 1}
+    assert got == {("F", "image"): 61, ("F", "text"): 1}
+    newest = filing.learn(store.load(), spark.createDataFrame([], "folder string, seq long, kind string, text string, image_vec array<float>, text_vec array<float>"), keep=50)
+    assert sorted(r.seq for r in newest.filter("modality = 'image'").collect()) == list(range(11, 60)) + [99]
     store.drop_old(keep=1)
     assert len(store.versions()) == 1
     log = stores.rule_store(spark, f"{root}/rules")

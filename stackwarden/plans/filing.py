@@ -89,8 +89,11 @@ def enrich_missing(assets: DataFrame, cache: DataFrame, encoder: Encoder, schema
     """Vectors for the file versions the cache (fingerprint, vec) does not hold yet. The encoder maps
     batches with the assets' columns and fingerprint to batches of the given schema."""
     a = assets.withColumn("fingerprint", cache_fingerprint("path", "mtime", "size"))
-    # versions are picked by narrow keys; contents and texts meet the picked ids only, and are never grouped or sorted
-    todo = (a.select("fingerprint", "asset_id").join(cache.select("fingerprint"), "fingerprint", "left_anti")
+    known = cache.select("fingerprint")
+    if "asset_id" not in a.columns:  # a plain listing: nothing wide to spare
+        return a.join(known, "fingerprint", "left_anti").dropDuplicates(["fingerprint"]).mapInPandas(encoder, schema)
+    # versions are picked by narrow keys; contents and texts meet the picked ids only and are never grouped
+    todo = (a.select("fingerprint", "asset_id").join(known, "fingerprint", "left_anti")
             .groupBy("fingerprint").agg(F.min("asset_id").alias("asset_id")).select("asset_id"))
     return a.join(todo, "asset_id", "left_semi").mapInPandas(encoder, schema)
 

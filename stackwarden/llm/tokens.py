@@ -30,7 +30,7 @@ def library_encoder(path: str) -> ChunkEncoder:
         out: list[bytes | None] = [None] * len(texts)
         for at in range(0, len(lines), LINES_AT_ONCE):
             part = lines[at:at + LINES_AT_ONCE]
-            ids = t.encode("\n".join([texts[i] for i in part]), add_special_tokens=False).ids
+            ids = t.encode_batch_fast(["\n".join([texts[i] for i in part])], add_special_tokens=False)[0].ids
             ids = np.array(ids, dtype="<u4")
             ends = np.flatnonzero(ids == line_end).tolist() + [len(ids)]
             if len(ends) != len(part):
@@ -41,7 +41,7 @@ def library_encoder(path: str) -> ChunkEncoder:
                 begin = end + 1
         rest = [i for i, x in enumerate(out) if x is None]
         if rest:
-            for i, e in zip(rest, t.encode_batch([texts[i] for i in rest], add_special_tokens=False)):
+            for i, e in zip(rest, t.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False)):
                 out[i] = np.array(e.ids, dtype="<u4").tobytes()
         return out
 

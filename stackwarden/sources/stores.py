@@ -21,6 +21,21 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def committed(spark: SparkSession, root: str) -> list[str]:
+    """Names of the folders below root whose commit marker is there."""
+    if not _exists(spark, root):
+        return []
+    fs, p = _fs(spark, root)
+    names = sorted(s.getPath().getName() for s in fs.listStatus(p))
+    return [n for n in names if _exists(spark, f"{root}/{n}/_SUCCESS")]
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        fs, p = _fs(spark, path)
+        fs.delete(p, True)
+
+
 class ExemplarStore:
     """Versions below one folder. A version counts once its commit marker is there, so a reader sees the
     old state or the new one, never a half-written one, on file systems without atomic renames too."""
@@ -29,11 +44,7 @@ class ExemplarStore:
         self.spark, self.root = spark, root.rstrip("/")
 
     def versions(self) -> list[str]:
-        if not _exists(self.spark, self.root):
-            return []
-        fs, p = _fs(self.spark, self.root)
-        names = sorted(s.getPath().getName() for s in fs.listStatus(p))
-        return [n for n in names if n.startswith("v-") and _exists(self.spark, f"{self.root}/{n}/_SUCCESS")]
+        return [n for n in committed(self.spark, self.root) if n.startswith("v-")]
 
     def load(self) -> DataFrame:
         """The current vectors. Centroids are always computed from them, so they cannot be stale."""
@@ -47,9 +58,7 @@ class ExemplarStore:
         S.conform(store, S.EXEMPLARS).write.partitionBy("modality").parquet(f"{self.root}/{name}")
 
     def drop_old(self, keep: int = 2) -> None:
-        for n in self.versions()[:-keep]:
-            fs, p = _fs(self.spark, f"{self.root}/{n}")
-            fs.delete(p, True)
+        remove(self.spark, [f"{self.root}/{n}" for n in self.versions()[:-keep]])
 
 
 class Log:

@@ -129,6 +129,23 @@ def test_streams_over_several_batches(spark):
     assert {r.asset_id: r.first_id for r in found.collect()} == {2: 1, 4: 3, 6: 5, 7: 1}
 
 
+def test_late_moves_count_and_logs_are_merged(spark, monkeypatch):
+    monkeypatch.setattr(arrivals.BatchLog, "COMPACT_EVERY", 2)
+    root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    schema = "move_id long, ts timestamp, folder string"
+    for k in range(7):
+        day = "2020-01-01" if k == 5 else f"2024-01-{k + 1:02d}"
+        part = [(k, "A"), (max(0, k - 2), "A"), (100 + k, "B")]
+        df = spark.createDataFrame(part, "move_id long, folder string").withColumn("ts", F.lit(day).cast("timestamp"))
+        df.select("move_id", "ts", "folder").coalesce(1).write.mode("append").parquet(f"{root}/moves")
+        s = spark.readStream.schema(schema).parquet(f"{root}/moves")
+        arrivals.count_folders(s, f"{root}/counts", f"{root}/cp", {"availableNow": True}).awaitTermination()
+    assert {r.folder: r.used_count for r in arrivals.current_counts(spark, f"{root}/counts").collect()} == {"A": 7, "B": 7}
+    left = stores.committed(spark, f"{root}/counts/log")
+    assert [n for n in left if n.startswith("base")] == ["base-000000000004", "base-000000000006"]
+    assert min(n for n in left if n.startswith("batch")) == "batch-000000000004"
+
+
 def test_top_rows_are_cut_before_the_shuffle(spark):
     df = spark.range(1000).select((F.col("id") % 3).alias("g"), "id")
     plan = top_per_group(df, ["g"], [F.col("id").desc()], 5)._jdf.queryExecution().executedPlan().toString()

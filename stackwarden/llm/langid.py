@@ -89,7 +89,8 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
     sample = d.select("doc_id", "lang").withColumn("k", rank).filter(F.col("k") <= per_language).select(
         F.col("doc_id").alias("sample_id"), F.col("lang").alias("sample_lang")).distinct()
-    texts = d.join(sample, (F.col("doc_id") == F.col("sample_id")) & (F.col("lang") == F.col("sample_lang"))).select("lang", "text")
+    # bounded: per_language rows for each language code
+    texts = d.join(F.broadcast(sample), (F.col("doc_id") == F.col("sample_id")) & (F.col("lang") == F.col("sample_lang"))).select("lang", "text")
 
     def make():
         def apply(b: pa.RecordBatch) -> pa.RecordBatch:

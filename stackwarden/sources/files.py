@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.paths import has_extension, kind_of, training_label, unify_separators
+from ..operators.duplicates import with_quick_hash
 from ..operators.ranking import global_position
 
 
@@ -45,6 +46,19 @@ def numbered(files: DataFrame) -> DataFrame:
     return global_position(files, [F.col("path").asc()], "asset_id").withColumn("kind", kind_of("path"))
 
 
+def hashed(spark: SparkSession, folders: Iterable[str], recursive: bool = True) -> DataFrame:
+    """asset_id, path, size, mtime, kind, quick_hash and digest of all files: hashed in the scan that reads them, so
+    that numbering sorts hashes and no bytes leave the scan."""
+    return numbered(with_quick_hash(contents(spark, folders, recursive)))
+
+
+def unreadable(spark: SparkSession, folders: Iterable[str], read: DataFrame, recursive: bool = True,
+               min_bytes: int = K.SCAN_MIN_BYTES) -> DataFrame:
+    """Audit: listed files of min_bytes or more that are not among those read (path)."""
+    listed = listing(spark, folders, recursive).filter(F.col("size") >= min_bytes)
+    return listed.join(read.select("path").distinct(), "path", "left_anti")
+
+
 def scan_for_duplicates(spark: SparkSession, folders: Iterable[str]) -> DataFrame:
     """Pictures, documents and videos of at least 1 KiB below the folders."""
     raw = _binary(spark, folders, True).filter(F.col("length") >= K.SCAN_MIN_BYTES)

@@ -68,6 +68,16 @@ def test_text_and_sheet_assembly(spark):
     assert texts.assemble_sheets(c).first().text == "[Feuille: S]\nx | y\n[Feuille: T]"
 
 
+def test_hashed_files_leave_their_bytes_in_the_scan(spark, tree):
+    h = files.hashed(spark, [tree])
+    assert "content" not in h.columns
+    a = files.numbered(files.contents(spark, [tree]))
+    want = {(g.n_members, g.digest) for g in duplicates.exact_duplicates(a).select("n_members", F.col("rep_hash").alias("digest")).collect()}
+    assert {(g.n_members, g.rep_hash) for g in duplicates.exact_duplicates(h).collect()} == want
+    assert files.unreadable(spark, [tree], h).count() == 0
+    assert files.unreadable(spark, [tree], h.limit(1)).count() == h.count() - 1
+
+
 def test_stores(spark):
     root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     store = stores.ExemplarStore(spark, f"{root}/ex")

@@ -12,9 +12,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from .components import components
 
 # Up to this many open edges the rest is settled in one task.
 EDGES_PER_TASK = 500_000
+# After so many rounds what is still open is cut into connected components, each settled in a task of its own.
+ROUNDS = 4
 
 
 def _covered_in_order(batches):
@@ -28,9 +31,13 @@ def _covered_in_order(batches):
 
 
 def covered_items(edges: DataFrame, edges_per_task: int = EDGES_PER_TASK) -> DataFrame | None:
-    """Ids that have a leader among their smaller neighbours; None if there are no edges."""
+    """Ids that have a leader among their smaller neighbours; None if there are no edges.
+
+    Chains of near items (frames of a video, say) would take a round per link, so after ROUNDS rounds components of
+    bounded size are settled side by side. Only a single component above the bound goes on in rounds."""
     open_edges = edges.select("lo", "hi")
     parts = []
+    rounds = 0
     while True:
         n = open_edges.count()
         if n == 0:
@@ -38,6 +45,11 @@ def covered_items(edges: DataFrame, edges_per_task: int = EDGES_PER_TASK) -> Dat
         if n <= edges_per_task:
             parts.append(open_edges.coalesce(1).mapInPandas(_covered_in_order, "id long"))
             break
+        rounds += 1
+        if rounds == ROUNDS:
+            settled, open_edges = _settle_components(open_edges, edges_per_task)
+            parts.append(settled)
+            continue
         has_smaller = open_edges.select(F.col("hi").alias("lo")).distinct()
         led = open_edges.join(has_smaller, "lo", "left_anti").select(F.col("hi").alias("id")).distinct()
         led = cut_lineage(led)
@@ -54,6 +66,20 @@ def covered_items(edges: DataFrame, edges_per_task: int = EDGES_PER_TASK) -> Dat
     return out
 
 
+def _settle_components(edges: DataFrame, edges_per_task: int) -> tuple[DataFrame, DataFrame]:
+    """Covered ids of all components of at most edges_per_task edges, and the edges of larger ones."""
+    roots = components(edges.select(F.col("lo").alias("a"), F.col("hi").alias("b")))
+    placed = cut_lineage(edges.join(roots, F.col("hi") == F.col("node")).select("lo", "hi", "root"))  # hi is never a root
+    large = placed.groupBy("root").count().filter(F.col("count") > edges_per_task).select("root")
+    small = placed.join(large, "root", "left_anti")
+
+    def settle(group: pd.DataFrame) -> pd.DataFrame:
+        return next(_covered_in_order([group[["lo", "hi"]]]))
+
+    return (cut_lineage(small.groupBy("root").applyInPandas(settle, "id long")),
+            cut_lineage(placed.join(large, "root", "left_semi").select("lo", "hi")))
+
+
 def elect(nodes: DataFrame, edges: DataFrame, edges_per_task: int = EDGES_PER_TASK) -> DataFrame:
     """(id, leader) for every node. Edges (lo, hi) should be cut from their lineage by the caller."""
     covered = covered_items(edges, edges_per_task)

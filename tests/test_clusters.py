@@ -88,3 +88,18 @@ def test_hamming_plan_has_no_cross_join(spark):
     df = spark.range(100).select("id", F.xxhash64("id").alias("code"), F.lit(3).alias("radius"))
     plan = hamming.radius_pairs(df)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_long_chains_take_few_rounds(spark, monkeypatch):
+    """Chains of 3,000 links, some with side branches: by rounds alone each would take 1,500."""
+    rounds = []
+    cut = leaders.cut_lineage
+    monkeypatch.setattr(leaders, "cut_lineage", lambda df: rounds.append(1) or cut(df))
+    edges = [(c * 10_000 + i, c * 10_000 + i + 1) for c in range(3) for i in range(3000)] + [(5, 7), (20_001, 20_050)]
+    df = spark.createDataFrame(edges, "lo long, hi long")
+    got = {r.id for r in leaders.covered_items(df, edges_per_task=4000).collect()}
+    want = set()
+    for lo, hi in sorted(edges, key=lambda e: (e[1], e[0])):
+        if lo not in want:
+            want.add(hi)
+    assert got == want and len(rounds) < 12

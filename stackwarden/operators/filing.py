@@ -80,7 +80,7 @@ def filename_category(name) -> Column:
     """Category of the first file name pattern that fits."""
     out = None
     for pattern, category in K.FILENAME_PATTERNS:
-        cond = _c(name).rlike("(?iuU)" + pattern)
+        cond = _c(name).rlike("(?iudU)" + pattern)
         out = F.when(cond, category) if out is None else out.when(cond, category)
     return out
 
@@ -123,6 +123,12 @@ def with_learned(df: DataFrame, rules: DataFrame, signature: Column, name: str)
     return df.withColumn("_sig", signature).join(r, "_sig", "left").drop("_sig")
 
 
+def known_signatures() -> list[str]:
+    """All signatures under which a folder can be learned for the cascade."""
+    hints = {category for _, category in K.FILENAME_PATTERNS} | {"Photos", "Screenshots"}
+    return [f"keyword:{c}" for c in K.KEYWORD_PATTERNS] + ["chart_trading"] + [f"heur:{c}" for c in sorted(hints)]
+
+
 def all_folder_names(*sources: DataFrame) -> DataFrame:
     """Names of used, learned and existing folders together."""
     out = sources[0].select("folder")

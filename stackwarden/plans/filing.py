@@ -5,16 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.hashing import cache_fingerprint
 from ..functions.paths import file_name, is_document, join_folder
-from ..functions.text import has_text, passage_input
+from ..functions.text import has_text, passage_input, tag_input
 from ..operators import exemplars as X
 from ..operators.duplicates import all_but_largest
-from ..operators.filing import cascade, picture_hint, with_keyword_category, with_learned
+from ..operators.filing import cascade, known_signatures, picture_hint, with_keyword_category, with_learned
 from ..operators.folder_match import match_known_folders
 from ..operators.keywords import frequent_words, image_tags
 from ..operators.moves import free_names
@@ -56,6 +56,8 @@ def suggest_folders(
             "sem_conf", F.lit(None).cast("double")).withColumn("sem_reason", F.lit(None).cast("string"))
     a = a.join(fuzzy, "asset_id", "left")
     a = a.join(charts, "asset_id", "left") if charts is not None else a.withColumn("is_chart", F.lit(False))
+    # only signatures of this list can match, so at most as many rules are broadcast
+    rules = F.broadcast(rules.filter(F.col("pattern").isin(known_signatures())))
     a = with_learned(a, rules, F.concat(F.lit("keyword:"), "keyword_category"), "rule_keyword")
     a = with_learned(a, rules, F.lit("chart_trading"), "rule_chart")
     a = with_learned(a, rules, F.concat(F.lit("heur:"), F.col("hint.category")), "rule_hint")
@@ -98,6 +100,14 @@ def enrich_missing(assets: DataFrame, cache: DataFrame, encoder: Encoder, schema
     return a.join(todo, "asset_id", "left_semi").mapInPandas(encoder, schema)
 
 
+def tag_vectors(spark: SparkSession, encoder: Encoder, tags: list[str] | None = None) -> DataFrame:
+    """(tag, tag_ord, vec) of the candidate tags by the caller's encoder, which maps (tag, tag_ord, model_input) batches
+    to (tag, tag_ord, vec). Write the result to a store: the tags do not change between runs."""
+    rows = [(t, i) for i, t in enumerate(K.TAGS if tags is None else tags)]
+    named = spark.createDataFrame(rows, "tag string, tag_ord int").withColumn("model_input", tag_input("tag"))
+    return named.mapInPandas(encoder, "tag string, tag_ord int, vec array<float>")
+
+
 def seed_folder_names(store: DataFrame, folders: DataFrame, encoder: Encoder) -> DataFrame:
     """Text examples out of the names of folders that have no text example yet. The encoder maps
     (folder, model_input) batches to (folder, vec)."""

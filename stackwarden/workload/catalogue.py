@@ -541,6 +541,13 @@ def _(spark, d):
     return plan_group.clusters_by_size(_mixed(spark, d)).select("cluster_id", "n_items")
 
 
+@query("cluster_pages", f"""SELECT cluster_id, n_items, pos AS position, pos // {K.CLUSTERS_PER_PAGE} + 1 AS page_no FROM
+    (SELECT cluster_id, count(*) AS n_items, row_number() OVER (ORDER BY count(*) DESC, cluster_id) - 1 AS pos FROM mixed GROUP BY cluster_id)""")
+def _(spark, d):
+    c = _mixed(spark, d).groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n_items"))
+    return ranking.page_of(c, [F.col("n_items").desc(), F.col("cluster_id").asc()], K.CLUSTERS_PER_PAGE).select("cluster_id", "n_items", "position", "page_no")
+
+
 @query("cluster_previews", """SELECT cluster_id, n AS n_items, string_agg(name, ', ' ORDER BY pos) FILTER (pos <= 3) || CASE WHEN n > 3 THEN ', ... (+' || (n - 3) || ')' ELSE '' END AS preview,
     string_agg(asset_id, ',' ORDER BY pos) FILTER (pos <= 6) AS first_ids FROM (SELECT cluster_id, asset_id, regexp_extract(path, '[^/]+$') AS name,
         row_number() OVER (PARTITION BY cluster_id ORDER BY asset_id) AS pos, count(*) OVER (PARTITION BY cluster_id) AS n FROM mixed) GROUP BY cluster_id, n""")

@@ -164,3 +164,13 @@ def test_bytes_and_texts_stay_out_of_groups(spark):
         for line in plan.split("\n"):
             if re.search(r"HashAggregate|SortAggregate|Sort ", line):
                 assert "content" not in line and "text#" not in line, line
+
+
+def test_candidate_tags_are_encoded_in_order(spark):
+    def encoder(batches):
+        for b in batches:
+            assert all(x == "a photo of " + t for x, t in zip(b["model_input"], b["tag"]))
+            yield b[["tag", "tag_ord"]].assign(vec=[[float(i)] for i in b["tag_ord"]])
+
+    got = plan_filing.tag_vectors(spark, encoder).orderBy("tag_ord").collect()
+    assert [r.tag for r in got] == list(K.TAGS) and [r.vec for r in got] == [[float(i)] for i in range(len(K.TAGS))]

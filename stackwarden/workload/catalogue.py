@@ -167,10 +167,13 @@ def _size_sql(c: str) -> str:
             f"WHEN {c} < 1073741824 THEN printf('%.1f Mo', {c} / 1024 / 1024) ELSE printf('%.2f Go', {c} / 1024 / 1024 / 1024) END")
 
 
-@query("asset_details", f"""SELECT asset_id, regexp_extract(path, '[^/]+$') AS name, upper(kind) AS type, {_size_sql('size')} AS size_label,
-    strftime(mtime, '%Y-%m-%d %H:%M') AS modified, '-' AS resolution FROM assets""")
+@query("asset_details", f"""SELECT asset_id, regexp_extract(path, '[^/]+$') AS name, CASE WHEN asset_id % 4 = 0 THEN 'IMAGE' ELSE upper(kind) END AS type,
+    {_size_sql('size')} AS size_label, strftime(mtime, '%Y-%m-%d %H:%M') AS modified,
+    CASE WHEN asset_id % 8 = 0 THEN (640 + asset_id % 7) || ' x ' || (480 + asset_id % 5) ELSE '-' END AS resolution FROM assets""")
 def _(spark, d):
-    a = V.assets(spark, d).withColumn("width", F.lit(None).cast("int")).withColumn("height", F.lit(None).cast("int"))
+    i = F.col("asset_id")  # every fourth is shown as a picture, every other of these with its dimensions
+    a = V.assets(spark, d).withColumn("kind", F.when(i % 4 == 0, "image").otherwise(F.col("kind"))).withColumn(
+        "width", F.when(i % 8 == 0, 640 + i % 7)).withColumn("height", F.when(i % 8 == 0, 480 + i % 5))
     return a.select("asset_id", *display.detail_columns("path", "kind", "size", "mtime", "width", "height"))
 
 

@@ -73,13 +73,18 @@ def votes(rules=tuple(RULES)) -> list[Column]:
 
 
 def _terms(rules, p: dict[str, float]) -> tuple[str, str]:
-    """Likelihood of the votes for good and for bad texts, as SQL."""
-    good, bad = [repr(p["prior"]) + "D"], [repr(1 - p["prior"]) + "D"]
-    for name, *_ in rules:
-        g, b = p[f"good_{name}"], p[f"bad_{name}"]
-        good.append(f"CASE v_{name} WHEN 1 THEN {g!r}D WHEN -1 THEN {1 - g!r}D ELSE 1D END")
-        bad.append(f"CASE v_{name} WHEN -1 THEN {b!r}D WHEN 1 THEN {1 - b!r}D ELSE 1D END")
-    return " * ".join(good), " * ".join(bad)
+    """Likelihood of the votes for good and for bad texts, as SQL. A vote picks its factor out of an array, which
+    generated code holds as data: so the rounds of the estimation share their compiled code."""
+    terms = []
+    for side, prior in (("good", p["prior"]), ("bad", 1 - p["prior"])):
+        each = []
+        for j, (name, *_) in enumerate(rules):
+            right = p[f"{side}_{name}"]
+            factors = [1 - right, 1.0, right] if side == "good" else [right, 1.0, 1 - right]
+            factors = [prior * x for x in factors] if j == 0 else factors
+            each.append(f"array({', '.join(repr(x) + 'D' for x in factors)})[v_{name} + 1]")
+        terms.append(" * ".join(each))
+    return terms[0], terms[1]
 
 
 def posterior(p: dict[str, float], rules=tuple(RULES)) -> Column:

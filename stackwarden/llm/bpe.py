@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .chunks import WHITE, ChunkEncoder
-from .common import id_and_text, over_batches
+from .common import hold, id_and_text, over_batches
 
 KEPT_STATES = 200_000
 BLOCK_TOKENS = 4096
@@ -229,6 +229,7 @@ def token_bytes(path: str) -> dict[int, bytes]:
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     def make():
+        hold("bpe", encoder.cache_clear)
         own = encoder(ranks_path, pattern)
 
         def apply(b: pa.RecordBatch) -> pa.RecordBatch:

@@ -12,6 +12,19 @@ from ..session import tune
 
 # Rows handed to Python at once. Documents are long, so a batch stays a few megabytes.
 BATCH_ROWS = 256
+BATCH_BYTES = "16m"
+
+
+_held: list = ["", None]
+
+
+def hold(owner: str, release: Callable[[], None] | None = None) -> None:
+    """Called by tasks. A worker process serves one stage after another; what the operator before has cached in it is
+    let go when another one starts."""
+    if _held[0] != owner:
+        if _held[1] is not None:
+            _held[1]()
+        _held[:] = [owner, release]
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -19,6 +32,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(rows, "10000")) <= BATCH_ROWS:
         spark.conf.set(rows, str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return spark
 
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_and_text, over_batches
+from .common import hold, id_and_text, over_batches
 
 N_BUCKETS = 1 << 15
 PER_LANGUAGE = 2000
@@ -122,6 +122,7 @@ def predict(docs: DataFrame, model: Model, *carried: str) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
+        hold("langid")
         own = held.value
 
         def apply(b: pa.RecordBatch) -> pa.RecordBatch:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import id_and_text
+from .common import hold, id_and_text
 from .tokens import library_encoder
 
 TIERS = (256, 512, 1024, 2048)
@@ -128,6 +128,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, tiers: tuple[int
     tail = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("tokens", library_encoder.cache_clear)
         encoder = library_encoder(tokenizer_path)
         context = TaskContext.get()
         packer = Packer(context.partitionId() if context else 0, tiers, group_tokens)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import id_and_text, over_batches
+from .common import hold, id_and_text, over_batches
 from .components import components
 
 WORDS = 3
@@ -62,6 +62,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, fp (the 64 bits as a signed long)."""
 
     def make():
+        hold("simhash")
+
         def apply(b: pa.RecordBatch) -> pa.RecordBatch:
             fp = np.array([fingerprint(t) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
             return pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], ["doc_id", "fp"])

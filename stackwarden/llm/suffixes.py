@@ -41,9 +41,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import fresh_path
+from .common import hold
 
 GRAM = 16
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 SEGMENT = 1 << 20
 DENSE = 64
 BUCKETS_PER_PARTITION = 4
@@ -368,7 +369,7 @@ def merge_bucket(runs: list[bytes], length: int) -> list[bytes]:
 def cut_block(raw: bytes, ends: np.ndarray, own: bytes, answers: list[tuple[int, bytes]], length: int) -> np.ndarray:
     """Which bytes of the block go."""
     p, bucket_of, pair_of, local = (np.frombuffer(x, np.int64) for x in _unpack(own))
-    edge = np.zeros(len(raw) + 1, np.int64)
+    edge = np.zeros(len(raw) + 1, np.int32)
 
     def mark(first, last):  # windows first..last
         np.add.at(edge, first, 1)
@@ -387,7 +388,7 @@ def cut_block(raw: bytes, ends: np.ndarray, own: bytes, answers: list[tuple[int,
         which = np.repeat(np.arange(len(rows)), n)
         at = p[order[np.repeat(first - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())]] if n.sum() else np.zeros(0, np.int64)
         mark(at - rows[which, 2], at - rows[which, 1])
-    return np.cumsum(edge)[:-1] > 0
+    return np.cumsum(edge, dtype=np.int32)[:-1] > 0
 
 
 # --- the job ------------------------------------------------------------------------------------
@@ -395,6 +396,7 @@ def _blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
     rest = [docs[c] for c in docs.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("suffixes")
         context = TaskContext.get()
         number = (context.partitionId() if context else 0) << 32
         texts, rows, size = [], [], 0
@@ -436,6 +438,7 @@ def _shared_keys(blocks: DataFrame, length: int) -> DataFrame:
     """block, known: the half hashes that the block shares with others, one row per block."""
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("suffixes")
         for b in batches:
             for block, raw, ends in zip(*(c.to_pylist() for c in b.columns)):
                 raw, ends = _open(raw, ends)
@@ -470,6 +473,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, block_bytes: int = BLOCK_
     blocks = spark.read.schema(made.schema).parquet(f"{here}/blocks")
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("suffixes")
         for b in batches:
             for block, raw, ends, known in zip(*(c.to_pylist() for c in b.columns)):
                 raw, ends = _open(raw, ends)

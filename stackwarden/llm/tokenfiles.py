@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import id_and_text, over_batches
+from .common import hold, id_and_text, over_batches
 from .tokens import library_encoder
 
 ROW_GROUP_BYTES = 32 << 20
@@ -32,6 +32,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     tail = end_id.to_bytes(4, "little")
 
     def make():
+        hold("tokens", library_encoder.cache_clear)
         encoder = library_encoder(tokenizer_path)
 
         def apply(b: pa.RecordBatch) -> pa.RecordBatch:

@@ -86,8 +86,11 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     """docs: doc_id, text, lang. Held-out documents and those without id or language are not used."""
     d = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"), docs["lang"].alias("lang"))
     d = d.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
+    # of a large language only the smallest hashes go to the window: about four times as many as it takes
+    n = F.broadcast(d.groupBy(F.col("lang").alias("of")).agg(F.count("*").alias("n")))  # a row per language code
+    small = (F.xxhash64("doc_id") / F.lit(2.0 ** 64) + 0.5) * F.col("n") <= 4 * per_language
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    sample = d.select("doc_id", "lang").withColumn("k", rank).filter(F.col("k") <= per_language).select(
+    sample = d.select("doc_id", "lang").join(n, F.col("lang") == F.col("of")).filter(small).withColumn("k", rank).filter(F.col("k") <= per_language).select(
         F.col("doc_id").alias("sample_id"), F.col("lang").alias("sample_lang")).distinct()
     # bounded: per_language rows for each language code
     texts = d.join(F.broadcast(sample), (F.col("doc_id") == F.col("sample_id")) & (F.col("lang") == F.col("sample_lang"))).select("lang", "text")

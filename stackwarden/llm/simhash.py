@@ -26,9 +26,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import components
 from ..session import cut_lineage
 from .common import hold, id_and_text, over_batches
-from .components import components
 
 WORDS = 3
 SEED = 42

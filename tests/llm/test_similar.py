@@ -7,8 +7,8 @@ import numpy as np
 import xxhash
 
 from stackwarden.llm import langid, simhash
-from stackwarden.llm.components import components
 from stackwarden.llm.queries import QUERIES
+from stackwarden.operators.components import components
 
 
 def plain_fingerprint(text):

@@ -61,3 +61,16 @@ def over_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa
                 yield apply(b)
 
     return df.mapInArrow(run, schema)
+
+
+def one_of_each(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """rows: row, rid, doc_id, text_hash, node; roots: node, root (missing: itself). Of each component the row with the
+    smallest doc_id stays, and one of those without doc_id. Rows are told apart by rid, so a doc_id that stands on
+    texts of several components loses none of them."""
+    placed = rows.select("rid", "doc_id", "text_hash", "node").join(
+        roots.select(F.col("node").alias("of"), "root"), F.col("node") == F.col("of"), "left").select(
+        "rid", "doc_id", "text_hash", F.coalesce("root", "node").alias("root"))
+    stay = placed.groupBy("root", F.col("doc_id").isNull().alias("nameless")).agg(
+        F.min(F.struct("doc_id", "text_hash", "rid")).alias("first")).select(F.col("first.rid").alias("stay"))
+    gone = placed.join(stay, F.col("rid") == F.col("stay"), "left_anti").select(F.col("rid").alias("gone"))
+    return rows.join(gone, F.col("rid") == F.col("gone"), "left_anti").select("row.*")

@@ -152,6 +152,74 @@ def half_hashes(raw: bytes, anchors: np.ndarray, length: int) -> tuple[np.ndarra
     return keys.view(np.int64), right, left
 
 
+# --- passages by words --------------------------------------------------------------------------
+_table = np.random.Generator(np.random.PCG64(7)).integers(0, 1 << 64, 256, np.uint64)
+_BASE = 0x9E3779B97F4A7C15
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+WORD_GRAM = 4
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    return np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n, base, np.uint64))), dtype=np.uint64)
+
+
+class Passages:
+    """Windows of `words` words in the texts of a block: first and end (bytes), key, and of each the half that lies on
+    the longer side of its anchor, the word where the smallest hash of four words begins. Equal windows have equal
+    halves, and there is one anchor for about half a window of words, so halves are few."""
+
+    def __init__(self, a: np.ndarray, ends: np.ndarray, words: int):
+        space = _SPACE[a]
+        cut = np.zeros(len(a) + 1, bool)
+        cut[np.concatenate(([0], ends))] = True
+        self.start = np.flatnonzero(~space & (np.concatenate(([True], space[:-1])) | cut[:-1]))
+        self.stop = np.flatnonzero(~space & (np.concatenate((space[1:], [True])) | cut[1:])) + 1
+        text = np.searchsorted(ends, self.start, side="right")
+        n = len(self.start) - words + 1
+        i = np.flatnonzero(text[:n] == text[words - 1:]) if n > 0 else np.zeros(0, np.int64)
+        self.first, self.end = self.start[i], self.stop[i + words - 1]
+        self.key, self.half_of, self.half_key = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if not len(i):
+            return
+        self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_table[a] * _powers(_BASE, len(a))[:-1], dtype=np.uint64)))
+        self.back = _powers(pow(_BASE, -1, 1 << 64), len(a))
+        m = np.arange(len(self.start) - WORD_GRAM + 1)
+        low = np.uint64((1 << len(m).bit_length()) - 1)
+        m = self._hash(m, m + WORD_GRAM - 1, 1) & ~low | m.astype(np.uint64)
+        width, span = words - WORD_GRAM + 1, 1
+        while 2 * span <= width:
+            m = np.minimum(m[:-span], m[span:])
+            span *= 2
+        if span < width:
+            m = np.minimum(m[:span - width], m[width - span:])
+        p = (m & low).astype(np.int64)[i]
+        half = words // 2
+        right = p - i <= words - 1 - half
+        code, self.half_of = np.unique(2 * p + right, return_inverse=True)
+        p, right = code >> 1, code & 1
+        u, v = np.where(right, p, p + WORD_GRAM - 1 - half), np.where(right, p + half, p + WORD_GRAM - 1)
+        self.half_key = np.where(right, self._hash(u, v, 2), self._hash(u, v, 3)).view(np.int64)
+        self.key = self._hash(i, i + words - 1, 4).view(np.int64)
+        del self.sums, self.back
+
+    def _hash(self, i: np.ndarray, j: np.ndarray, seed: int) -> np.ndarray:
+        """Of the bytes from word i to the end of word j."""
+        x = (self.sums[self.stop[j]] - self.sums[self.start[i]]) * self.back[self.start[i]] + np.uint64(seed)
+        for shift, factor in ((32, 0xD6E8FEB86659FD93), (29, 0xC2B2AE3D27D4EB4F)):
+            x = (x ^ x >> np.uint64(shift)) * np.uint64(factor)
+        return x ^ x >> np.uint64(32)
+
+    def candidates(self, known: np.ndarray) -> np.ndarray:
+        """Indices of windows whose half occurs again, here or in other blocks."""
+        return np.flatnonzero(_again(self.half_key, known)[self.half_of]) if len(self.half_of) else self.half_of
+
+
+def _again(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which keys occur twice or are known."""
+    _, of, n = np.unique(keys, return_inverse=True, return_counts=True)
+    return (n > 1)[of] | np.isin(keys, known)
+
+
 # --- sorted runs --------------------------------------------------------------------------------
 def shared(a: bytes, b: bytes, known: int = 0) -> int:
     """Length of the common prefix; the first `known` bytes are not looked at."""
@@ -391,6 +459,16 @@ def cut_block(raw: bytes, ends: np.ndarray, own: bytes, answers: list[tuple[int,
     return np.cumsum(edge, dtype=np.int32)[:-1] > 0
 
 
+def cut_passages(raw: bytes, ends: np.ndarray, known: np.ndarray, words: int) -> np.ndarray:
+    """Which bytes of the block go because a passage of so many words occurs again."""
+    p = Passages(np.frombuffer(raw, np.uint8), ends, words)
+    on = _again(p.key, known) if len(p.key) else np.zeros(0, bool)
+    edge = np.zeros(len(raw) + 1, np.int32)
+    np.add.at(edge, p.first[on], 1)
+    np.add.at(edge, p.end[on], -1)
+    return np.cumsum(edge, dtype=np.int32)[:-1] > 0
+
+
 # --- the job ------------------------------------------------------------------------------------
 def _blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
     rest = [docs[c] for c in docs.columns if c != "text"]
@@ -434,19 +512,9 @@ def _open(raw, ends) -> tuple[bytes, np.ndarray]:
     return zstandard.ZstdDecompressor().decompress(raw), np.frombuffer(ends, np.int64)
 
 
-def _shared_keys(blocks: DataFrame, length: int) -> DataFrame:
-    """block, known: the half hashes that the block shares with others, one row per block."""
-
-    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hold("suffixes")
-        for b in batches:
-            for block, raw, ends in zip(*(c.to_pylist() for c in b.columns)):
-                raw, ends = _open(raw, ends)
-                anchors, _ = anchors_of(np.frombuffer(raw, np.uint8), ends, length)
-                if len(anchors):
-                    keys, right, left = half_hashes(raw, anchors, length)
-                    one = np.unique(np.concatenate((keys[0, right], keys[1, left])))
-                    yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(np.full(len(one), block))], ["key", "block"])
+def _known(keys: DataFrame) -> DataFrame:
+    """keys: key, block (each pair once). Returns of, known: the keys that a block shares with others, one row per
+    block."""
 
     def common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
@@ -458,14 +526,39 @@ def _shared_keys(blocks: DataFrame, length: int) -> DataFrame:
             on = np.concatenate((same, [False])) | np.concatenate(([False], same))
             yield pa.RecordBatch.from_arrays([pa.array(key[on]), pa.array(block[on])], ["key", "block"])
 
-    return (blocks.select("block", "raw", "ends").mapInArrow(hashes, "key long, block long").repartition("key")
-            .mapInArrow(common, "key long, block long").groupBy(F.col("block").alias("of")).agg(F.sort_array(F.collect_list("key")).alias("known")))
+    return (keys.repartition("key").mapInArrow(common, "key long, block long")
+            .groupBy(F.col("block").alias("of")).agg(F.sort_array(F.collect_list("key")).alias("known")))
+
+
+def _shared_keys(blocks: DataFrame, length: int, words: int | None) -> DataFrame:
+    """of, known: the half hashes that the block shares with others, one row per block."""
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("suffixes")
+        for b in batches:
+            for block, raw, ends in zip(*(c.to_pylist() for c in b.columns)):
+                raw, ends = _open(raw, ends)
+                a = np.frombuffer(raw, np.uint8)
+                anchors, _ = anchors_of(a, ends, length)
+                keys = [Passages(a, ends, words).half_key] if words else []
+                if len(anchors):
+                    k, right, left = half_hashes(raw, anchors, length)
+                    keys += [k[0, right], k[1, left]]
+                one = np.unique(np.concatenate([np.zeros(0, np.int64), *keys]))
+                if len(one):
+                    yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(np.full(len(one), block))], ["key", "block"])
+
+    return _known(blocks.select("block", "raw", "ends").mapInArrow(hashes, "key long, block long"))
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 400, block_bytes: int = BLOCK_BYTES, words: int | None = None) -> DataFrame:
+    """words: passages of so many words (runs of other bytes than ASCII white space) that occur again go too, however
+    few bytes they have."""
     spark = docs.sparkSession
     if length < 4 * GRAM:
         raise ValueError(f"length must be {4 * GRAM} or more")
+    if words is not None and words < 4 * WORD_GRAM:
+        raise ValueError(f"words must be {4 * WORD_GRAM} or more")
     buckets = BUCKETS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
     here = fresh_path(spark, "suffixes")
     made = _blocks(docs, block_bytes)
@@ -477,10 +570,15 @@ def remove_repeats(docs: DataFrame, length: int = 400, block_bytes: int = BLOCK_
         for b in batches:
             for block, raw, ends, known in zip(*(c.to_pylist() for c in b.columns)):
                 raw, ends = _open(raw, ends)
-                for bucket, data in runs_of_block(raw, ends, np.array(known or [], np.int64), length, buckets):
+                known = np.array(known or [], np.int64)
+                made = list(runs_of_block(raw, ends, known, length, buckets))
+                if words:
+                    p = Passages(np.frombuffer(raw, np.uint8), ends, words)
+                    made.append((-2, _ints(np.unique(p.key[p.candidates(known)]))))
+                for bucket, data in made:
                     yield pa.RecordBatch.from_arrays([pa.array([bucket]), pa.array([block]), pa.array([data], pa.binary())], ["bucket", "block", "data"])
 
-    keyed = blocks.join(_shared_keys(blocks, length), F.col("block") == F.col("of"), "left").select("block", "raw", "ends", "known")
+    keyed = blocks.join(_shared_keys(blocks, length, words), F.col("block") == F.col("of"), "left").select("block", "raw", "ends", "known")
     sent = keyed.mapInArrow(runs, "bucket long, block long, data binary")
     sent.write.option("compression", "none").parquet(f"{here}/runs")
     sent = spark.read.schema(sent.schema).parquet(f"{here}/runs")
@@ -493,18 +591,32 @@ def remove_repeats(docs: DataFrame, length: int = 400, block_bytes: int = BLOCK_
     answers = answers.filter(F.length("answer") > 0).groupBy(F.col("block").alias("of")).agg(F.collect_list(F.struct("bucket", "answer")).alias("answers"))
     own = sent.filter("bucket = -1").select(F.col("block").alias("own_of"), F.col("data").alias("own"))
     ready = blocks.join(own, F.col("block") == F.col("own_of")).join(answers, F.col("block") == F.col("of"), "left")
+    if words:
+        def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for block, data in zip(*(c.to_pylist() for c in b.columns)):
+                    keys = np.frombuffer(data, np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.full(len(keys), block))], ["key", "block"])
+
+        passages = _known(sent.filter("bucket = -2").select("block", "data").mapInArrow(listed, "key long, block long"))
+        ready = ready.join(passages.select(F.col("of").alias("passages_of"), F.col("known").alias("passages")),
+                           F.col("block") == F.col("passages_of"), "left")
+    else:
+        ready = ready.withColumn("passages", F.array().cast("array<long>"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for raw, ends, rest, own, answers in zip(*(c.to_pylist() for c in b.columns)):
+            for raw, ends, rest, own, answers, passages in zip(*(c.to_pylist() for c in b.columns)):
                 raw, ends = _open(raw, ends)
                 gone = cut_block(raw, ends, own, [(x["bucket"], x["answer"]) for x in answers or []], length)
+                if words:
+                    gone |= cut_passages(raw, ends, np.array(passages or [], np.int64), words)
                 yield from _texts(raw, ends, rest, gone)
 
     schema = docs.select(F.struct(*[docs[c] for c in docs.columns if c != "text"]).alias("row")).withColumns(
         {"n_bytes": F.lit(0).cast("long"), "n_removed": F.lit(0).cast("long"), "starts": F.array().cast("array<long>"),
          "ends": F.array().cast("array<long>"), "kept": F.lit(b""), "text": F.lit("")}).schema
-    return ready.select("raw", "ends", "rest", "own", "answers").mapInArrow(cut, schema)
+    return ready.select("raw", "ends", "rest", "own", "answers", "passages").mapInArrow(cut, schema)
 
 
 def _texts(raw: bytes, ends: np.ndarray, rest: bytes, gone: np.ndarray) -> Iterator[pa.RecordBatch]:

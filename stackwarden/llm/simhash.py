@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import components
-from ..session import cut_lineage
-from .common import hold, id_and_text, over_batches
+from ..session import cut_lineage, fresh_path
+from .common import hold, id_and_text, one_of_each, over_batches, whole_rows
 
 WORDS = 3
 SEED = 42
@@ -217,14 +217,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs but for those of a component that are not its smallest doc_id. Of rows equal in doc_id and
-    text, one stays; rows without doc_id stay."""
-    placed = cut_lineage(near_duplicates(docs))
-    gone = placed.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("gone")).distinct()
-    rows = docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
-    again = placed.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("again"))
-    if again.isEmpty():
-        return rows
-    twice = docs.join(again, docs["doc_id"] == again["again"], "left_semi").dropDuplicates(["doc_id", "text"])
-    return (rows.join(again, rows["doc_id"] == again["again"], "left_anti")
-            .unionByName(twice.join(gone, twice["doc_id"] == gone["gone"], "left_anti")))
+    """The rows of docs, but one only of each component: its smallest doc_id. Of rows without doc_id, one more stays.
+    Rows are written once with their fingerprint, so that each is told apart from others of its doc_id."""
+    rows = whole_rows(docs).select("row", "doc_id", F.xxhash64("text").alias("text_hash"), "text")
+
+    def make():
+        hold("simhash")
+
+        def apply(b: pa.RecordBatch) -> pa.RecordBatch:
+            fp = np.array([fingerprint(t) for t in b.column(3).to_pylist()], np.uint64).view(np.int64)
+            return pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(fp)], ["row", "doc_id", "text_hash", "node"])
+
+        return apply
+
+    schema = rows.select("row", "doc_id", "text_hash").withColumn("node", F.lit(0).cast("long")).schema
+    made = over_batches(rows, make, schema).withColumn("rid", F.monotonically_increasing_id())
+    path = fresh_path(docs.sparkSession, "simhash")
+    made.write.parquet(path)
+    made = docs.sparkSession.read.schema(made.schema).parquet(path)
+    return one_of_each(made, components(links(made.select(F.col("node").alias("fp")).distinct())))

@@ -4,7 +4,7 @@ import random
 
 import corpus_pipeline
 
-from stackwarden.llm import resemblance
+from stackwarden.llm import resemblance, simhash
 
 SCHEMA = "doc_id long, text string, k string"
 
@@ -62,7 +62,8 @@ def test_stage_keeps_one_of_each_jaccard_component(spark, tmp_path):
 def test_rows_go_by_text_not_by_id(spark):
     t, u = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
     rows = [(1, t, "x"), (2, t, "copy"), (2, u, "only"), (None, t, "n"), (None, t, "n"), (None, "c d", "n"), (1, t, "x")]
-    got = resemblance.keep_one(spark.createDataFrame(rows, SCHEMA)).collect()
-    assert sorted(map(str, got)) == sorted(str(r) for r in spark.createDataFrame(
-        [(1, t, "x"), (2, u, "only"), (None, t, "n"), (None, "c d", "n")], SCHEMA).collect())
-    assert resemblance.keep_one(spark.createDataFrame([], SCHEMA)).count() == 0
+    df = spark.createDataFrame(rows, SCHEMA)
+    want = spark.createDataFrame([(1, t, "x"), (2, u, "only"), (None, t, "n"), (None, "c d", "n")], SCHEMA).collect()
+    for operator in (resemblance, simhash):
+        assert sorted(map(str, operator.keep_one(df).collect())) == sorted(map(str, want))
+        assert operator.keep_one(df.limit(0)).count() == 0

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import fresh_path
-from . import bpe, fingerprints, langid, licenses, packing, quality, simhash, suffixes, tokenfiles, warc
+from . import bpe, fingerprints, importance, langid, licenses, linestore, packing, quality, simhash, spelling, suffixes, tokenfiles, warc
 from .common import id_and_text, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,3 +101,21 @@ def op10_token_files(spark: SparkSession, d: str) -> DataFrame:
     path = tokenfiles.write_token_files(docs, fresh_path(spark, "tokens"), vocabulary("byte_bpe_50k.json"), end_id=2)
     rows = tokenfiles.with_checksums(tokenfiles.read_token_files(spark, path))
     return tokenfiles.with_starts(rows, spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@query(sql=importance.resample_sql())
+def op11_importance(spark: SparkSession, d: str) -> DataFrame:
+    drawn = importance.resample(table(spark, d, "documents"), table(spark, d, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@query(sql=spelling.variants_sql(importance.crc32_sql))
+def op12_spelling(spark: SparkSession, d: str) -> DataFrame:
+    return spelling.variants(spelling.word_counts(table(spark, d, "documents"), spelling.planted))
+
+
+@query(sql=linestore.drop_lines_sql())
+def op13_lines(spark: SparkSession, d: str) -> DataFrame:
+    kept = linestore.drop_lines(id_and_text(table(spark, d, "documents")))
+    return kept.select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_dropped",
+                       F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))

@@ -1,16 +1,17 @@
-"""Files as tables: scans that list without reading, and reads of the bytes."""
+"""Files as tables: scans that list without reading, hashes of byte ranges, and whole reads of small files."""
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.paths import has_extension, kind_of, training_label, unify_separators
-from ..operators.duplicates import with_quick_hash
 from ..operators.ranking import global_position
+from ..session import cut_lineage
+from . import ranges
 
 
 def _binary(spark: SparkSession, folders: Iterable[str], recursive: bool) -> DataFrame:
@@ -34,7 +35,8 @@ def listing(spark: SparkSession, folders: Iterable[str], recursive: bool = True)
 
 def contents(spark: SparkSession, folders: Iterable[str], recursive: bool = True,
              min_bytes: int = K.SCAN_MIN_BYTES) -> DataFrame:
-    """path, size, mtime and bytes; the size test reaches the source, small files are never opened."""
+    """path, size, mtime and bytes; the size test reaches the source, small files are never opened. A row holds a whole
+    file, which Spark limits to 2 GiB; `hashed` has no such limit."""
     return _binary(spark, folders, recursive).filter(F.col("length") >= min_bytes).select(
         _local(F.col("path")).alias("path"), F.col("length").alias("size"),
         F.col("modificationTime").alias("mtime"), "content")
@@ -46,10 +48,16 @@ def numbered(files: DataFrame) -> DataFrame:
     return global_position(files, [F.col("path").asc()], "asset_id").withColumn("kind", kind_of("path"))
 
 
-def hashed(spark: SparkSession, folders: Iterable[str], recursive: bool = True) -> DataFrame:
-    """asset_id, path, size, mtime, kind, quick_hash and digest of all files: hashed in the scan that reads them, so
-    that numbering sorts hashes and no bytes leave the scan."""
-    return numbered(with_quick_hash(contents(spark, folders, recursive)))
+def hashed(spark: SparkSession, folders: Iterable[str], recursive: bool = True, min_bytes: int = K.SCAN_MIN_BYTES,
+           block_bytes: int = ranges.BLOCK_BYTES) -> DataFrame:
+    """asset_id, path, size, mtime, kind, quick_hash and digest of all files, of any size. Head and tail give the quick
+    hash; contents are read, in blocks, of those files only that share theirs. The others have no digest."""
+    listed = listing(spark, folders, recursive).filter(F.col("size") >= min_bytes)
+    quick = cut_lineage(ranges.with_quick_hash(listed).filter("quick_hash IS NOT NULL").drop("bytes_read"))
+    shared = quick.groupBy("quick_hash", "size").count().filter("count >= 2").select("quick_hash", "size")
+    asked = quick.join(shared, ["quick_hash", "size"], "left_semi").select("path", "size")
+    digests = cut_lineage(ranges.content_digests(asked, block_bytes))
+    return numbered(quick.join(digests, "path", "left"))
 
 
 def unreadable(spark: SparkSession, folders: Iterable[str], read: DataFrame, recursive: bool = True,
@@ -70,11 +78,13 @@ def scan_for_filing(spark: SparkSession, folder: str) -> DataFrame:
     return listing(spark, [folder]).filter(has_extension("path", K.FILING_EXTS))
 
 
-def scan_for_grouping(spark: SparkSession, folders: Iterable[str], files: Iterable[str] = (), recursive: bool = True) -> DataFrame:
-    """Supported files of the folders, plus files named one by one whatever their extension. A file
-    reached twice counts once, under the first source."""
-    parts = [listing(spark, [f], recursive).filter(has_extension("path", K.GROUPING_EXTS)) for f in folders]
-    files = list(files)
+def scan_for_grouping(spark: SparkSession, folders: Iterable[str], files: Iterable[str] = (),
+                      recursive: bool | Sequence[bool] = True) -> DataFrame:
+    """Supported files of the folders, each listed flat or with all below it, plus files named one by one whatever their
+    extension. A file reached twice counts once, under the first source."""
+    folders, files = list(folders), list(files)
+    deep = [recursive] * len(folders) if isinstance(recursive, bool) else list(recursive)
+    parts = [listing(spark, [f], r).filter(has_extension("path", K.GROUPING_EXTS)) for f, r in zip(folders, deep, strict=True)]
     if files:
         parts.append(listing(spark, files, recursive=False))
     tagged = [p.withColumn("source_no", F.lit(i)) for i, p in enumerate(parts)]

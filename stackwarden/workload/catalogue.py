@@ -20,7 +20,7 @@ from ..plans import duplicates as plan_dup
 from ..plans import filing as plan_file
 from ..plans import grouping as plan_group
 from ..session import cut_lineage, fresh_path
-from ..sources import files, stores, texts
+from ..sources import files, ranges, stores, texts
 from ..streaming import arrivals
 from . import views as V
 from .sqlviews import with_views
@@ -59,6 +59,31 @@ def _(spark, d):
     return a.select("asset_id", "path", "size", paths.kind_of("path").alias("kind"))
 
 
+def _tree(spark, d) -> tuple[str, Column]:
+    """Documents written as files, and notes without a supported extension; the root, and a path below it."""
+    root = fresh_path(spark, "files")
+    a = V.assets(spark, d).select("path", "content")
+    notes = V.table(spark, d, "documents").select(F.format_string("/notes/%d.txt", "doc_id").alias("path"), F.lit(b"a note").alias("content"))
+    ranges.write_files(a.unionByName(notes), root).write.format("noop").mode("overwrite").save()
+    return root, F.substring_index("path", root.rsplit("/", 1)[1], -1)
+
+
+@query("file_hashes", f"""SELECT path, size, {_KIND} AS kind, quick_hash, CASE WHEN count(*) OVER (PARTITION BY quick_hash, size) >= 2 THEN digest END AS digest
+    FROM hashed WHERE size >= 1024""")
+def _(spark, d):
+    root, below = _tree(spark, d)
+    return files.hashed(spark, [root]).select(below.alias("path"), "size", "kind", "quick_hash", "digest")
+
+
+@query("grouping_scan", """SELECT path, size, CASE WHEN path LIKE '/lib/%' THEN 1 ELSE 2 END AS source_no FROM
+    (SELECT path, size FROM assets UNION ALL SELECT '/notes/' || doc_id || '.txt', 6 FROM documents WHERE doc_id IN (0, 7))""")
+def _(spark, d):
+    root, below = _tree(spark, d)
+    named = [f"{root}/notes/0.txt", f"{root}/notes/7.txt"]
+    found = files.scan_for_grouping(spark, [root, f"{root}/lib"], named, [False, True])
+    return found.select(below.alias("path"), "size", "source_no")
+
+
 @query("extension_sets", f"""SELECT asset_id, {_EXT} IN {_in(K.SCAN_EXTS)} AS for_duplicates, {_EXT} IN {_in(K.GROUPING_EXTS)} AS for_grouping,
     {_EXT} IN {_in(K.FILING_EXTS)} AS for_filing FROM order_pictures""")
 def _(spark, d):

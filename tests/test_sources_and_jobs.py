@@ -1,3 +1,4 @@
+import hashlib
 import os
 import tempfile
 
@@ -8,7 +9,7 @@ from stackwarden.functions.hashing import average_hash
 from stackwarden.operators.ranking import top_per_group
 from stackwarden.plans import duplicates, filing
 from stackwarden.session import shared_dir
-from stackwarden.sources import files, stores, texts
+from stackwarden.sources import files, ranges, stores, texts
 from stackwarden.streaming import arrivals
 
 
@@ -78,6 +79,51 @@ def test_hashed_files_leave_their_bytes_in_the_scan(spark, tree):
     assert files.unreadable(spark, [tree], h.limit(1)).count() == h.count() - 1
 
 
+def test_quick_hashes_read_head_and_tail_only(spark, tree):
+    with open(f"{tree}/big.mp4", "wb") as f:
+        f.write(b"h" * 40_000 + b"m" * 5_000_000 + b"t" * 40_000)
+    listed = files.listing(spark, [tree])
+    got = {r.path: r for r in ranges.with_quick_hash(listed).collect()}
+    assert {p.rsplit("/", 1)[1]: r.bytes_read for p, r in got.items()} == {r.path.rsplit("/", 1)[1]: min(r.size, 32_768) for r in listed.collect()}
+    want = {r.path: r.quick_hash for r in duplicates.D.with_quick_hash(files.contents(spark, [tree], min_bytes=0)).collect()}
+    assert {p: r.quick_hash for p, r in got.items()} == want
+    d = {r.path: r.digest for r in ranges.content_digests(listed, 1 << 20).collect()}
+    for r in listed.collect():
+        with open(r.path, "rb") as f:
+            data = f.read()
+        parts = [hashlib.sha256(data[i:i + (1 << 20)]) for i in range(0, max(1, len(data)), 1 << 20)]
+        assert d[r.path] == (parts[0] if len(parts) == 1 else hashlib.sha256(b"".join(p.digest() for p in parts))).hexdigest()
+
+
+def test_files_over_2_gib(spark, tree):
+    """Two equal ones, one that differs in the middle only, and small ones beside them."""
+    for name, at in (("a.mp4", 0), ("b.mp4", 0), ("c.mp4", 1 << 30)):
+        with open(f"{tree}/{name}", "wb") as f:
+            f.truncate((1 << 31) + 12_345)
+            f.seek(at)
+            f.write(b"x" if at else b"")
+    h = files.hashed(spark, [tree])
+    groups = duplicates.exact_duplicates(h.filter("path like '%.mp4'")).collect()
+    assert [(g.n_members, g.recoverable_bytes) for g in groups] == [(2, (1 << 31) + 12_345)]
+    with_digest = {os.path.basename(r.path) for r in h.filter("digest is not null").collect()}
+    assert with_digest == {"a.mp4", "b.mp4", "c.mp4", "red1.png", "red2.png"}
+    assert files.unreadable(spark, [tree], h).count() == 0
+
+
+def test_files_that_shrink_or_go_are_left_out(spark, tree):
+    gone = spark.createDataFrame([(f"{tree}/red1.png", 2000), (f"{tree}/red2.png", 9000), (f"{tree}/none.png", 2000)], "path string, size long")
+    assert {os.path.basename(r.path): r.quick_hash is None for r in ranges.with_quick_hash(gone).collect()} == {"red1.png": False, "red2.png": True, "none.png": True}
+    assert names(ranges.content_digests(gone)) == ["red1.png"]
+
+
+def test_huge_files_spread_over_tasks(spark):
+    one = spark.createDataFrame([("/a/huge.mkv", 10 << 40)], "path string, size long")
+    b = ranges.blocks(one)
+    assert b.count() == (10 << 40) // ranges.BLOCK_BYTES
+    sizes = b.repartition("path", "block").withColumn("p", F.spark_partition_id()).groupBy("p").count().agg(F.max("count"), F.min("count")).first()
+    assert sizes[0] < 1.2 * sizes[1]
+
+
 def test_stores(spark):
     root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     store = stores.ExemplarStore(spark, f"{root}/ex")

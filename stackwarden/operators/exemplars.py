@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 import pickle
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -22,6 +23,8 @@ from .ranking import top_per_group
 
 _KEYS = ["folder", "modality"]
 BLOCK_EXEMPLARS = 8192
+# Examples of a folder that stay together; a larger folder is split
+SLICE_ROWS = 4096
 BLOCK_QUERIES = 8192
 
 
@@ -70,25 +73,80 @@ def purge_name_only(store: DataFrame) -> DataFrame:
 
 
 # --- scoring ------------------------------------------------------------------------------------
-def _matrices(pdf: pd.DataFrame) -> tuple:
-    """Exemplars of some folders of one modality: folders, where each begins, all vectors, centroids."""
-    pdf = pdf.sort_values(["folder", "seq"])
-    mat = np.stack(pdf["vec"].to_numpy()).astype("float64")
-    folders, starts = np.unique(pdf["folder"].to_numpy(dtype=object), return_index=True)
-    cents = np.add.reduceat(mat, starts, axis=0)
-    cents /= np.diff(np.append(starts, len(mat)))[:, None]
-    n = np.linalg.norm(cents, axis=1, keepdims=True)
-    return list(folders), starts, mat, np.where(n > 1e-9, cents / np.where(n > 1e-9, n, 1.0), cents)
+# A folder of one modality is cut into slices of bounded size, so that no task and no value holds a whole folder. Its
+# centroid comes from map-side sums and goes to every block that has one of its slices. The blend grows with the best
+# example, so the best slice gives the folder's score, and a block may cut to its own best n folders at once.
+@dataclass
+class Side:
+    """Examples of one modality in a block: folders in order, where each begins, all vectors, whole folders' centroids."""
+
+    folders: list
+    starts: np.ndarray
+    mat: np.ndarray
+    cents: np.ndarray
+
+
+def _side(pdf: pd.DataFrame) -> Side:
+    own = pdf[~pdf["centre"]].sort_values(["folder", "seq"], kind="stable")
+    folders, starts = np.unique(own["folder"].to_numpy(dtype=object), return_index=True)
+    cents = pdf[pdf["centre"]].set_index("folder")["vec"]
+    return Side(list(folders), starts, np.stack(own["vec"].to_numpy()).astype("float64"), np.stack([cents[f] for f in folders]).astype("float64"))
 
 
 def _pack(pdf: pd.DataFrame) -> pd.DataFrame:
-    sides = {m: _matrices(part) for m, part in pdf.groupby("modality")}
+    sides = {m: _side(part) for m, part in pdf.groupby("modality")}
     return pd.DataFrame({"side": [pdf["side"].iloc[0]], "block": [int(pdf["block"].iloc[0])], "payload": [pickle.dumps(sides)]})
 
 
-def _blend(q: np.ndarray, side: tuple) -> np.ndarray:
-    folders, starts, mat, cents = side
-    return 0.6 * np.maximum.reduceat(q @ mat.T, starts, axis=1) + 0.4 * (q @ cents.T)
+def _blend(q: np.ndarray, side: Side) -> np.ndarray:
+    return 0.6 * np.maximum.reduceat(q @ side.mat.T, side.starts, axis=1) + 0.4 * (q @ side.cents.T)
+
+
+def _cones(side: Side) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each folder of a block: direction of the middle of its vectors, widest angle to it, longest vector, middle."""
+    sizes = np.diff(np.append(side.starts, len(side.mat)))
+    mids = np.add.reduceat(side.mat, side.starts, axis=0) / sizes[:, None]
+    axis = mids / np.maximum(np.linalg.norm(mids, axis=1, keepdims=True), 1e-12)
+    length = np.linalg.norm(side.mat, axis=1)
+    cos = np.einsum("ij,ij->i", side.mat, np.repeat(axis, sizes, axis=0)) / np.maximum(length, 1e-12)
+    widest = np.arccos(np.clip(np.minimum.reduceat(cos, side.starts), -1.0, 1.0))
+    return axis, widest, np.maximum.reduceat(length, side.starts), mids
+
+
+QUERY_TILE = 256
+SLACK = 1e-9
+
+
+def _best_blend(q: np.ndarray, side: Side, top_n: int, done: list | None = None) -> np.ndarray:
+    """As _blend, with nan for folders that cannot be among a query's best n of this block. The best example of a folder
+    lies within its cone, which bounds the score from above; the middle of its vectors bounds it from below. Queries go
+    in tiles that prefer the same folder; a folder that no query of a tile can want is not multiplied. `done` takes the
+    number of products, and of all there are."""
+    if top_n >= len(side.folders) or not len(q):
+        return _blend(q, side)
+    axis, widest, longest, mids = _cones(side)
+    size = np.linalg.norm(q, axis=1)
+    by_cent = 0.4 * (q @ side.cents.T)
+    angle = np.arccos(np.clip(q @ axis.T / np.maximum(size, 1e-12)[:, None], -1.0, 1.0))
+    reach = np.cos(np.minimum(np.maximum(angle - widest[None, :], 0.0), np.pi))
+    # a product below zero is largest for the shortest vector; zero is a bound for any of them
+    above = 0.6 * np.maximum(reach, 0.0) * longest[None, :] * size[:, None] + by_cent
+    below = 0.6 * (q @ mids.T) + by_cent
+    floor = -np.partition(-below, top_n - 1, axis=1)[:, top_n - 1]
+    wanted = above >= floor[:, None] - SLACK
+    sizes = np.diff(np.append(side.starts, len(side.mat)))
+    out = np.full(by_cent.shape, np.nan)
+    order = np.argsort(np.argmax(below, axis=1), kind="stable")
+    for at in range(0, len(q), QUERY_TILE):
+        tile = order[at:at + QUERY_TILE]
+        f = np.flatnonzero(wanted[tile].any(axis=0))
+        rows = np.concatenate([np.arange(side.starts[i], side.starts[i] + sizes[i]) for i in f])
+        begins = np.cumsum(sizes[f]) - sizes[f]
+        best = np.maximum.reduceat(q[tile] @ side.mat[rows].T, begins, axis=1)
+        out[np.ix_(tile, f)] = 0.6 * best + by_cent[np.ix_(tile, f)]
+        if done is not None:
+            done.append((len(tile) * len(rows), len(tile) * len(side.mat)))
+    return out
 
 
 def _best(ids, modality, folders, s: np.ndarray, top_n: int | None) -> pd.DataFrame:
@@ -107,15 +165,17 @@ def _best(ids, modality, folders, s: np.ndarray, top_n: int | None) -> pd.DataFr
 _SCORED = "asset_id long, modality string, folder string, score double"
 
 
-def _against(queries: DataFrame, store: DataFrame, by_side: bool, score, broadcast_bytes: int) -> tuple[DataFrame, int]:
-    """score(queries, sides, side) for each block of queries and of exemplars, and the number of blocks of exemplars.
-    The exemplars are broadcast if their counted size allows; else blocks of both meet, each pair in one task.
-    Queries have the columns side (what they are compared with) and asset_id; by_side keeps modalities apart."""
+def _against(queries: DataFrame, store: DataFrame, score, broadcast_bytes: int) -> DataFrame:
+    """score(queries, sides, side) for each block of queries and of exemplars. Store rows have side and key (rows of one
+    side and key share a block) and vec. The exemplars are broadcast if their counted size allows; else blocks of both
+    meet, each pair in one task. Queries have the columns side (what they are compared with) and asset_id."""
     n, dim = store.agg(F.count(F.lit(1)), F.max(F.size("vec"))).first()
     n_blocks = max(1, math.ceil((n or 0) / BLOCK_EXEMPLARS))
+    placed = store.withColumn("block", F.pmod("key", F.lit(n_blocks)).cast("int")).drop("key")
+    own = placed.select("side", "block", *_KEYS, "seq", "vec", F.lit(False).alias("centre"))
+    mid = placed.select("side", "block", *_KEYS).distinct().join(centroids(store).withColumnRenamed("centroid", "vec"), _KEYS)
     packed = (
-        store.withColumn("block", F.pmod(F.xxhash64("folder"), F.lit(n_blocks)).cast("int"))
-        .withColumn("side", F.col("modality") if by_side else F.lit(""))
+        own.unionByName(mid.select("side", "block", *_KEYS, F.lit(None).cast("long").alias("seq"), "vec", F.lit(True).alias("centre")))
         .groupBy("side", "block").applyInPandas(_pack, "side string, block int, payload binary")
     )
     if (n or 0) * (dim or 0) * 8 <= broadcast_bytes:
@@ -130,7 +190,7 @@ def _against(queries: DataFrame, store: DataFrame, by_side: bool, score, broadca
                     for payload in shared.value.get(side, ()):
                         yield score(part, pickle.loads(payload), side)
 
-        return queries.mapInPandas(each, _SCORED), n_blocks
+        return queries.mapInPandas(each, _SCORED)
     n_q = max(1, math.ceil(queries.count() / BLOCK_QUERIES))
     q = queries.withColumn("q", F.pmod(F.xxhash64("asset_id"), F.lit(n_q)).cast("int")).withColumn(
         "block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
@@ -142,7 +202,13 @@ def _against(queries: DataFrame, store: DataFrame, by_side: bool, score, broadca
         return score(left, pickle.loads(right["payload"].iloc[0]), key[0])
 
     keys = ["side", "q", "block"]
-    return q.groupBy(*keys).cogroup(e.groupBy(*keys)).applyInPandas(meet, _SCORED), n_blocks
+    return q.groupBy(*keys).cogroup(e.groupBy(*keys)).applyInPandas(meet, _SCORED)
+
+
+def _with_slice(store: DataFrame, groups: list[str], slice_rows: int) -> DataFrame:
+    """Adds slices, the number of slices of a row's group, and slice, its own. Counts combine map-side."""
+    n = store.groupBy(*groups).count().select(*groups, F.ceil(F.col("count") / slice_rows).cast("int").alias("slices"))
+    return store.join(n, groups).withColumn("slice", F.pmod(F.xxhash64("seq", "vec"), "slices"))
 
 
 def folder_scores(
@@ -151,6 +217,7 @@ def folder_scores(
     top_n: int | None = None,
     min_exemplars: int = 1,
     broadcast_bytes: int = BROADCAST_MAX_BYTES,
+    slice_rows: int = SLICE_ROWS,
 ) -> DataFrame:
     """(asset_id, modality, folder, score): 0.6 x best exemplar + 0.4 x centroid. Takes (asset_id, modality, vec)."""
     store = store.select(*_KEYS, "seq", as_double("vec").alias("vec"))
@@ -159,45 +226,56 @@ def folder_scores(
         store = store.join(enough, _KEYS, "left_semi")
 
     def score(part: pd.DataFrame, sides: dict, modality: str) -> pd.DataFrame:
-        return _best(part["asset_id"].to_numpy(), modality, sides[modality][0],
-                     _blend(np.stack(part["vec"].to_numpy()), sides[modality]), top_n)
+        q, side = np.stack(part["vec"].to_numpy()), sides[modality]
+        s = _blend(q, side) if top_n is None else _best_blend(q, side, top_n)
+        return _best(part["asset_id"].to_numpy(), modality, side.folders, s, top_n)
 
     q = queries.select("asset_id", F.col("modality").alias("side"), as_double("vec").alias("vec"))
-    scored, n_blocks = _against(q, store, True, score, broadcast_bytes)
-    if top_n is None or n_blocks == 1:
-        return scored
-    return top_folders(scored, top_n, ["asset_id", "modality"]).drop("rank")
+    sliced = _with_slice(store, _KEYS, slice_rows).select(
+        *_KEYS, "seq", "vec", F.col("modality").alias("side"), F.xxhash64("folder", "slice").alias("key"))
+    best = _against(q, sliced, score, broadcast_bytes).groupBy("asset_id", "modality", "folder").agg(F.max("score").alias("score"))
+    return best if top_n is None else top_folders(best, top_n, ["asset_id", "modality"]).drop("rank")
 
 
 def combined_scores(queries: DataFrame, store: DataFrame, top_n: int | None = None,
-                    broadcast_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
+                    broadcast_bytes: int = BROADCAST_MAX_BYTES, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """(asset_id, folder, score): one score per asset and folder, 55/45 where both sides know the folder, 85 % of the
-    one score otherwise; or the best n of all folders. Both sides of an asset meet the same block, so they are combined
-    before anything is left out."""
+    one score otherwise; or the best n of all folders. A folder of one slice has both modalities in one block, where
+    they are combined and cut to the best n. Of the folders that are split, of which a store of n vectors has at most
+    n / slice_rows, all partial scores are sent on, as their sides meet only behind the blocks."""
 
     def side(m: str):
         return F.first(F.when(F.col("modality") == m, as_double("vec")), ignorenulls=True).alias(m)
 
-    q = queries.groupBy("asset_id").agg(side("image"), side("text")).withColumn("side", F.lit(""))
+    q = queries.groupBy("asset_id").agg(side("image"), side("text"))
+    q = q.withColumn("side", F.explode(F.array(F.lit("whole"), F.lit("split"))))
 
-    def score(part: pd.DataFrame, sides: dict, _: str) -> pd.DataFrame:
-        names = np.array(sorted(set().union(*(s[0] for s in sides.values()))), dtype=object)
-        one = {}
+    def score(part: pd.DataFrame, sides: dict, kind: str) -> pd.DataFrame:
+        names = np.array(sorted(set().union(*(s.folders for s in sides.values()))), dtype=object)
+        one, ids = {}, part["asset_id"].to_numpy()
         for m in ("image", "text"):
             one[m] = np.full((len(part), len(names)), np.nan)
             have = np.flatnonzero(part[m].notna().to_numpy())
             if m in sides and len(have):
-                at = np.searchsorted(names, np.array(sides[m][0], dtype=object))
+                at = np.searchsorted(names, np.array(sides[m].folders, dtype=object))
                 one[m][np.ix_(have, at)] = _blend(np.stack(part[m].to_numpy()[have]), sides[m])
+        if kind == "split":
+            return pd.concat([_best(ids, m, names, s, None) for m, s in one.items()])
         i, t = one["image"], one["text"]
         both = np.where(np.isnan(t), 0.85 * i, np.where(np.isnan(i), 0.85 * t, 0.55 * i + 0.45 * t))
-        return _best(part["asset_id"].to_numpy(), None, names, both, top_n)
-
-    scored, n_blocks = _against(q, store.select(*_KEYS, "seq", as_double("vec").alias("vec")), False, score, broadcast_bytes)
-    scored = scored.drop("modality")
-    if top_n is None or n_blocks == 1:
-        return scored
-    return top_folders(scored, top_n).drop("rank")
+        return _best(ids, None, names, both, top_n)
+
+    sliced = _with_slice(store.select(*_KEYS, "seq", as_double("vec").alias("vec")), ["folder"], slice_rows)
+    split = F.col("slices") > 1
+    sliced = sliced.select(*_KEYS, "seq", "vec", F.when(split, "split").otherwise("whole").alias("side"),
+                           F.when(split, F.xxhash64("folder", "slice")).otherwise(F.xxhash64("folder")).alias("key"))
+    scored = _against(q, sliced, score, broadcast_bytes)
+    i, t = (F.max(F.when(F.col("modality") == m, F.col("score"))) for m in ("image", "text"))
+    parts = scored.filter("modality IS NOT NULL").groupBy("asset_id", "folder").agg(i.alias("i"), t.alias("t"))
+    both = F.when(F.col("t").isNull(), 0.85 * F.col("i")).when(F.col("i").isNull(), 0.85 * F.col("t")).otherwise(0.55 * F.col("i") + 0.45 * F.col("t"))
+    scored = scored.filter("modality IS NULL").select("asset_id", "folder", "score").unionByName(
+        parts.select("asset_id", "folder", both.alias("score")))
+    return scored if top_n is None else top_folders(scored, top_n).drop("rank")
 
 
 def top_folders(scores: DataFrame, n: int, groups=("asset_id",)) -> DataFrame:

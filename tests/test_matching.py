@@ -117,6 +117,63 @@ def test_cascade_prefers_names_only_when_meaning_is_not_certain(spark):
     assert {r.asset_id: r.category for r in filing.cascade(df).collect()} == {1: "Bank", 2: "Other", 3: "Bank", 4: "Other"}
 
 
+@pytest.mark.parametrize("top_n", [None, 3])
+@pytest.mark.parametrize("limit", [0, 1 << 30])
+def test_a_folder_with_a_third_of_all_examples_is_split(spark, top_n, limit, monkeypatch):
+    monkeypatch.setattr(exemplars, "BLOCK_EXEMPLARS", 60)
+    monkeypatch.setattr(exemplars, "BLOCK_QUERIES", 16)
+    rnd = np.random.default_rng(7)
+    unit = lambda n: [[float(x) for x in r / np.linalg.norm(r)] for r in rnd.normal(size=(n, 5))]
+    store = [("big" if i % 3 == 0 else f"f{i % 40:02d}", "image", i % 50, v) for i, v in enumerate(unit(900))]
+    asks = [(i, "image", v) for i, v in enumerate(unit(40))]
+    s = spark.createDataFrame(store, "folder string, modality string, seq long, vec array<double>")
+    q = spark.createDataFrame(asks, "asset_id long, modality string, vec array<double>")
+    plain = exemplars.folder_scores(q, s, None, slice_rows=10**6).collect()
+    want = sorted((r.asset_id, -round(r.score, 9), r.folder) for r in plain)
+    if top_n:
+        want = sorted(x for a in range(40) for x in [w for w in want if w[0] == a][:top_n])
+    got = exemplars.folder_scores(q, s, top_n, broadcast_bytes=limit, slice_rows=25)
+    assert sorted((r.asset_id, -round(r.score, 9), r.folder) for r in got.collect()) == want
+    # no folder has more rows in a block than its slices allow
+    sliced = exemplars._with_slice(s, ["folder", "modality"], 25)
+    sizes = [r["count"] for r in sliced.groupBy("folder", "slice").count().collect()]
+    assert max(sizes) < 60 and sliced.filter("folder = 'big'").select("slice").distinct().count() == 12
+    both = exemplars.combined_scores(q, s, top_n, limit, slice_rows=25).collect()
+    assert sorted((r.asset_id, -round(r.score / 0.85, 9), r.folder) for r in both) == want
+
+
+def test_cones_skip_folders_that_cannot_be_among_the_best():
+    rnd = np.random.default_rng(9)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    families = np.repeat(unit(rnd.normal(size=(12, 32))), 5, axis=0)
+    mids = unit(families + 0.04 * rnd.normal(size=(60, 32)))
+    mat = np.concatenate([unit(m + 0.05 * rnd.normal(size=(40, 32))) for m in mids])
+    starts = np.arange(0, len(mat), 40)
+    cents = unit(np.add.reduceat(mat, starts, axis=0))
+    side = exemplars.Side([f"f{i:02d}" for i in range(60)], starts, mat, cents)
+    q = unit(mids[rnd.integers(0, 60, 3000)] + 0.05 * rnd.normal(size=(3000, 32)))
+    for scale in (1.0, 0.3, 7.0):
+        done = []
+        some, full = exemplars._best_blend(scale * q, side, 2, done), exemplars._blend(scale * q, side)
+        best = np.argsort(-full, axis=1, kind="stable")[:, :2]
+        assert np.allclose(np.take_along_axis(some, best, axis=1), np.take_along_axis(full, best, axis=1))
+        assert sum(a for a, _ in done) < 0.35 * sum(b for _, b in done)
+
+
+def test_cones_are_exact_for_vectors_of_any_length():
+    rnd = np.random.default_rng(10)
+    for _ in range(40):
+        n = rnd.integers(2, 30)
+        sizes = rnd.integers(1, 9, n)
+        starts = np.cumsum(sizes) - sizes
+        mat = rnd.normal(size=(sizes.sum(), 3)) * rnd.choice([0.0, 0.1, 5.0], size=(sizes.sum(), 1))
+        side = exemplars.Side(list(range(n)), starts, mat, rnd.normal(size=(n, 3)))
+        q = rnd.normal(size=(300, 3)) * rnd.choice([0.0, 1.0, 3.0], size=(300, 1))
+        some, full = exemplars._best_blend(q, side, 2), exemplars._blend(q, side)
+        best = np.argsort(-full, axis=1, kind="stable")[:, :2]
+        assert np.allclose(np.take_along_axis(some, best, axis=1), np.take_along_axis(full, best, axis=1))
+
+
 @pytest.mark.parametrize("limit", [0, 1 << 30])
 def test_combined_scores_leave_no_folder_out(spark, limit, monkeypatch):
     monkeypatch.setattr(exemplars, "BLOCK_EXEMPLARS", 40)

@@ -7,7 +7,7 @@ earlier has a pivot that the other holds too, and holds within its prefix. A big
 a prefix also takes what equals its last bigram, up to 2 * EDITS more, as an edit puts no more than that before a
 bigram both words share. Hence pivots are joined with prefixes. Position limits make the join narrow: the edit lies before or after the bigram that
 both share, which fixes where the bigram stands in a word of given length, and leaves the other side of the word as it
-is; bigram, place, length and that side's hash are one key. Found pairs are verified by edit distance.
+is; bigram, place, length and that side (with half of the other, where it is short) are one key. Found pairs are verified by edit distance.
 
 A word's form is the near word that occurs most (ties: smallest in code-point order), if it occurs `ratio` times as
 often at least; the root is where following forms ends. Forms occur more often each time, so chains are short.
@@ -36,6 +36,10 @@ EDITS = 1
 MIN_CHARS = 7
 MIN_COUNT = 2
 RATIO = 10
+# Letters beside a gram that tell words apart well enough
+SIDE = 3
+# Words up to this length are compared in the JVM, whose edit distance takes quadratic time
+SHORT = 64
 # Counted words a task holds before it sends them on
 HELD_WORDS = 200_000
 # Letters of index rows in one batch
@@ -127,9 +131,22 @@ def pivots_of(places: list[int], ranks: list[int]) -> list[int]:
     return best[-1][EDITS + 1][1]
 
 
-def _key(rank: int, place: int, length: int, after: bool, side: str) -> int:
-    head = b"%d,%d,%d,%d," % (rank, place, length, after)
-    return xxhash.xxh3_64_intdigest(head + side.encode()) - (1 << 63)
+def _keys(rank: int, place: int, size: int, after: bool, word: str, at: int) -> list[int]:
+    """Where word looks, or is found, by its gram at `at`, in words of `size` letters that hold it at `place` and differ
+    after (or before) it. All on the other side is alike. Where that is short, one of two parts of the differing side is
+    alike as well: the one next to the gram or the one at the word's end; both are a letter shorter than that side, so
+    they fit a word that is a letter shorter."""
+    same, rest = (word[:at], word[at + GRAM:]) if after else (word[at + GRAM:], word[:at])
+    want = size - place - GRAM if after else place
+    if want < 0 or place < 0:
+        return []
+    head = b"%d,%d,%d,%d," % (rank, place, size, after) + same.encode()
+    if len(same) >= SIDE:
+        return [xxhash.xxh3_64_intdigest(head) - (1 << 63)]
+    near = max(want - 1, 0) // 2
+    far = max(want - 1 - near, 0)
+    parts = (rest[:near], rest[len(rest) - far:]) if after else (rest[len(rest) - near:], rest[:far])
+    return [xxhash.xxh3_64_intdigest(head + b",%d," % i + part.encode()) - (1 << 63) for i, part in enumerate(parts)]
 
 
 def index(words: DataFrame, ranks: dict[str, int]) -> DataFrame:
@@ -146,12 +163,12 @@ def index(words: DataFrame, ranks: dict[str, int]) -> DataFrame:
                 ranks, size = [rank_of[g] for g in grams_of(w)], len(w)
                 places, own, last = prefix_of(ranks)
                 keys = []
-                for p in places:  # the edit may be after the gram, with what is before it untouched, or before it
-                    keys += [(_key(ranks[p], p, size, True, w[:p]), False), (_key(ranks[p], p, size, False, w[p + GRAM:]), False)]
+                for p in places:
+                    keys += [(k, False) for after in (True, False) for k in _keys(ranks[p], p, size, after, w, p)]
                 for p in pivots_of(sorted(places[:own]), ranks):
                     for more in range(-EDITS, EDITS + 1):
-                        keys += [(_key(ranks[p], p, size + more, True, w[:p]), True),
-                                 (_key(ranks[p], p + more, size + more, False, w[p + GRAM:]), True)]
+                        keys += [(k, True) for k in _keys(ranks[p], p, size + more, True, w, p)]
+                        keys += [(k, True) for k in _keys(ranks[p], p + more, size + more, False, w, p)]
                 rows += [(k, pivot, last, w, n) for k, pivot in keys]
                 held += len(keys) * len(w)
                 if held > HELD_CHARS:
@@ -186,10 +203,16 @@ def near_words(words: DataFrame) -> DataFrame:
     rows = cut_lineage(index(words, gram_ranks(words)))
     ask, held = rows.filter("pivot"), rows.filter("NOT pivot")
     ask = ask.select("k", F.col("last").alias("upto"), F.col("word").alias("a"), F.col("n").alias("na"))
-    met = _verified(ask.join(held.select("k", "last", F.col("word").alias("b"), F.col("n").alias("nb")), "k").filter(
-        (F.col("last") >= F.col("upto")) & (F.col("a") != F.col("b"))).select("a", "na", "b", "nb"))
+    held = held.select("k", "last", F.col("word").alias("b"), F.col("n").alias("nb"))
+
+    def met(left: DataFrame, right: DataFrame) -> DataFrame:
+        return left.join(right, "k").filter((F.col("last") >= F.col("upto")) & (F.col("a") != F.col("b"))).select("a", "na", "b", "nb")
+
+    long = F.char_length("a") > SHORT
+    near = met(ask.filter(~long), held).filter(F.levenshtein("a", "b", EDITS) == EDITS)
+    near = near.union(_verified(met(ask.filter(long), held.filter(F.char_length("b") >= SHORT))))
     low = F.col("a") < F.col("b")
-    pairs = met.select(F.least("a", "b").alias("a"), F.when(low, F.col("na")).otherwise(F.col("nb")).alias("na"),
+    pairs = near.select(F.least("a", "b").alias("a"), F.when(low, F.col("na")).otherwise(F.col("nb")).alias("na"),
                        F.greatest("a", "b").alias("b"), F.when(low, F.col("nb")).otherwise(F.col("na")).alias("nb")).distinct()
     return pairs.select(F.explode(F.array(F.struct(F.col("a").alias("word"), F.col("b").alias("near"), F.col("nb").alias("near_n")),
                                           F.struct(F.col("b").alias("word"), F.col("a").alias("near"), F.col("na").alias("near_n"))

@@ -1,12 +1,20 @@
-"""Cosine-threshold joins and clusters, exact, as block-wise matrix products.
+"""Cosine-threshold joins and clusters, exact, as matrix products of blocks that can hold near vectors.
 
-Vectors are packed into blocks of bounded size; every pair of blocks meets in one task that returns only
-what passes the threshold. The work is N^2 / 2 dot products, which is what exactness costs.
+Vectors are stored by cell and ring: a cell is what lies nearest to one of a bounded number of pivots, a ring is a range of
+angles to that pivot. By the triangle inequality on angles, a vector can be near to members of a cell only if its angle to
+the pivot is at most the cell's widest plus the threshold's, and at most its own nearest pivot's plus twice the threshold's;
+it visits these cells. In a cell, rings that touch or are equal meet, in blocks of bounded size, whatever a cell holds.
+Only what passes the threshold is returned. On vectors without any clusters every cell is visited and the work is N^2 / 2
+products, as without pivots.
+
+Input: vectors of any length; a pair is near if its product reaches the threshold. Clusters take unit vectors.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -18,29 +26,200 @@ from ..session import cut_lineage
 from .leaders import EDGES_PER_TASK, elect
 
 BLOCK_ROWS = 4096
+PIVOTS = 256
+MAX_RINGS = 64
+SLACK = 1e-6  # more than the error of an arc cosine
 DIRECT_EDGES_UP_TO = 5_000  # so few vectors cannot have more than 12.5 million pairs
 EDGES_PER_VECTOR = 32
+BATCH_ROWS = 5_000  # the first batch of ids; each one after is twice as large
+
+
+@dataclass(frozen=True)
+class Cells:
+    """Pivots, the widest angle of each one's own vectors, the threshold as an angle, and the width of a ring."""
+
+    pivots: np.ndarray
+    widest: np.ndarray
+    near: float
+    width: float
+
+    def angles(self, vec: np.ndarray) -> np.ndarray:
+        length = np.maximum(np.linalg.norm(vec, axis=1, keepdims=True), 1e-12)
+        return np.arccos(np.clip(vec / length @ self.pivots.T, -1.0, 1.0))
+
+    def ring(self, angle: np.ndarray) -> np.ndarray:
+        return np.floor(angle / self.width).astype(np.int32)
+
+    def homes(self, vec: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, cell and ring of each vector's own place."""
+        a = self.angles(vec)
+        cell = np.argmin(a, axis=1)
+        return np.arange(len(vec)), cell.astype(np.int32), self.ring(a[np.arange(len(vec)), cell])
+
+    def visits(self, vec: np.ndarray, lower_only: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, cell and ring of the other places where a vector's near ones can be; lower cells only if the vectors meet
+        one another, so that of two cells one visits the other."""
+        a = self.angles(vec)
+        own = np.argmin(a, axis=1)
+        can = a <= np.minimum(self.widest[None, :] + self.near, a.min(axis=1, keepdims=True) + 2 * self.near) + SLACK
+        if lower_only:
+            can &= np.arange(a.shape[1])[None, :] < own[:, None]
+        i, cell = np.nonzero(can)
+        return i, cell.astype(np.int32), self.ring(a[i, cell])
+
+
+def _draw(vectors: DataFrame, n: int) -> np.ndarray:
+    """n pivots at most: vectors drawn by a hash of their id."""
+    rows = vectors.orderBy(F.xxhash64("id", F.lit(1)), "id").limit(n).select("vec").collect()
+    p = np.array([r.vec for r in rows], dtype="float64") if rows else np.zeros((0, 1))
+    return p / np.maximum(np.linalg.norm(p, axis=1, keepdims=True), 1e-12)
+
+
+def _cells(home: DataFrame, rows: int, guests: DataFrame | None, threshold: float, block_rows: int) -> Cells:
+    """Cells of the home vectors. Few vectors, or a threshold that even opposite ones may reach, make a single cell."""
+    k = min(PIVOTS, rows // max(1, block_rows // 4)) if rows > block_rows and threshold > 0 else 1
+    pivots = _draw(home, k)
+    first = Cells(pivots, np.zeros(len(pivots)), math.pi, math.pi)
+
+    def widest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                vec = np.stack(pdf["vec"].to_numpy())
+                a = first.angles(vec)
+                own = np.argmin(a, axis=1)
+                got = pd.DataFrame({"cell": own.astype("int32"), "angle": a[np.arange(len(a)), own], "length": np.linalg.norm(vec, axis=1)})
+                yield got.groupby("cell", as_index=False).max()
+
+    if k <= 1:
+        return Cells(pivots, np.full(len(pivots), math.pi), math.pi, 2 * math.pi)
+    top = F.max("length").alias("length")
+    got = home.select("vec").mapInPandas(widest, "cell int, angle double, length double").groupBy("cell").agg(F.max("angle").alias("angle"), top).collect()
+    reach = np.zeros(len(pivots))
+    for r in got:
+        reach[r.cell] = r.angle
+    long = other = max(r.length for r in got)
+    if guests is not None:
+        other = guests.select("vec").mapInPandas(widest, "cell int, angle double, length double").agg(top).first().length or 0.0
+    # the shorter the vectors, the closer a pair must be to reach the threshold
+    near = math.acos(min(1.0, threshold / max(long * other, 1e-12)))
+    return Cells(pivots, reach, near, max(near + SLACK, math.pi / MAX_RINGS))
+
+
+_PLACE = ["cell", "ring", "home"]
+
+
+@dataclass
+class Meetings:
+    """Vectors in their blocks, and which blocks meet."""
+
+    placed: DataFrame
+    sizes: dict[tuple[int, int, bool], int]
+    block_rows: int
+    guests_only: bool = False
+
+    def parts(self, place: tuple[int, int, bool]) -> int:
+        return max(1, math.ceil(self.sizes.get(place, 0) / self.block_rows))
+
+    def pairs(self) -> Iterator[tuple[tuple[int, int, bool], tuple[int, int, bool]]]:
+        for cell, ring, home in self.sizes:
+            if home:
+                for other in (-1, 0, 1):
+                    for kind in (True, False):
+                        there = (cell, ring + other, kind)
+                        if there in self.sizes and (not kind or other >= 0) and not (kind and self.guests_only):
+                            yield (cell, ring, True), there
+
+    @property
+    def products(self) -> int:
+        """Vector products of all meetings."""
+        return sum(self.sizes[x] * self.sizes[y] // (2 if x == y else 1) for x, y in self.pairs())
+
+    def run(self, meet: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+        """meet(one or two packed blocks, the first one home) for every meeting, each in a group of its own."""
+        spark = self.placed.sparkSession
+        rows, n = [], 0
+        for x, y in self.pairs():
+            a, b = self.parts(x), self.parts(y)
+            rows.append((x[0], x[1], a, y[1], y[2], b))
+            n += a * b
+        plan = spark.createDataFrame(rows, "cell int, r1 int, n1 int, r2 int, h2 boolean, n2 int")
+        plan = plan.withColumn("s1", F.explode(F.sequence(F.lit(0), F.col("n1") - 1))).withColumn("s2", F.explode(F.sequence(F.lit(0), F.col("n2") - 1)))
+        same = (F.col("r1") == F.col("r2")) & F.col("h2")
+        plan = plan.filter(~same | (F.col("s1") <= F.col("s2"))).select("cell", "r1", "s1", "r2", "h2", "s2")
+        keys = plan.columns
+        packed = self.placed.groupBy(*_PLACE, "sub").applyInPandas(_pack, "cell int, ring int, home boolean, sub int, dim int, ids binary, mat binary")
+        one = packed.filter("home").select(F.col("cell"), F.col("ring").alias("r1"), F.col("sub").alias("s1"), F.lit(0).alias("side"), "dim", "ids", "mat")
+        two = packed.select("cell", F.col("ring").alias("r2"), F.col("home").alias("h2"), F.col("sub").alias("s2"), F.lit(1).alias("side"), "dim", "ids", "mat")
+        alone = same & (F.col("s1") == F.col("s2"))
+        both = one.join(plan, ["cell", "r1", "s1"]).select(*keys, "side", "dim", "ids", "mat").unionByName(
+            two.join(plan.filter(~alone), ["cell", "r2", "h2", "s2"]).select(*keys, "side", "dim", "ids", "mat"))
+        return both.repartition(max(1, min(n, 20_000)), *keys).groupBy(*keys).applyInPandas(meet, schema)
 
 
 def _pack(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("id")
     mat = np.stack(pdf["vec"].to_numpy()).astype("float64")
-    return pd.DataFrame({"block": [int(pdf["block"].iloc[0])], "dim": [mat.shape[1]],
+    return pd.DataFrame({**{c: [pdf[c].iloc[0]] for c in (*_PLACE, "sub")}, "dim": [mat.shape[1]],
                          "ids": [pdf["id"].to_numpy("int64").tobytes()], "mat": [mat.tobytes()]})
 
 
-def _blocks(vectors: DataFrame, rows: int, block_rows: int) -> tuple[DataFrame, int]:
-    n = max(1, math.ceil(rows / block_rows))
-    df = vectors.select("id", as_double("vec").alias("vec"),
-                        F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("block"))
-    return df.groupBy("block").applyInPandas(_pack, "block int, dim int, ids binary, mat binary"), n
-
-
 def _unpack(row) -> tuple[np.ndarray, np.ndarray]:
     ids = np.frombuffer(row.ids, dtype="int64")
     return ids, np.frombuffer(row.mat, dtype="float64").reshape(len(ids), row.dim)
 
 
+def meetings(home: DataFrame, threshold: float, block_rows: int, rows: int | None = None, guests: DataFrame | None = None) -> Meetings:
+    """How (id, vec) meet one another, or, if given, how guests (id, vec) meet them."""
+    home = home.select("id", as_double("vec").alias("vec"))
+    guests = None if guests is None else guests.select("id", as_double("vec").alias("vec"))
+    cells = _cells(home, home.count() if rows is None else rows, guests, threshold, block_rows)
+    shared = home.sparkSession.sparkContext.broadcast(cells)
+
+    def places(vec: np.ndarray, kind: str) -> Iterator[tuple[bool, tuple]]:
+        if not len(shared.value.pivots):  # nobody is at home
+            return
+        if kind != "guests":
+            yield True, shared.value.homes(vec)
+        if kind != "home":
+            yield False, shared.value.visits(vec, kind == "both")
+
+    def counted(kind: str):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                if len(pdf):
+                    for is_home, (_, cell, ring) in places(np.stack(pdf["vec"].to_numpy()), kind):
+                        at, n = np.unique(np.stack((cell, ring), axis=1), axis=0, return_counts=True)
+                        yield pd.DataFrame({"cell": at[:, 0], "ring": at[:, 1], "home": is_home, "n": n})
+
+        return run
+
+    sides = [(home, "both")] if guests is None else [(home, "home"), (guests, "guests")]
+    sizes: dict[tuple[int, int, bool], int] = {}
+    for df, kind in sides:  # as many rows as there are places, which pivots and rings bound
+        for r in df.select("vec").mapInPandas(counted(kind), "cell int, ring int, home boolean, n long").groupBy(*_PLACE).agg(F.sum("n").alias("n")).collect():
+            sizes[r.cell, r.ring, r.home] = r.n
+    out = Meetings(home, sizes, block_rows, guests is not None)
+    parts = {k: out.parts(k) for k in sizes}
+
+    def placed(kind: str):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                if len(pdf):
+                    ids, vecs = pdf["id"].to_numpy(), pdf["vec"].to_numpy()
+                    for is_home, (i, cell, ring) in places(np.stack(vecs), kind):
+                        n = np.array([parts[c, r, is_home] for c, r in zip(cell.tolist(), ring.tolist())], np.int64)
+                        mixed = (ids[i].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+                        yield pd.DataFrame({"cell": cell, "ring": ring, "home": is_home, "sub": (mixed.astype(np.int64) % np.maximum(n, 1)).astype("int32"), "id": ids[i], "vec": vecs[i]})
+
+        return run
+
+    schema = "cell int, ring int, home boolean, sub int, id long, vec array<double>"
+    for df, kind in sides:
+        part = df.mapInPandas(placed(kind), schema)
+        out.placed = part if df is sides[0][0] else out.placed.unionByName(part)
+    return out
+
+
 def _pairs_of(a, b, same: bool, threshold: float):
     """Index pairs and similarities between two blocks; within one block each pair once."""
     sims = a @ b.T
@@ -59,28 +238,21 @@ def _stats_frame(hi, lo) -> pd.DataFrame:
     return g.rename(columns={"min": "first", "size": "degree"})
 
 
-def _self_meetings(blocks: DataFrame, n: int) -> DataFrame:
-    """Every unordered pair of blocks as a group of two rows (one on the diagonal)."""
-    other = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    return (
-        blocks.withColumn("other", other)
-        .withColumn("b1", F.least("block", "other")).withColumn("b2", F.greatest("block", "other"))
-        .repartition(max(1, min(n * (n + 1) // 2, 20_000)), "b1", "b2").groupBy("b1", "b2")
-    )
+def _both(pdf: pd.DataFrame) -> tuple:
+    rows = list(pdf.sort_values("side").itertuples(index=False))
+    return (*_unpack(rows[0]), *_unpack(rows[-1]), len(rows) == 1)
 
 
 def near_pairs(vectors: DataFrame, threshold: float, block_rows: int = BLOCK_ROWS, rows: int | None = None) -> DataFrame:
-    """Pairs lo < hi of (id, vec) with cosine >= threshold: lo, hi, sim. Vectors are unit vectors."""
-    blocks, n = _blocks(vectors, vectors.count() if rows is None else rows, block_rows)
+    """Pairs lo < hi of (id, vec) whose product reaches the threshold: lo, hi, sim."""
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = list(pdf.sort_values("block").itertuples(index=False))
-        (ia, a), (ib, b) = _unpack(rows[0]), _unpack(rows[-1])
-        i, j, s = _pairs_of(a, b, len(rows) == 1, threshold)
+        ia, a, ib, b, same = _both(pdf)
+        i, j, s = _pairs_of(a, b, same, threshold)
         x, y = ia[i], ib[j]
         return pd.DataFrame({"lo": np.minimum(x, y), "hi": np.maximum(x, y), "sim": s})
 
-    return _self_meetings(blocks, n).applyInPandas(meet, "lo long, hi long, sim double")
+    return meetings(vectors, threshold, block_rows, rows).run(meet, "lo long, hi long, sim double")
 
 
 def _combine(stats: DataFrame) -> DataFrame:
@@ -88,40 +260,27 @@ def _combine(stats: DataFrame) -> DataFrame:
 
 
 def earlier_neighbours(vectors: DataFrame, threshold: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(id, first, degree) of every vector with smaller-id neighbours. One row per vector and pair of
-    blocks at most, however many pairs pass: a crowd of near copies yields no crowd of pairs."""
-    blocks, n = _blocks(vectors, vectors.count(), block_rows)
+    """(id, first, degree) of every vector with smaller-id neighbours. One row per vector and meeting
+    of blocks at most, however many pairs pass: a crowd of near copies yields no crowd of pairs."""
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = list(pdf.sort_values("block").itertuples(index=False))
-        (ia, a), (ib, b) = _unpack(rows[0]), _unpack(rows[-1])
-        i, j, _ = _pairs_of(a, b, len(rows) == 1, threshold)
+        ia, a, ib, b, same = _both(pdf)
+        i, j, _ = _pairs_of(a, b, same, threshold)
         x, y = ia[i], ib[j]
         return _stats_frame(np.maximum(x, y), np.minimum(x, y))
 
-    return _combine(_self_meetings(blocks, n).applyInPandas(meet, "id long, first long, degree long"))
+    return _combine(meetings(vectors, threshold, block_rows).run(meet, "id long, first long, degree long"))
 
 
 def neighbours_among(vectors: DataFrame, leaders: DataFrame, threshold: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(id, first, degree) over the smaller-id leaders near to each vector."""
-    left, n = _blocks(vectors, vectors.count(), block_rows)
-    right, m = _blocks(leaders, leaders.count(), block_rows)
-    both = left.select("*", F.lit(0).alias("side"), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("r")) \
-        .withColumn("l", F.col("block")) \
-        .unionByName(
-            right.select("*", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("l"))
-            .withColumn("r", F.col("block")))
+    """(id, first, degree) over the smaller-id leaders near to each vector. Leaders are at home in the cells."""
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = list(pdf.sort_values("side").itertuples(index=False))
-        if len(rows) < 2:
-            return _stats_frame([], [])
-        (ia, a), (ib, b) = _unpack(rows[0]), _unpack(rows[1])
-        i, j = np.nonzero((a @ b.T >= threshold) & (ib[None, :] < ia[:, None]))
-        return _stats_frame(ia[i], ib[j])
+        il, lead, iv, vec, _ = _both(pdf)
+        i, j = np.nonzero((vec @ lead.T >= threshold) & (il[None, :] < iv[:, None]))
+        return _stats_frame(iv[i], il[j])
 
-    met = both.groupBy("l", "r").applyInPandas(meet, "id long, first long, degree long")
-    return _combine(met)
+    return _combine(meetings(leaders, threshold, block_rows, guests=vectors).run(meet, "id long, first long, degree long"))
 
 
 def leader_clusters(
@@ -131,11 +290,14 @@ def leader_clusters(
     direct_up_to: int = DIRECT_EDGES_UP_TO,
     edges_per_vector: int = EDGES_PER_VECTOR,
     edges_per_task: int = EDGES_PER_TASK,
+    batch_rows: int = BATCH_ROWS,
 ) -> DataFrame:
     """(id, leader) by cosine >= threshold, in id order.
 
-    Equal vectors are clustered once. Few vectors, or a sparse graph: list the edges, elect leaders. A
-    dense graph: never list its edges, but peel off leaders and what they cover until the rest is sparse.
+    Equal vectors are clustered once. Few vectors: list the edges, elect leaders. Many: go through the ids in batches,
+    each twice as large as the one before. A batch meets the leaders found so far, in the cells where near ones can be;
+    whom they cover is settled, as no later leader comes first. Only the others meet one another. So the work is that of
+    meeting leaders near by, and a crowd, once it has a leader, is not compared with itself.
     """
     digest = F.sha2(F.concat_ws(",", as_double("vec").cast("array<string>")), 256)
     vectors = vectors.select("id", as_double("vec").alias("vec"), digest.alias("digest"))
@@ -144,12 +306,39 @@ def leader_clusters(
     if n <= direct_up_to:
         chosen = elect(first, cut_lineage(near_pairs(first, threshold, block_rows, n)), edges_per_task)
     else:
-        chosen = _peel(first, threshold, block_rows, edges_per_vector, edges_per_task)
+        chosen = _in_batches(first, n, threshold, block_rows, edges_per_vector, edges_per_task, batch_rows)
     # every copy of a vector goes where the first one went; only ids and digests move
     rep = first.select("id", "digest").join(chosen, "id").select("digest", "leader")
     return vectors.select("id", "digest").join(rep, "digest").select("id", "leader")
 
 
+def _in_batches(first: DataFrame, n: int, threshold: float, block_rows: int, edges_per_vector: int, edges_per_task: int,
+                batch_rows: int) -> DataFrame:
+    ends, size = [], batch_rows
+    while size < n:
+        ends.append(size / n)
+        size = 2 * size + batch_rows
+    # any cut of the ids gives the same clusters
+    cuts = sorted({int(c) for c in first.stat.approxQuantile("id", ends, 0.001)}) if ends else []
+    leaders, settled = None, []
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        rest = first
+        rest = rest if low is None else rest.filter(F.col("id") > low)
+        rest = rest if high is None else rest.filter(F.col("id") <= high)
+        if leaders is not None:
+            led = cut_lineage(neighbours_among(rest, leaders, threshold, block_rows).select("id", F.col("first").alias("leader")))
+            settled.append(led)
+            rest = cut_lineage(rest.join(led, "id", "left_anti"))
+        chosen = cut_lineage(_peel(rest, threshold, block_rows, edges_per_vector, edges_per_task))
+        settled.append(chosen)
+        new = rest.join(chosen.filter("id = leader").select("id"), "id", "left_semi")
+        leaders = cut_lineage(new if leaders is None else leaders.unionByName(new))
+    out = settled[0]
+    for more in settled[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 def _peel(first: DataFrame, threshold: float, block_rows: int, edges_per_vector: int, edges_per_task: int) -> DataFrame:
     rest, leaders = first, []
     while True:

@@ -69,6 +69,7 @@ def _vectors(n, dim=8):
 @pytest.mark.parametrize("kw", [
     {}, {"block_rows": 30}, {"block_rows": 30, "direct_up_to": 0, "edges_per_vector": 0},
     {"block_rows": 40, "direct_up_to": 0, "edges_per_vector": 3, "edges_per_task": 0},
+    {"block_rows": 16, "direct_up_to": 0, "batch_rows": 40},
 ])
 def test_cosine_clusters_equal_the_sequential_rule(spark, kw):
     v = _vectors(150)
@@ -84,6 +85,68 @@ def test_pairs_in_blocks(spark):
     assert got == [(i, j) for i in range(90) for j in range(i + 1, 90) if float(v[i] @ v[j]) >= 0.7]
 
 
+@pytest.mark.parametrize("threshold,scale", [(0.9, 1.0), (0.6, 1.0), (0.2, 1.0), (0.0, 1.0), (-0.5, 1.0), (2.0, 2.0), (0.05, 0.5)])
+def test_pairs_by_cells_equal_brute_force(spark, threshold, scale):
+    """With many cells, rings and split blocks; vectors of several lengths, zeros among them."""
+    rnd = np.random.default_rng(8)
+    v = _vectors(240, 5) * scale * rnd.choice([0.0, 0.6, 1.0], size=(240, 1), p=[0.02, 0.3, 0.68])
+    df = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(v)], "id long, vec array<double>")
+    got = sorted((r.lo, r.hi) for r in cosine.near_pairs(df, threshold, block_rows=16).collect())
+    sims = v @ v.T
+    sure = [(i, j) for i in range(240) for j in range(i + 1, 240) if sims[i, j] >= threshold + 1e-12]
+    assert len(got) == len(set(got)) and set(sure) <= set(got) and all(sims[p] >= threshold - 1e-12 for p in got)
+
+
+def test_cells_save_most_products_on_clustered_vectors(spark):
+    rnd = np.random.default_rng(4)
+    centre = rnd.normal(size=(80, 24))
+    v = centre[rnd.integers(0, 80, 6000)] + 0.2 * rnd.normal(size=(6000, 24))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(v)], "id long, vec array<double>")
+    m = cosine.meetings(df, 0.9, 200)
+    assert m.products < 0.25 * 6000 * 6000 / 2
+    assert max(m.sizes[k] / m.parts(k) for k in m.sizes) <= 200
+    got = {(r.lo, r.hi) for r in cosine.near_pairs(df, 0.9, 200).collect()}
+    i, j = np.nonzero(np.triu(v @ v.T >= 0.9, 1))
+    assert got == set(zip(i.tolist(), j.tolist()))
+
+
+def test_leaders_in_batches_do_not_compare_crowds(spark, monkeypatch):
+    """3,000 vectors in 12 crowds: after the first batch nearly all are covered by a leader there is."""
+    rnd = np.random.default_rng(6)
+    centre = rnd.normal(size=(12, 16))
+    v = centre[rnd.integers(0, 12, 3000)] + 0.05 * rnd.normal(size=(3000, 16))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    done = []
+    run = cosine.Meetings.run
+    monkeypatch.setattr(cosine.Meetings, "run", lambda self, *a: done.append(self.products) or run(self, *a))
+    df = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(v)], "id long, vec array<double>")
+    got = {r.id: r.leader for r in cosine.leader_clusters(df, 0.9, 200, direct_up_to=0, batch_rows=100).collect()}
+    near = v @ v.T >= 0.9
+    assert got == lead_in_order(range(3000), lambda i, j: bool(near[i, j]))
+    assert sum(done) < 0.05 * 3000 * 3000 / 2
+
+
+def test_no_vectors(spark):
+    none = spark.createDataFrame([], "id long, vec array<double>")
+    one = spark.createDataFrame([(1, [1.0, 0.0])], "id long, vec array<double>")
+    assert cosine.near_pairs(none, 0.5).count() == 0 and cosine.neighbours_among(one, none, 0.5).count() == 0
+    assert [tuple(r) for r in cosine.leader_clusters(one, 0.5).collect()] == [(1, 1)] and cosine.leader_clusters(none, 0.5).count() == 0
+
+
+def test_guests_meet_leaders_by_cells(spark):
+    v = _vectors(300, 5)
+    df = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(v)], "id long, vec array<double>")
+    lead = df.filter("id % 3 = 0")
+    got = {r.id: (r["first"], r.degree) for r in cosine.neighbours_among(df, lead, 0.8, block_rows=16).collect()}
+    want = {}
+    for i in range(300):
+        near = [j for j in range(0, i, 3) if v[i] @ v[j] >= 0.8]
+        if near:
+            want[i] = (near[0], len(near))
+    assert got == want
+
+
 def test_hamming_plan_has_no_cross_join(spark):
     df = spark.range(100).select("id", F.xxhash64("id").alias("code"), F.lit(3).alias("radius"))
     plan = hamming.radius_pairs(df)._jdf.queryExecution().executedPlan().toString()

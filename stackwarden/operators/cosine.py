@@ -71,13 +71,12 @@ class Cells:
 def _draw(vectors: DataFrame, n: int) -> np.ndarray:
     """n pivots at most: vectors drawn by a hash of their id."""
     rows = vectors.orderBy(F.xxhash64("id", F.lit(1)), "id").limit(n).select("vec").collect()
-    p = np.array([r.vec for r in rows], dtype="float64") if rows else np.zeros((0, 1))
+    p = np.array([r.vec for r in rows], dtype="float64")
     return p / np.maximum(np.linalg.norm(p, axis=1, keepdims=True), 1e-12)
 
 
-def _cells(home: DataFrame, rows: int, guests: DataFrame | None, threshold: float, block_rows: int) -> Cells:
-    """Cells of the home vectors. Few vectors, or a threshold that even opposite ones may reach, make a single cell."""
-    k = min(PIVOTS, rows // max(1, block_rows // 4)) if rows > block_rows and threshold > 0 else 1
+def _cells(home: DataFrame, k: int, guests: DataFrame | None, threshold: float) -> Cells:
+    """k cells of the home vectors."""
     pivots = _draw(home, k)
     first = Cells(pivots, np.zeros(len(pivots)), math.pi, math.pi)
 
@@ -90,8 +89,6 @@ def _cells(home: DataFrame, rows: int, guests: DataFrame | None, threshold: floa
                 got = pd.DataFrame({"cell": own.astype("int32"), "angle": a[np.arange(len(a)), own], "length": np.linalg.norm(vec, axis=1)})
                 yield got.groupby("cell", as_index=False).max()
 
-    if k <= 1:
-        return Cells(pivots, np.full(len(pivots), math.pi), math.pi, 2 * math.pi)
     top = F.max("length").alias("length")
     got = home.select("vec").mapInPandas(widest, "cell int, angle double, length double").groupBy("cell").agg(F.max("angle").alias("angle"), top).collect()
     reach = np.zeros(len(pivots))
@@ -137,6 +134,8 @@ class Meetings:
     def run(self, meet: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
         """meet(one or two packed blocks, the first one home) for every meeting, each in a group of its own."""
         spark = self.placed.sparkSession
+        if len(self.sizes) == 1 and max(self.parts(x) for x in self.sizes) == 1:  # a single block
+            return self.placed.groupBy(*_PLACE, "sub").applyInPandas(lambda pdf: meet(_pack(pdf).assign(side=0)), schema)
         rows, n = [], 0
         for x, y in self.pairs():
             a, b = self.parts(x), self.parts(y)
@@ -172,12 +171,23 @@ def meetings(home: DataFrame, threshold: float, block_rows: int, rows: int | Non
     """How (id, vec) meet one another, or, if given, how guests (id, vec) meet them."""
     home = home.select("id", as_double("vec").alias("vec"))
     guests = None if guests is None else guests.select("id", as_double("vec").alias("vec"))
-    cells = _cells(home, home.count() if rows is None else rows, guests, threshold, block_rows)
+    rows = home.count() if rows is None else rows
+    k = min(PIVOTS, rows // max(1, block_rows // 4)) if rows > block_rows and threshold > 0 else 1
+    if k == 1:  # one cell for all
+        sizes = {(0, 0, True): rows} if rows else {}
+        if guests is not None and rows:
+            sizes[0, 0, False] = guests.count()
+        out = Meetings(home, sizes, block_rows, guests is not None)
+        for df, is_home in ((home, True), (guests, False)):
+            if df is not None:
+                part = df.select(F.lit(0).alias("cell"), F.lit(0).alias("ring"), F.lit(is_home).alias("home"), F.pmod(
+                    F.xxhash64("id"), F.lit(out.parts((0, 0, is_home)))).cast("int").alias("sub"), "id", "vec")
+                out.placed = part if is_home else out.placed.unionByName(part)
+        return out
+    cells = _cells(home, k, guests, threshold)
     shared = home.sparkSession.sparkContext.broadcast(cells)
 
     def places(vec: np.ndarray, kind: str) -> Iterator[tuple[bool, tuple]]:
-        if not len(shared.value.pivots):  # nobody is at home
-            return
         if kind != "guests":
             yield True, shared.value.homes(vec)
         if kind != "home":

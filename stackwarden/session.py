@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,6 +25,7 @@ RUNTIME_SETTINGS = {
 }
 
 _local_dirs: dict[str, str] = {}
+_recorded: list[list[str]] = []
 
 
 def tune(spark: SparkSession) -> SparkSession:
@@ -59,7 +62,27 @@ def shared_dir(spark: SparkSession) -> str:
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new, unused path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    for paths in _recorded:
+        paths.append(path)
+    return path
+
+
+@contextmanager
+def recorded_paths() -> Iterator[list[str]]:
+    """The paths that fresh_path gives out inside, for a caller that knows when they are done with."""
+    paths: list[str] = []
+    _recorded.append(paths)
+    try:
+        yield paths
+    finally:
+        _recorded.remove(paths)
+
+
+def delete_paths(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -1,16 +1,19 @@
 """Matching known folder names against an asset's text and file name.
 
 Level 1: a folder segment occurs in the text or name once spaces and punctuation are gone. The first such
-segment, in folder order, wins outright. Else the best folder whose words are found, spelling mistakes
-allowed. Both levels are equi joins: level 1 on the first four letters of the segment, the fuzzy word
-search on pieces of words (if two words are k edits apart, one of k + 1 pieces of the first is in the
-second, moved by at most k places), so neither compares everything with everything.
+segment, in folder order, wins outright: all segments are searched for at once, by an automaton that reads
+each text once. Else the best folder whose words are found, spelling mistakes allowed. That search is an equi
+join on pieces of words (if two words are k edits apart, one of k + 1 pieces of the first is in the second,
+moved by at most k places), so it does not compare everything with everything.
 """
 
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +26,8 @@ MIN_SEGMENT = 4
 OFTEN_USED = 3
 # So few segments or words go into the plan as a literal; more of them are joined.
 FEW = 256
+# Letters of all segments and folder names up to which an automaton of them is sent to every task.
+AUTOMATON_LETTERS = 16 << 20
 
 
 def segments(folders: DataFrame) -> DataFrame:
@@ -44,7 +49,7 @@ def _literal(rows: list[dict], schema: str) -> Column:
     return F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")
 
 
-def whole_name_matches(assets: DataFrame, segs: DataFrame, few: int = FEW) -> DataFrame:
+def whole_name_matches(assets: DataFrame, segs: DataFrame, few: int = FEW, automaton_letters: int = AUTOMATON_LETTERS) -> DataFrame:
     """Level 1: the first segment that occurs in the compact text or file name of (asset_id, text, filename)."""
     if is_small(segs, few):
         rows = [{"folder": r.folder, "used_count": r.used_count, "c": r.compact}
@@ -61,6 +66,47 @@ def whole_name_matches(assets: DataFrame, segs: DataFrame, few: int = FEW) -> Da
         both = F.array(F.struct(compact("text").alias("t"), compact("filename").alias("n")))
         first = assets.select("asset_id", F.explode(F.flatten(F.transform(both, hit))).alias("s"))
         return _whole_confidence(first.select("asset_id", "s.*"))
+    letters = segs.agg(F.sum(F.length("compact") + F.length("folder"))).first()[0] or 0
+    if letters <= automaton_letters:
+        return _whole_confidence(_by_automaton(assets, segs))
+    return _whole_confidence(_by_anchors(assets, segs))
+
+
+def _by_automaton(assets: DataFrame, segs: DataFrame) -> DataFrame:
+    """One pass over each text with all segments at once. The automaton is built by each task from the broadcast list,
+    whose size the caller has counted. Of equal segments the first in folder order stands for all."""
+    known: dict[str, tuple[int, str, int]] = {}
+    for i, r in enumerate(segs.select("place", "folder", "used_count", "compact").orderBy("place").toLocalIterator()):
+        known.setdefault(r.compact, (i, r.folder, r.used_count))
+    shared = assets.sparkSession.sparkContext.broadcast(known)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = ahocorasick.Automaton()
+        for word, found in shared.value.items():
+            machine.add_word(word, found)
+        machine.make_automaton()
+        none = (float("inf"), None, None)
+
+        def first(text: str | None) -> tuple:
+            return min((found for _, found in machine.iter(text)), default=none) if text else none
+
+        for b in batches:
+            rows = []
+            for asset_id, text, name in zip(*(c.to_pylist() for c in b.columns)):
+                t, n = first(text), first(name)
+                best = min(t, n, key=lambda found: found[0])
+                if best is not none:
+                    rows.append((asset_id, best[1], best[2], t is best, n is best))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(
+                (pa.int64(), pa.string(), pa.int64(), pa.bool_(), pa.bool_()))], ["asset_id", "folder", "used_count", "in_text", "in_name"])
+
+    flat = assets.select(F.col("asset_id").cast("long").alias("asset_id"), compact("text").alias("t"), compact("filename").alias("n"))
+    return flat.mapInArrow(run, "asset_id long, folder string, used_count long, in_text boolean, in_name boolean") if known else flat.select(
+        "asset_id", F.lit("").alias("folder"), F.lit(0).alias("used_count"), F.lit(False).alias("in_text"), F.lit(False).alias("in_name")).limit(0)
+
+
+def _by_anchors(assets: DataFrame, segs: DataFrame) -> DataFrame:
+    """For lists of segments too large to be sent to every task: runs of letters meet segments on their first letters."""
     longest = segs.agg(F.max(F.length("compact"))).first()[0]
 
     def windows(col: str, where: str) -> DataFrame:
@@ -77,7 +123,7 @@ def whole_name_matches(assets: DataFrame, segs: DataFrame, few: int = FEW) -> Da
         F.max(F.col("place_of") == "text").alias("in_text"), F.max(F.col("place_of") == "name").alias("in_name"))
     first = per_segment.groupBy("asset_id").agg(
         F.min(F.struct("place", "folder", "used_count", "in_text", "in_name")).alias("b"))
-    return _whole_confidence(first.select("asset_id", "b.*"))
+    return first.select("asset_id", "b.*")
 
 
 def _whole_confidence(first: DataFrame) -> DataFrame:

@@ -59,6 +59,32 @@ def test_known_folders(spark, few):
     assert got == want
 
 
+def test_automaton_finds_what_anchors_and_literals_find(spark):
+    rnd = random.Random(12)
+    word = lambda: "".join(rnd.choice("abc") for _ in range(rnd.randint(2, 7)))
+    names = sorted({"/".join(word() for _ in range(rnd.randint(1, 3))) for _ in range(60)})
+    f = spark.createDataFrame([(x, rnd.randrange(5), i) for i, x in enumerate(names)], "folder string, used_count long, first_seen long")
+    texts = [(i, " ".join(word() for _ in range(rnd.randint(0, 6))), word() + ".pdf") for i in range(200)] + [(900, None, "x"), (901, "", None)]
+    a = spark.createDataFrame(texts, "asset_id int, text string, filename string")
+    segs = folder_match.segments(f)
+    rows = lambda df: sorted((r.asset_id, r.folder, round(r.confidence, 9)) for r in df.collect())
+    got = folder_match.whole_name_matches(a, segs, 0)
+    assert "(?=(" not in got._jdf.queryExecution().executedPlan().toString()
+    assert rows(got) == rows(folder_match.whole_name_matches(a, segs)) == rows(folder_match.whole_name_matches(a, segs, 0, 0)) != []
+    assert folder_match.whole_name_matches(a, segs.limit(0), -1).count() == 0
+
+
+def test_a_hundred_thousand_folders(spark):
+    f = spark.range(100_000).select(F.format_string("topic%05d/case file %05d", "id", F.lit(99_999) - F.col("id")).alias("folder"),
+                                    (F.col("id") % 7).alias("used_count"), F.col("id").alias("first_seen"))
+    a = spark.range(2_000).select(F.col("id").alias("asset_id"), F.concat(F.repeat(F.lit("some words before "), 20), F.format_string("Case-File %05d", F.col("id") * 40)).alias("text"),
+                                  F.when(F.col("id") % 2 == 0, F.format_string("topic%05d.pdf", F.lit(99_999) - F.col("id") * 40)).otherwise("scan.pdf").alias("filename"))
+    got = {r.asset_id: (r.folder, round(r.confidence, 2)) for r in folder_match.whole_name_matches(a, folder_match.segments(f)).collect()}
+    for i in range(2_000):
+        k = 99_999 - 40 * i
+        assert got[i] == (f"topic{k:05d}/case file {40 * i:05d}", 0.85 if k % 7 >= 3 else 0.8)
+
+
 def test_pieces_find_all_words_within_the_bound(spark):
     rnd = random.Random(8)
     needles = ["".join(rnd.choice("abc") for _ in range(rnd.randrange(4, 15))) for _ in range(40)]

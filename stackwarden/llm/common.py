@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import tune
+from ..session import fresh_path, tune
 
 # Rows handed to Python at once. Documents are long, so a batch stays a few megabytes.
 BATCH_ROWS = 256
@@ -63,6 +63,14 @@ def over_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa
     return df.mapInArrow(run, schema)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Written to the shared folder and read again. Spark then knows how large it is, and sends it to where large rows are
+    if it is small, instead of shuffling those."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def one_of_each(rows: DataFrame, roots: DataFrame) -> DataFrame:
     """rows: row, rid, doc_id, text_hash, node; roots: node, root (missing: itself). Of each component the row with the
     smallest doc_id stays, and one of those without doc_id. Rows are told apart by rid, so a doc_id that stands on
@@ -72,5 +80,5 @@ def one_of_each(rows: DataFrame, roots: DataFrame) -> DataFrame:
         "rid", "doc_id", "text_hash", F.coalesce("root", "node").alias("root"))
     stay = placed.groupBy("root", F.col("doc_id").isNull().alias("nameless")).agg(
         F.min(F.struct("doc_id", "text_hash", "rid")).alias("first")).select(F.col("first.rid").alias("stay"))
-    gone = placed.join(stay, F.col("rid") == F.col("stay"), "left_anti").select(F.col("rid").alias("gone"))
+    gone = stored(placed.join(stay, F.col("rid") == F.col("stay"), "left_anti").select(F.col("rid").alias("gone")), "gone")
     return rows.join(gone, F.col("rid") == F.col("gone"), "left_anti").select("row.*")

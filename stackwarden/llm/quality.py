@@ -23,9 +23,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 ROUNDS = 15
 START_PRIOR = 0.8
 START_ACCURACY = 0.8
+START_BAD = 0.5
 SMOOTH = 1.0
 KEEP_FROM = 0.5
-# Bounds of estimate_bounded: what each rule at least gets right
+# What each rule at least gets right among good and among bad texts
 GOOD_FROM = 0.99
 BAD_FROM = 0.1
 MOST_ROUNDS = 1000
@@ -98,40 +99,21 @@ def posterior(p: dict[str, float], rules=tuple(RULES)) -> Column:
     return F.expr(f"({good}) / (({good}) + ({bad}))")
 
 
-def estimate(counted: DataFrame, rules=tuple(RULES), rounds: int = ROUNDS) -> dict[str, float]:
-    """counted: distinct votes with their number n, at most 3^rules rows. Each round is one aggregation."""
-    p = {"prior": START_PRIOR}
-    for name, *_ in rules:
-        p[f"good_{name}"] = p[f"bad_{name}"] = START_ACCURACY
-    g, b = F.col("n") * F.col("g"), F.col("n") * (1 - F.col("g"))
-    for _ in range(rounds):
-        sums = [F.sum(g).alias("good"), F.sum("n").alias("all")]
-        for name, *_ in rules:
-            v = F.col(f"v_{name}")
-            sums += [F.sum(F.when(v == 1, g).otherwise(0)).alias(f"gy_{name}"), F.sum(F.when(v != 0, g).otherwise(0)).alias(f"gn_{name}"),
-                     F.sum(F.when(v == -1, b).otherwise(0)).alias(f"by_{name}"), F.sum(F.when(v != 0, b).otherwise(0)).alias(f"bn_{name}")]
-        s = counted.withColumn("g", posterior(p, rules)).agg(*sums).first()
-        if not s["all"]:
-            return p
-        p = {"prior": (s["good"] + SMOOTH) / (s["all"] + 2 * SMOOTH)}
-        for name, *_ in rules:
-            p[f"good_{name}"] = (s[f"gy_{name}"] + SMOOTH) / (s[f"gn_{name}"] + 2 * SMOOTH)
-            p[f"bad_{name}"] = (s[f"by_{name}"] + SMOOTH) / (s[f"bn_{name}"] + 2 * SMOOTH)
-    return p
-
-
-def estimate_bounded(counted: DataFrame, rules=tuple(RULES)) -> dict[str, float]:
-    """As estimate(), until converged, but no rule may turn round. Left free, the estimate explains the rejections of a
-    rule that few others back as noise and ends with rules that vouch for what they reject. A rule's thresholds are
-    set so that it rejects next to no good text (GOOD_FROM) and some of the bad (BAD_FROM): so a vote to reject always
-    counts against a text, by (BAD_FROM / (1 - GOOD_FROM)) at least. The at most 3^rules rows are summed here."""
+def estimate(counted: DataFrame, rules=tuple(RULES), rounds: int | None = None, good_from: float = GOOD_FROM,
+             bad_from: float = BAD_FROM) -> dict[str, float]:
+    """counted: distinct votes with their number n, at most 3^rules rows, which are summed here. Goes on until nothing
+    changes, or for so many rounds. No rule may turn round: left free (bounds of zero), the estimate explains the
+    rejections of a rule that few others back as noise and ends with rules that vouch for what they reject. A rule's
+    thresholds are set so that it rejects next to no good text (good_from) and some of the bad (bad_from): so a vote to
+    reject always counts against a text, by bad_from / (1 - good_from) at least."""
     rows = counted.collect()
+    good0, bad0 = max(START_ACCURACY, good_from), max(START_BAD, bad_from)
     if not rows:
-        return {"prior": START_PRIOR} | {f"{k}_{name}": START_ACCURACY for name, *_ in rules for k in ("good", "bad")}
+        return {"prior": START_PRIOR} | {f"{k}_{name}": x for name, *_ in rules for k, x in (("good", good0), ("bad", bad0))}
     v = np.array([[r[f"v_{name}"] for name, *_ in rules] for r in rows])
     n = np.array([r["n"] for r in rows], float)
-    prior, good, bad = START_PRIOR, np.full(len(rules), GOOD_FROM), np.full(len(rules), 0.5)
-    for _ in range(MOST_ROUNDS):
+    prior, good, bad = START_PRIOR, np.full(len(rules), good0), np.full(len(rules), bad0)
+    for _ in range(MOST_ROUNDS if rounds is None else rounds):
         g = prior * np.where(v == 1, good, np.where(v == -1, 1 - good, 1)).prod(axis=1)
         b = (1 - prior) * np.where(v == -1, bad, np.where(v == 1, 1 - bad, 1)).prod(axis=1)
         g, b = n * g / (g + b), n * b / (g + b)
@@ -140,9 +122,9 @@ def estimate_bounded(counted: DataFrame, rules=tuple(RULES)) -> dict[str, float]
             return ((v == vote) * weight[:, None]).sum(axis=0) + SMOOTH, ((v != 0) * weight[:, None]).sum(axis=0) + 2 * SMOOTH
 
         (gy, gn), (by, bn) = right(g, 1), right(b, -1)
-        last, now = (prior, good, bad), ((g.sum() + SMOOTH) / (n.sum() + 2 * SMOOTH), np.maximum(gy / gn, GOOD_FROM), np.maximum(by / bn, BAD_FROM))
+        last, now = (prior, good, bad), ((g.sum() + SMOOTH) / (n.sum() + 2 * SMOOTH), np.maximum(gy / gn, good_from), np.maximum(by / bn, bad_from))
         prior, good, bad = now
-        if max(np.abs(x - y).max() for x, y in zip(last, now)) < 1e-9:
+        if rounds is None and max(np.abs(x - y).max() for x, y in zip(last, now)) < 1e-9:
             break
     return {"prior": float(prior)} | {f"{k}_{name}": float(x) for k, side in (("good", good), ("bad", bad)) for (name, *_), x in zip(rules, side)}
 
@@ -152,21 +134,21 @@ def count_votes(with_votes: DataFrame, rules=tuple(RULES)) -> DataFrame:
 
 
 def judge(docs: DataFrame, rules=tuple(RULES), keep_from: float = KEEP_FROM) -> DataFrame:
-    """doc_id, counts, votes, base_failed, quality (the posterior) and kept for every row."""
+    """doc_id, counts, votes, base_failed, quality (the posterior) and kept for every row, after ROUNDS rounds."""
     rows = cut_lineage(with_counts(id_and_text(docs), "doc_id").select("*", *votes(rules)))
-    p = estimate(count_votes(rows, rules), rules)
+    p = estimate(count_votes(rows, rules), rules, ROUNDS)
     rows = rows.withColumn("base_failed", F.expr(BASE_FAILED)).withColumn("quality", posterior(p, rules))
     return rows.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= keep_from))
 
 
 def keep_good(docs: DataFrame, rules=tuple(RULES), keep_from: float = KEEP_FROM) -> DataFrame:
-    """The rows of docs that are good by the bounded estimate, unchanged. judge() has the free one of its SQL. Rows are written once with their counts and votes, so nothing is
-    counted twice and nothing is joined back."""
+    """The rows of docs that are good, unchanged, by an estimate that goes on until nothing changes. Rows are written once
+    with their counts and votes, so nothing is counted twice and nothing is joined back."""
     spark, path = docs.sparkSession, fresh_path(docs.sparkSession, "quality")
     made = with_counts(whole_rows(docs), "row").select("*", *votes(rules))
     made.write.parquet(path)
     rows = spark.read.schema(made.schema).parquet(path)
-    p = estimate_bounded(count_votes(rows, rules), rules)
+    p = estimate(count_votes(rows, rules), rules)
     return rows.filter(~F.expr(BASE_FAILED) & (posterior(p, rules) >= keep_from)).select("row.*")
 
 
@@ -176,12 +158,12 @@ def judge_sql(rules=tuple(RULES), rounds: int = ROUNDS, keep_from: float = KEEP_
     good = " * ".join(["prior"] + [f"CASE v_{n} WHEN 1 THEN good_{n} WHEN -1 THEN 1 - good_{n} ELSE 1 END" for n, *_ in rules])
     bad = " * ".join(["(1 - prior)"] + [f"CASE v_{n} WHEN -1 THEN bad_{n} WHEN 1 THEN 1 - bad_{n} ELSE 1 END" for n, *_ in rules])
     steps = ["p0 AS (SELECT " + ", ".join([f"{START_PRIOR}::DOUBLE AS prior"] + [
-        f"{START_ACCURACY}::DOUBLE AS {k}_{n}" for n, *_ in rules for k in ("good", "bad")]) + ")"]
+        f"{x}::DOUBLE AS {k}_{n}" for n, *_ in rules for k, x in (("good", max(START_ACCURACY, GOOD_FROM)), ("bad", max(START_BAD, BAD_FROM)))]) + ")"]
     for i in range(rounds):
         outs = [f"(sum(n * g) + {SMOOTH}) / (sum(n) + {2 * SMOOTH}) AS prior"]
         for n, *_ in rules:
-            outs.append(f"(sum(CASE WHEN v_{n} = 1 THEN n * g ELSE 0 END) + {SMOOTH}) / (sum(CASE WHEN v_{n} <> 0 THEN n * g ELSE 0 END) + {2 * SMOOTH}) AS good_{n}")
-            outs.append(f"(sum(CASE WHEN v_{n} = -1 THEN n * (1 - g) ELSE 0 END) + {SMOOTH}) / (sum(CASE WHEN v_{n} <> 0 THEN n * (1 - g) ELSE 0 END) + {2 * SMOOTH}) AS bad_{n}")
+            outs.append(f"greatest({GOOD_FROM}, (sum(CASE WHEN v_{n} = 1 THEN n * g ELSE 0 END) + {SMOOTH}) / (sum(CASE WHEN v_{n} <> 0 THEN n * g ELSE 0 END) + {2 * SMOOTH})) AS good_{n}")
+            outs.append(f"greatest({BAD_FROM}, (sum(CASE WHEN v_{n} = -1 THEN n * (1 - g) ELSE 0 END) + {SMOOTH}) / (sum(CASE WHEN v_{n} <> 0 THEN n * (1 - g) ELSE 0 END) + {2 * SMOOTH})) AS bad_{n}")
         steps.append(f"p{i + 1} AS MATERIALIZED (SELECT {', '.join(outs)} FROM (SELECT votes.*, ({good}) / (({good}) + ({bad})) AS g FROM votes, p{i}))")
     word = WORD.replace("\\x20", " ")
     return f"""

@@ -72,7 +72,7 @@ def test_estimates_follow_agreeing_rules(spark):
         right = [rnd.random() < p for p in (0.95, 0.9, 0.6)]
         rows.append(tuple((1 if good == r else -1) if rnd.random() < 0.9 else 0 for r in right))
     df = spark.createDataFrame(rows, "a int, b int, c int").select(*quality.votes(rules))
-    p = quality.estimate(quality.count_votes(df, rules), rules, rounds=40)
+    p = quality.estimate(quality.count_votes(df, rules), rules, rounds=40, good_from=0.0, bad_from=0.0)
     assert abs(p["prior"] - 0.7) < 0.08 and p["good_a"] > p["good_c"] and p["bad_a"] > p["bad_c"]
 
 

@@ -22,7 +22,7 @@ def test_rejected_low_quality_texts_go_and_good_ones_stay(spark):
 def test_no_rule_turns_round(spark):
     docs = spark.read.parquet(f"{D}/documents.parquet")
     counted = quality.count_votes(quality.with_counts(docs, "doc_id").select(*quality.votes()))
-    p = quality.estimate_bounded(counted)
+    p = quality.estimate(counted)
     v = [f"v_{name}" for name, *_ in quality.RULES]
     ask = spark.createDataFrame([[1] * 5] + [[-1 if i == j else 1 for i in range(5)] for j in range(5)], ",".join(f"{c} int" for c in v))
     q = [r.q for r in ask.coalesce(1).select(quality.posterior(p).alias("q")).collect()]

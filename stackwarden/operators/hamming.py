@@ -67,14 +67,17 @@ def first_masks(n_codes: int) -> list[Mask]:
 def _keyed(codes: DataFrame, masks: dict[int, Mask]) -> DataFrame:
     keys = F.array(*[F.struct(F.lit(k).alias("mask"), F.col("code").bitwiseAND(F.lit(_signed(m.bits))).alias("part"))
                      for k, m in masks.items()])
-    return codes.select("id", "code", "radius", F.explode(keys).alias("k")).select("id", "code", "radius", "k.*")
+    return codes.select("id", "code", "radius", "leads", F.explode(keys).alias("k")).select("id", "code", "radius", "leads", "k.*")
 
 
 def radius_pairs(codes: DataFrame, max_bucket: int = MAX_BUCKET, wide_from: int = WIDE_KEYS_FROM) -> DataFrame:
-    """Pairs lo < hi of (id, code, radius) whose distance is within the radius of hi.
+    """Pairs lo < hi of (id, code, radius) whose distance is within the radius of hi. With a column leads, lo is one
+    that leads and hi one that does not.
 
     Codes should be distinct per radius; equal ones are collapsed by the caller.
     """
+    bipartite = "leads" in codes.columns
+    codes = codes.select("id", "code", "radius", "leads" if bipartite else F.lit(False).alias("leads"))
     n = codes.count()
     first = first_masks(n if wide_from == WIDE_KEYS_FROM else (WIDE_KEYS_FROM + 1 if n > wide_from else n))
     masks = dict(enumerate(first))
@@ -103,13 +106,14 @@ def radius_pairs(codes: DataFrame, max_bucket: int = MAX_BUCKET, wide_from: int
         # at most four rows per mask
         split = F.broadcast(codes.sparkSession.createDataFrame(children, "mask int, child int, bits long"))
         again = keyed.join(crowded, ["mask", "part"], "left_semi").join(split, "mask")
-        keyed = cut_lineage(again.select("id", "code", "radius", F.col("child").alias("mask"),
+        keyed = cut_lineage(again.select("id", "code", "radius", "leads", F.col("child").alias("mask"),
                                          F.col("code").bitwiseAND(F.col("bits")).alias("part")))
     keyed = done[0]
     for d in done[1:]:
         keyed = keyed.unionByName(d)
 
-    a, b = keyed.alias("a"), keyed.alias("b")
+    a, b = (keyed.filter("leads"), keyed.filter("NOT leads")) if bipartite else (keyed, keyed)
+    a, b = a.alias("a"), b.alias("b")
     diff = F.col("a.code").bitwiseXOR(F.col("b.code"))
     pairs = a.join(
         b,

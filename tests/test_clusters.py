@@ -58,6 +58,29 @@ def test_hash_clusters(spark):
     assert got == lead_in_order(codes, lambda i, j: bin((codes[i][0] ^ codes[j][0]) % (1 << 64)).count("1") <= codes[j][1])
 
 
+def test_a_ball_of_codes_is_never_listed_as_pairs(spark, monkeypatch):
+    """2,000 codes within three bits of one another's centre, and some far away: no step writes more rows than codes."""
+    rnd = random.Random(5)
+    centre = rnd.getrandbits(64)
+    ball = {centre}
+    while len(ball) < 2000:
+        ball.add(centre ^ sum(1 << b for b in rnd.sample(range(20), rnd.randint(1, 3))) ^ (1 << rnd.randrange(64) if rnd.random() < 0.1 else 0))
+        if len(ball) > 1300 and rnd.random() < 0.5:
+            ball.add(rnd.getrandbits(64))
+    order = list(ball)
+    rnd.shuffle(order)
+    codes = [c - (1 << 64) if c >> 63 else c for c in order]
+    written = []
+    cut = images.cut_lineage
+    monkeypatch.setattr(images, "cut_lineage", lambda df: (lambda out: written.append(out.count()) or out)(cut(df)))
+    df = spark.createDataFrame([(i, f"/p{i}", 1, c, 2 + i % 2) for i, c in enumerate(codes)], "asset_id long, path string, size int, a_hash long, radius int")
+    got = {r.asset_id: r.group_id for r in images.hash_clusters(df, batch_rows=100, pairs_per_code=4, max_bucket=256).collect()}
+    n = len(order)
+    assert got == lead_in_order(range(n), lambda i, j: (order[i] ^ order[j]).bit_count() <= 2 + j % 2)
+    pairs = sum((order[i] ^ order[j]).bit_count() <= 2 + j % 2 for j in range(n) for i in range(j))
+    assert pairs > 20 * n and max(written) <= 100 * 99 // 2
+
+
 def _vectors(n, dim=8):
     rnd = np.random.default_rng(3)
     centre = rnd.normal(size=(6, dim))

@@ -19,7 +19,7 @@ def biggest_group(df: DataFrame, groups: Sequence[str]) -> int:
     return df.groupBy(*groups).count().agg(F.max("count")).first()[0] or 0
 
 
-def _sorted_slices(df: DataFrame, order: Sequence[Column]) -> DataFrame:
+def sorted_slices(df: DataFrame, order: Sequence[Column]) -> DataFrame:
     """Range-sorted rows with the number of their slice and their index in it. A range sort splits a
     large group over many slices, since the order ends in a unique key."""
     # monotonically_increasing_id = slice number << 33 | index in the slice
@@ -30,7 +30,7 @@ def _sorted_slices(df: DataFrame, order: Sequence[Column]) -> DataFrame:
 
 def global_position(df: DataFrame, order: Sequence[Column], name: str = "position") -> DataFrame:
     """0-based position of every row in a total order, without a one-task sort."""
-    s = _sorted_slices(df, order)
+    s = sorted_slices(df, order)
     counts = s.groupBy("_slice").count()  # one row per slice
     before = F.sum("count").over(W.orderBy("_slice").rowsBetween(W.unboundedPreceding, -1))
     offsets = counts.select("_slice", F.coalesce(before, F.lit(0)).alias("_off"))
@@ -52,7 +52,7 @@ def place_in_group(
     groups = list(groups)
     if biggest_group(df, groups) <= rows_per_task:
         return df.withColumn(name, F.row_number().over(W.partitionBy(*groups).orderBy(*order)).cast("long"))
-    s = _sorted_slices(df, [F.col(g) for g in groups] + list(order))
+    s = sorted_slices(df, [F.col(g) for g in groups] + list(order))
     pieces = s.groupBy(*groups, "_slice").agg(F.min("_idx").alias("_start"), F.count(F.lit(1)).alias("_n"))
     # a group has at most one piece per slice
     w = W.partitionBy(*groups).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)

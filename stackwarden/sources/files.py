@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,15 +49,16 @@ def numbered(files: DataFrame) -> DataFrame:
 
 
 def hashed(spark: SparkSession, folders: Iterable[str], recursive: bool = True, min_bytes: int = K.SCAN_MIN_BYTES,
-           block_bytes: int = ranges.BLOCK_BYTES) -> DataFrame:
+           block_bytes: int = ranges.BLOCK_BYTES, number: Callable[[DataFrame], DataFrame] = numbered) -> DataFrame:
     """asset_id, path, size, mtime, kind, quick_hash and digest of all files, of any size. Head and tail give the quick
-    hash; contents are read, in blocks, of those files only that share theirs. The others have no digest."""
+    hash; contents are read, in blocks, of those files only that share theirs. The others have no digest. Ids are places
+    in this listing, or, with `number=PathIds(...).number`, ids that later scans keep."""
     listed = listing(spark, folders, recursive).filter(F.col("size") >= min_bytes)
     quick = cut_lineage(ranges.with_quick_hash(listed).filter("quick_hash IS NOT NULL").drop("bytes_read"))
     shared = quick.groupBy("quick_hash", "size").count().filter("count >= 2").select("quick_hash", "size")
     asked = quick.join(shared, ["quick_hash", "size"], "left_semi").select("path", "size")
     digests = cut_lineage(ranges.content_digests(asked, block_bytes))
-    return numbered(quick.join(digests, "path", "left"))
+    return number(quick.join(digests, "path", "left"))
 
 
 def unreadable(spark: SparkSession, folders: Iterable[str], read: DataFrame, recursive: bool = True,

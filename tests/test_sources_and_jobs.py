@@ -1,5 +1,6 @@
 import hashlib
 import os
+import random
 import tempfile
 
 import pytest
@@ -9,7 +10,7 @@ from stackwarden.functions.hashing import average_hash
 from stackwarden.operators.ranking import top_per_group
 from stackwarden.plans import duplicates, filing
 from stackwarden.session import shared_dir
-from stackwarden.sources import files, ranges, stores, texts
+from stackwarden.sources import files, ids, ranges, stores, texts
 from stackwarden.streaming import arrivals
 
 
@@ -124,6 +125,39 @@ def test_huge_files_spread_over_tasks(spark):
     assert sizes[0] < 1.2 * sizes[1]
 
 
+def test_ids_of_paths_last(spark):
+    """Five scans with files that come and go, in small gaps: ids stay within an epoch and keep the order of paths."""
+    rnd = random.Random(3)
+    d = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    known, there, epochs = {}, set(), []
+    dictionary = ids.PathIds(spark, f"{d}/ids", step=64)
+    for scan in range(5):
+        there = {p for p in there if rnd.random() < 0.8} | {f"/a/{rnd.randrange(400):03d}{rnd.choice(['', '/x', 'é'])}.png" for _ in range(60)}
+        got = dictionary.number(spark.createDataFrame([(p, 1) for p in sorted(there, key=lambda _: rnd.random())], "path string, size int").repartition(3)).collect()
+        mine = {r.path: r.asset_id for r in got}
+        assert mine.keys() == there and {r.kind for r in got} == {"image"}
+        if epochs and dictionary.epoch() > epochs[-1]:
+            moved = {r.asset_id: r.now for r in dictionary.renamed(epochs[-1]).collect()}
+            known = {p: moved.get(i, i) for p, i in known.items()}
+        epochs.append(dictionary.epoch())
+        assert all(known.get(p, i) == i for p, i in mine.items())
+        known |= mine
+        order = sorted(known, key=lambda p: p.encode())
+        assert [known[p] for p in order] == sorted(set(known.values()))
+    assert epochs[0] == 0 and {r.path for r in dictionary.load().collect()} == set(known)
+    again = dictionary.number(spark.createDataFrame([(p, 1) for p in there], "path string, size int")).collect()
+    assert {r.path: r.asset_id for r in again} == {p: known[p] for p in there} and dictionary.epoch() == epochs[-1]
+
+
+def test_ids_are_labelled_anew_where_there_is_no_room(spark):
+    d = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    dictionary = ids.PathIds(spark, f"{d}/ids", step=2)
+    of = lambda *names: {r.path: r.asset_id for r in dictionary.number(spark.createDataFrame([(n,) for n in names], "path string")).collect()}
+    assert of("/a", "/c") == {"/a": 2, "/c": 4} and of("/a", "/b", "/c") == {"/a": 2, "/b": 3, "/c": 4} and dictionary.epoch() == 0
+    assert of("/a", "/aa", "/b") == {"/a": 2, "/aa": 4, "/b": 6} and dictionary.epoch() == 1
+    assert {r.asset_id: r.now for r in dictionary.renamed(0).collect()} == {3: 6, 4: 8} and of() == {}
+
+
 def test_stores(spark):
     root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     store = stores.ExemplarStore(spark, f"{root}/ex")

@@ -38,6 +38,8 @@ def tune(spark: SparkSession) -> SparkSession:
 def build_session(app: str = "stackwarden", master: str | None = None, partitions: int | None = None) -> SparkSession:
     """A session with the settings the operators rely on. A cluster's own settings win elsewhere."""
     b = SparkSession.builder.appName(app).config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
+    # checkpoints go when nothing refers to them any more
+    b = b.config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     if master:
         b = b.master(master)
     if partitions:

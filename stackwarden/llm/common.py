@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import os
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -20,11 +23,16 @@ _held: list = ["", None]
 
 def hold(owner: str, release: Callable[[], None] | None = None) -> None:
     """Called by tasks. A worker process serves one stage after another; what the operator before has cached in it is
-    let go when another one starts."""
+    let go when another one starts, and the memory it has freed goes back to the system."""
     if _held[0] != owner:
         if _held[1] is not None:
             _held[1]()
         _held[:] = [owner, release]
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if os.name == "posix" else None  # glibc only
+        if trim is not None:
+            trim(0)
 
 
 def prepare(spark: SparkSession) -> SparkSession:

@@ -1,10 +1,11 @@
 """Hierarchical multi-length packing of token ids into sequences.
 
 Each document's ids, ended by an end id, give whole windows of the longest size first. What is left is routed to the
-shortest context size that holds it. A window of a size starts with a piece of its own tier, its gap is filled with
-the longest pieces of shorter tiers that fit, and at last with a piece cut to measure, so windows are full; only the
-last few ids of a task (fewer than the shortest size) form a padded one. Windows join step groups of equal token
-counts. Each task packs its own documents, so nothing is shuffled, and the state of a task is a bounded pool.
+shortest context size that holds it, and each tier packs windows of its own, in turn: a window starts with a piece of its
+tier, takes more of these while they fit, then up to MAX_FILL longest pieces of shorter tiers that fit its gap, and at last
+a piece cut to measure, whose rest is routed again. So windows are full; only the last few ids of a task (fewer than the
+shortest size) form a padded one. Windows of all sizes join step groups of equal token counts. Each task packs its own
+documents, so nothing is shuffled, and the state of a task is a bounded pool.
 
 Input: doc_id, text (null: empty, one end id). Repeated rows are packed again; a null doc_id is kept. An empty table
 gives no rows. Output: doc_id, start, length, ids (binary, little-endian unsigned 32-bit), doc_tokens, sequence_id,
@@ -26,6 +27,8 @@ TIERS = (256, 512, 1024, 2048)
 GROUP_TOKENS = 16 * 2048
 # Ids held back so that the pools keep a mix of lengths
 POOL_TOKENS = 1 << 18
+# Pieces of shorter tiers in the gap of one window, so that long windows do not use these up
+MAX_FILL = 4
 
 SCHEMA = ("doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, "
           "window long, step_group long")
@@ -71,47 +74,60 @@ class Packer:
             self._route([doc_id, at, ids[4 * at:], n])
 
     def pack(self, keep: int) -> None:
+        """Windows of each tier in turn, longest first, until no more than `keep` ids are left."""
         while self.tokens > keep:
-            size = next((t for t in reversed(self.tiers) if self.pools[t]), None)
-            if size is None or self.tokens < size:
+            before = self.tokens
+            for size in reversed(self.tiers):
+                if self.pools[size] and self.tokens >= size:
+                    self._window(size)
+            if self.tokens == before:
                 return
-            self._window(size)
 
     def finish(self) -> None:
-        for size in reversed(self.tiers):
-            while self.tokens >= size:
-                self._window(size)
-        rest = [p for t in reversed(self.tiers) for p in self.pools[t]]
-        if rest:
-            self._emit(rest, self.tiers[-1])
-        self.pools = {t: [] for t in self.tiers}
-        self.tokens = 0
+        self.pack(0)
+        while self.tokens:  # fewer ids than the tier of the longest piece has room for: it is cut
+            self._window(max((t for t in self.tiers if t <= self.tokens), default=self.tokens))
+
+    def _tier(self, n: int) -> int:
+        return next(t for t in self.tiers if n <= t)
 
     def _route(self, piece: list) -> None:
         n = len(piece[2]) // 4
-        self.pools[next(t for t in self.tiers if n <= t)].append(piece)
+        self.pools[self._tier(n)].append(piece)
         self.tokens += n
 
-    def _take(self, room: int) -> list:
-        """The next piece for a gap: the longest tier that surely fits, else one that happens to, else a cut one."""
+    def _fitting(self, room: int, size: int) -> list | None:
+        """The next piece of at most `room` ids, of the longest tier that has one at hand, up to that of `size`."""
         for t in reversed(self.tiers):
             pool = self.pools[t]
-            if pool and (t <= room or len(pool[-1][2]) // 4 <= room):
-                piece = pool.pop()
-                self.tokens -= len(piece[2]) // 4
-                return piece
-        t = next(t for t in self.tiers if self.pools[t])
-        doc_id, start, ids, n = self.pools[t].pop()
+            if t <= size and pool and len(pool[-1][2]) // 4 <= room:
+                self.tokens -= len(pool[-1][2]) // 4
+                return pool.pop()
+        return None
+
+    def _cut(self, room: int) -> list:
+        """`room` ids off a piece of the shortest tier that holds more; its rest is routed again."""
+        pool = next(p for p in self.pools.values() if p and len(p[-1][2]) // 4 >= room)
+        doc_id, start, ids, n = pool.pop()
         self.tokens -= len(ids) // 4
-        self._route([doc_id, start + room, ids[4 * room:], n])
+        if len(ids) // 4 > room:
+            self._route([doc_id, start + room, ids[4 * room:], n])
         return [doc_id, start, ids[:4 * room], n]
 
     def _window(self, size: int) -> None:
-        pieces, room = [], size
+        pieces, room, filled = [], size, 0
         while room:
-            pieces.append(self._take(room))
-            room -= len(pieces[-1][2]) // 4
-        self._emit(pieces, size)
+            piece = self._fitting(room, max(size, self.tiers[0]))
+            if piece is not None and filled >= MAX_FILL and any(len(p[-1][2]) // 4 >= room for p in self.pools.values() if p):
+                back, piece = piece, self._cut(room)
+                self._route(back)
+            elif piece is None:
+                piece = self._cut(room)
+            n = len(piece[2]) // 4
+            filled += self._tier(n) < size
+            room -= n
+            pieces.append(piece)
+        self._emit(pieces, size if size in self.tiers else self.tiers[-1])
 
     def _emit(self, pieces: list[list], size: int) -> None:
         group, at = self.groups.place(size), 0

@@ -7,8 +7,10 @@ token), and the last tokens at places where a token may yet start. Tokens that a
 once, so the lookahead is bounded by the longest token. States and moves are made when first met and kept in a bounded
 table. A piece that is itself a token is that token, as in the published encoder.
 
-Decoding. Token bytes are gathered in blocks; a state machine finds the bytes of a character still incomplete at the
-end of a block and carries them over. Bytes that are no UTF-8 are kept in `decode_bytes` and replaced in texts.
+Decoding. A state machine over byte classes reads the bytes of one token after another and emits whole characters; its
+state is the bytes of a character begun. Moves of whole tokens are made when first met and kept in a bounded table. Bytes
+that are no UTF-8 are carried through as lone surrogates, so the emitted characters give back the exact bytes; in texts
+each maximal part of no character becomes U+FFFD. `bytes` holds what the machine emitted.
 
 Input: doc_id, text (null: empty). Output of encode: doc_id, ids (binary, little-endian unsigned 32-bit) and n_tokens;
 of decode: doc_id, text, bytes. Rows are independent: repeated rows and null ids come back as they are.
@@ -23,10 +25,13 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .chunks import WHITE, ChunkEncoder
+from .chunks import KEPT_CHARS, WHITE, ChunkEncoder
 from .common import hold, id_and_text, over_batches
 
-KEPT_STATES = 200_000
+KEPT_STATES = 150_000
+KEPT_CHUNKS = 400_000
+KEPT_PIECES = 150_000
+KEPT_MOVES = 100_000
 BLOCK_TOKENS = 4096
 
 
@@ -168,41 +173,116 @@ class Transducer:
         return b"".join(out)
 
 
+# Well-formed UTF-8. The first byte of each class of bytes, and the moves between states by class. State 0
+# lies between characters, 1 to 3 await as many more bytes of any kind, the others a second byte of a limited range.
+CLASS_FIRST = (0x00, 0x80, 0x90, 0xA0, 0xC0, 0xC2, 0xE0, 0xE1, 0xED, 0xEE, 0xF0, 0xF1, 0xF4, 0xF5)
+MOVES = (
+    {0x00: 0, 0xC2: 1, 0xE0: 4, 0xE1: 2, 0xED: 5, 0xEE: 2, 0xF0: 6, 0xF1: 3, 0xF4: 7},
+    {0x80: 0, 0x90: 0, 0xA0: 0},
+    {0x80: 1, 0x90: 1, 0xA0: 1},
+    {0x80: 2, 0x90: 2, 0xA0: 2},
+    {0xA0: 1},
+    {0x80: 1, 0x90: 1},
+    {0x90: 2, 0xA0: 2},
+    {0x80: 2},
+)
+BYTE_CLASS = [max(c for c in CLASS_FIRST if c <= b) for b in range(256)]
+
+
+def character(parts: bytes) -> str:
+    point = parts[0] if len(parts) == 1 else parts[0] & (0x7F >> len(parts))
+    for b in parts[1:]:
+        point = point << 6 | b & 0x3F
+    return chr(point)
+
+
+def read_bytes(begun: bytes, data: bytes) -> tuple[str, str, bytes]:
+    """From a state and bytes: the characters with wrong bytes as lone surrogates (U+DC00 + byte), the characters with
+    U+FFFD for these, and the new state."""
+    state = 0
+    for b in begun:
+        state = MOVES[state][BYTE_CLASS[b]]
+    exact, shown = [], []
+    for b in data:
+        to = MOVES[state].get(BYTE_CLASS[b])
+        if to is None and begun:
+            exact += [chr(0xDC00 + x) for x in begun]
+            shown.append("\ufffd")
+            begun = b""
+            to = MOVES[0].get(BYTE_CLASS[b])
+        if to is None:
+            exact.append(chr(0xDC00 + b))
+            shown.append("\ufffd")
+            state = 0
+            continue
+        begun, state = begun + bytes((b,)), to
+        if not state:
+            exact.append(character(begun))
+            shown.append(exact[-1])
+            begun = b""
+    return "".join(exact), "".join(shown), begun
+
+
 class Utf8Stream:
-    """Feeds of bytes become text; what a feed leaves incomplete waits for the next."""
+    """Feeds of bytes or of tokens become characters; a character begun waits for the next feed."""
+
+    def __init__(self, tokens: TokenMoves | None = None):
+        self.begun, self.tokens = b"", tokens
+
+    def feed(self, data: bytes) -> tuple[str, str]:
+        exact, shown, self.begun = read_bytes(self.begun, data)
+        return exact, shown
+
+    def feed_tokens(self, ids: list[int]) -> tuple[str, str]:
+        move = self.tokens.move
+        plain = list(map(self.tokens.plain.get, ids))
+        if not self.begun and None not in plain:
+            text = "".join(plain)
+            return text, text
+        exact, shown, begun = [], [], self.begun
+        for t, text in zip(ids, plain):
+            if begun or text is None:
+                a, b, begun = move(begun, t)
+                exact.append(a)
+                shown.append(b)
+            else:
+                exact.append(text)
+                shown.append(text)
+        self.begun = begun
+        return "".join(exact), "".join(shown)
 
-    def __init__(self):
-        self.waiting = b""
+    def end(self) -> tuple[str, str]:
+        rest, self.begun = self.begun, b""
+        return "".join([chr(0xDC00 + x) for x in rest]), "\ufffd" if rest else ""
 
-    def feed(self, data: bytes) -> str:
-        data = self.waiting + data
-        cut = len(data)
-        for back in range(1, min(3, cut) + 1):
-            byte = data[-back]
-            if byte < 0x80:
-                break
-            if byte >= 0xC0:  # a leading byte: complete, if enough bytes follow it
-                need = 2 if byte < 0xE0 else 3 if byte < 0xF0 else 4
-                if need > back:
-                    cut -= back
-                break
-        self.waiting = data[cut:]
-        return data[:cut].decode("utf-8", "replace")
 
-    def end(self) -> str:
-        rest, self.waiting = self.waiting, b""
-        return rest.decode("utf-8", "replace")
+class TokenMoves:
+    """Moves of the state machine by whole tokens. `plain` has the characters of tokens that begin and end between
+    characters."""
 
+    def __init__(self, token: dict[int, bytes], kept: int = KEPT_MOVES):
+        self.token, self.kept = token, kept
+        self.plain: dict[int, str] = {}
+        self.known: dict[tuple[bytes, int], tuple[str, str, bytes]] = {}
 
-def decode_stream(ids: memoryview, token: dict[int, bytes]) -> Iterator[tuple[bytes, str]]:
-    """Blocks of bytes and of text."""
-    stream = Utf8Stream()
+    def move(self, begun: bytes, t: int) -> tuple[str, str, bytes]:
+        known = self.known.get((begun, t))
+        if known is None:
+            if len(self.known) > self.kept:
+                self.known.clear()
+            known = self.known[begun, t] = read_bytes(begun, self.token[t])
+            if not begun and not known[2] and known[0] == known[1]:
+                self.plain[t] = known[0]
+        return known
+
+
+def decode_stream(ids: memoryview, tokens: TokenMoves) -> Iterator[tuple[str, str]]:
+    """Blocks of exact and of shown characters."""
+    stream = Utf8Stream(tokens)
     for at in range(0, len(ids), BLOCK_TOKENS):
-        data = b"".join([token[t] for t in ids[at:at + BLOCK_TOKENS].tolist()])
-        yield data, stream.feed(data)
-    rest = stream.end()
-    if rest:
-        yield b"", rest
+        yield stream.feed_tokens(ids[at:at + BLOCK_TOKENS].tolist())
+    if stream.begun:
+        yield stream.end()
 
 
 def explicit_white(pattern: str) -> str:
@@ -215,16 +295,27 @@ def encoder(path: str, pattern: str) -> ChunkEncoder:
     import regex
 
     machine, pieces = Transducer(read_ranks(path)), regex.compile(explicit_white(pattern).replace("$)", r"\Z)")).findall
+    known: dict[str, bytes] = {}
+
+    def encode_piece(p: str) -> bytes:
+        ids = known.get(p)
+        if ids is None:
+            ids = machine.encode(p.encode("utf-8", "surrogatepass"))
+            if len(p) <= KEPT_CHARS:
+                known[p] = ids
+        return ids
 
     def encode_all(texts: Iterable[str]) -> list[bytes]:
-        return [b"".join([machine.encode(p.encode("utf-8", "surrogatepass")) for p in pieces(t)]) for t in texts]
+        if len(known) > KEPT_PIECES:
+            known.clear()
+        return [b"".join(map(encode_piece, pieces(t))) for t in texts]
 
-    return ChunkEncoder(encode_all)
+    return ChunkEncoder(encode_all, KEPT_CHUNKS)
 
 
 @lru_cache(maxsize=2)
-def token_bytes(path: str) -> dict[int, bytes]:
-    return {v: k for k, v in read_ranks(path).items()}
+def token_moves(path: str) -> TokenMoves:
+    return TokenMoves({v: k for k, v in read_ranks(path).items()})
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
@@ -247,13 +338,13 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     """Adds text and bytes to doc_id, ids, n_tokens."""
 
     def make():
-        token = token_bytes(ranks_path)
+        tokens = token_moves(ranks_path)
 
         def apply(b: pa.RecordBatch) -> pa.RecordBatch:
             texts, raw = [], []
             for ids in b.column(1).to_pylist():
-                blocks = list(decode_stream(memoryview(ids or b"").cast("I"), token))
-                raw.append(b"".join([x for x, _ in blocks]))
+                blocks = list(decode_stream(memoryview(ids or b"").cast("I"), tokens))
+                raw.append("".join([x for x, _ in blocks]).encode("utf-8", "surrogateescape"))
                 texts.append("".join([x for _, x in blocks]))
             return pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(texts, pa.string()),
                                                pa.array(raw, pa.binary())], ["doc_id", "ids", "n_tokens", "text", "bytes"])

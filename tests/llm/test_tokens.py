@@ -58,16 +58,43 @@ def test_small_tables_of_states_and_chunks_change_nothing(published):
         assert small.encode([t])[0] == array.array("I", published.encode_ordinary(t)).tobytes()
 
 
+def fed(raws):
+    stream = bpe.Utf8Stream()
+    out = [stream.feed(x) for x in raws] + [stream.end()]
+    return "".join(a for a, _ in out).encode("utf-8", "surrogateescape"), "".join(b for _, b in out)
+
+
 def test_decoding_in_feeds_of_any_size():
-    text = "aé漢🙂" * 40
+    raw = ("aé漢🙂\u07ff\u0800\ud7ff\ue000\uffff\U0010ffff" * 20).encode()
     for size in range(1, 9):
-        stream, out = bpe.Utf8Stream(), ""
-        raw = text.encode()
-        for i in range(0, len(raw), size):
-            out += stream.feed(raw[i:i + size])
-        assert out + stream.end() == text
-    cut = bpe.Utf8Stream()
-    assert cut.feed("é".encode()[:1]) == "" and cut.end() == "�"
+        assert fed(raw[i:i + size] for i in range(0, len(raw), size)) == (raw, raw.decode())
+
+
+def test_decoding_wrong_bytes_equals_plain_decoding_at_every_cut():
+    rnd = random.Random(2)
+    bounds = [0, 0x41, 0x7F, 0x80, 0x8F, 0x90, 0x9F, 0xA0, 0xBF, 0xC0, 0xC1, 0xC2, 0xDF, 0xE0, 0xE1, 0xEC, 0xED, 0xEE, 0xEF, 0xF0, 0xF1,
+              0xF3, 0xF4, 0xF5, 0xFF]
+    raws = [bytes(rnd.choice(bounds) for _ in range(rnd.randint(1, 12))) for _ in range(3000)]
+    raws += [bytes((a, b, c)) for a in bounds for b in bounds for c in bounds]
+    for raw in raws:
+        for cut in range(len(raw)):
+            assert fed((raw[:cut], raw[cut:])) == (raw, raw.decode("utf-8", "replace")), raw
+
+
+def test_decoding_by_tokens_that_cut_characters(spark):
+    rnd = random.Random(4)
+    ranks = bpe.read_ranks(RANKS)
+    high = [t for k, t in ranks.items() if max(k) > 0x7F and len(k) < 4]
+    bytes_of = {t: k for k, t in ranks.items()}
+    rows = [[ranks[bytes((b,))] for b in "漢🙂é".encode()] * 1400, []]  # more than a block
+    rows += [[rnd.choice(high) if rnd.random() < 0.7 else rnd.randrange(len(ranks)) for _ in range(rnd.randint(1, 30))] for _ in range(500)]
+    df = spark.createDataFrame([(i, bytearray(array.array("I", x).tobytes()), len(x)) for i, x in enumerate(rows)],
+                               "doc_id long, ids binary, n_tokens long")
+    got = bpe.decode(df, RANKS).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        raw = b"".join(bytes_of[t] for t in rows[r.doc_id])
+        assert (bytes(r.bytes), r.text) == (raw, raw.decode("utf-8", "replace"))
 
 
 def test_library_chunks_equal_whole_texts(library):
@@ -126,6 +153,65 @@ def test_op9_covers_each_id_once_and_fills_windows(spark, tmp_path, library):
     assert padded <= 8
 
 
+@pytest.mark.parametrize("tokenizer", [JSON])
+def test_plain_chunks_are_cut_as_the_library_cuts(tokenizer, library):
+    rnd = random.Random(1)
+    letters = "ab Zé'sÉ12.,\n\n(<|>_`~^\\[]{}\"-ßĀɏɐ×÷ª\xa0\t"
+    texts = ["".join(rnd.choice(letters) for _ in range(rnd.randint(0, 25))) for _ in range(5000)]
+    assert tokens.piecewise(library) is not None
+    assert tokens.library_encoder(tokenizer).encode(texts) == [
+        array.array("I", e.ids).tobytes() for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
+def packed(sizes, keep=1 << 15):
+    p = packing.Packer(0)
+    for i, n in enumerate(sizes):
+        p.add(i, bytes(4 * n))
+        if i % 64 == 0:
+            p.pack(keep)
+    p.finish()
+    return p.out
+
+
+def test_each_tier_packs_windows_of_its_own():
+    rnd = random.Random(5)
+    sizes = [min(20000, int(rnd.lognormvariate(6, 1.2)) + 1) for _ in range(4000)]
+    out = packed(sizes)
+    length, window, pieces = defaultdict(int), {}, defaultdict(list)
+    for doc, start, n, ids, _, seq, at, size, group in out:
+        assert n == len(ids) // 4 and at == length[seq]
+        length[seq] += n
+        window[seq] = (size, group)
+        pieces[doc].append((start, n))
+    for doc, n in enumerate(sizes):
+        at = 0
+        for start, k in sorted(pieces[doc]):
+            assert start == at
+            at += k
+        assert at == n
+    share = defaultdict(int)
+    for size, _ in window.values():
+        share[size] += 1
+    assert all(share[t] > len(window) / 50 for t in packing.TIERS)
+    assert sum(s - length[q] for q, (s, _) in window.items()) < 0.001 * sum(sizes) + 2048
+    load = defaultdict(set)
+    for size, group in window.values():
+        load[group].add(size)
+    assert sum(len(x) > 1 for x in load.values()) > len(load) / 2
+
+
+def test_few_ids_give_one_padded_window_at_most():
+    rnd = random.Random(5)
+    mixed = [[rnd.choice([1, 3, 20, rnd.randint(1, 300), rnd.randint(1, 3000)]) for _ in range(rnd.randint(1, 60))] for _ in range(300)]
+    for sizes in (*mixed, [1], [255], [256], [10] * 10, [257], [1500], [2047], [2048], [2049], [300, 300, 5], [1] * 700, [2000] * 3):
+        length, window = defaultdict(int), {}
+        for _, _, n, _, _, seq, _, size, _ in packed(sizes):
+            length[seq] += n
+            window[seq] = size
+        assert sum(length.values()) == sum(sizes)
+        assert sum(length[q] < s for q, s in window.items()) <= 1
+
+
 def test_step_groups_are_equal():
     g = packing.StepGroups(0, 4096)
     rnd = random.Random(1)

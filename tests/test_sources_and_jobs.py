@@ -271,3 +271,9 @@ def test_arriving_duplicates_of_a_folder_of_files(spark):
     d = _tables_in_folders(spark, ["a", "b", "a", "c", "b", "a"])
     got = queries()["arriving_duplicates"](spark, d).collect()
     assert {r.asset_id: r.first_id for r in got} == {2: 0, 4: 1, 5: 0}
+
+
+def test_arriving_suggestions_of_a_folder_of_files(spark):
+    d = _tables_in_folders(spark, ["a", "b", "a", "c"])
+    got = queries()["arriving_suggestions"](spark, d).collect()
+    assert {r.asset_id: r.category for r in got} == {0: "Other", 1: "Bank", 2: "Forex", 3: "Other"}

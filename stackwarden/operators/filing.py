@@ -24,38 +24,55 @@ def _needed_words(pattern: str) -> list[str] | None:
     return runs if all(len(r) >= 2 for r in runs) else None
 
 
-def _search(t: Column, pattern: str) -> Column:
+_W = "[0-9A-Za-z_]"
+_ASCII = {r"\b": f"(?:(?<!{_W})(?={_W})|(?<={_W})(?!{_W}))", r"\d": "[0-9]", r"\s": r"[\t\n\f\r ]", "s": "[s\u017f]"}
+
+
+def _in_ascii(pattern: str) -> str:
+    """The pattern with word boundaries, digits and blanks of ASCII alone. A long s is an s, but no letter of a word."""
+    def put(m: re.Match) -> str:
+        return m[0].replace("s", "s\u017f") if m[0].startswith("[") else _ASCII.get(m[0], m[0])
+
+    return re.sub(r"\\.|\[[^\]]*\]|s", put, pattern)
+
+
+def _search(t: Column, pattern: str, ascii_only: bool = False) -> Column:
     """The pattern found in t. A substring test for what each alternative cannot do without comes first:
     most texts hold none of it, and it is far cheaper than a search."""
+    full = t.rlike("(?d)" + _in_ascii(pattern) if ascii_only else "(?dU)" + pattern)
     words = _needed_words(pattern)
     if words is None:
-        return t.rlike("(?dU)" + pattern)
-    found = F.lit(False)
+        return full
+    found = t.contains("\u017f") if ascii_only else F.lit(False)
     for w in words:
         found = found | t.contains(w)
-    return found if words == pattern.split("|") else found & t.rlike("(?dU)" + pattern)
+    return found if words == pattern.split("|") and not ascii_only else found & full
 
 
-def folded(text) -> Column:
-    """Lower case, with the two letters that fold onto i and s; needs no case folding when searched."""
+def folded(text, ascii_only: bool = False) -> Column:
+    """Lower case, with the two letters that fold onto i and s; needs no case folding when searched. With ascii_only
+    the long s is left to the search, a dotless i is no i, and a capital with a dot loses it."""
+    if ascii_only:
+        return F.lower(F.when(_c(text).contains("\u0130"), F.translate(_c(text), "\u0130", "i")).otherwise(_c(text)))
     t = F.lower(_c(text))
     odd = t.contains("\u0131") | t.contains("\u017f")
     return F.when(odd, F.translate(t, "\u0131\u017f", "is")).otherwise(t)
 
 
-def keyword_hits(t: Column) -> dict[str, Column]:
+def keyword_hits(t: Column, ascii_only: bool = False) -> dict[str, Column]:
     """Number of patterns of each category found in a folded text."""
     return {
-        cat: sum((F.coalesce(_search(t, p), F.lit(False)).cast("int") for p in pats), F.lit(0))
+        cat: sum((F.coalesce(_search(t, p, ascii_only), F.lit(False)).cast("int") for p in pats), F.lit(0))
         for cat, pats in K.KEYWORD_PATTERNS.items()
     }
 
 
-def with_keyword_category(df: DataFrame, text: str = "text") -> DataFrame:
-    """Adds keyword_hits and keyword_category: the category with most hits, the earlier one of equals."""
-    df = df.withColumn("_t", folded(text))
+def with_keyword_category(df: DataFrame, text: str = "text", ascii_only: bool = False) -> DataFrame:
+    """Adds keyword_hits and keyword_category: the category with most hits, the earlier one of equals. Words, digits and
+    blanks are those of Unicode, or, with ascii_only, those of ASCII, as engines like RE2 see them."""
+    df = df.withColumn("_t", folded(text, ascii_only))
     named = [F.struct(n.alias("hits"), F.lit(-i).alias("place"), F.lit(cat).alias("category"))
-             for i, (cat, n) in enumerate(keyword_hits(F.col("_t")).items())]
+             for i, (cat, n) in enumerate(keyword_hits(F.col("_t"), ascii_only).items())]
     df = df.withColumn("_best", F.array_max(F.array(*named)))
     hit = F.col("_best.hits") > 0
     return df.withColumn("keyword_hits", F.col("_best.hits")).withColumn(

@@ -30,17 +30,18 @@ def suggest_folders(
     exemplars: DataFrame | None = None,
     vectors: DataFrame | None = None,
     charts: DataFrame | None = None,
+    ascii_only: bool = False,
 ) -> DataFrame:
     """One suggestion per asset (asset_id, path, kind, text, width, height, exif_original, exif_modified).
 
     folders: folder, used_count, first_seen. rules: pattern, folder. exemplars and vectors feed the
-    semantic match, charts (asset_id, is_chart) the chart rule.
+    semantic match, charts (asset_id, is_chart) the chart rule. ascii_only is that of the keyword search.
     """
     readable = F.when(is_document("kind") | (F.col("kind") == "image"), F.coalesce("text", F.lit(""))).otherwise("")
     a = assets.withColumn("text", readable).withColumn("filename", file_name("path"))
     fuzzy = match_known_folders(a.select("asset_id", "text", "filename"), folders).select(
         "asset_id", F.col("folder").alias("fuzzy_folder"), F.col("confidence").alias("fuzzy_conf"))
-    a = with_keyword_category(a, "text").drop("keyword_hits").withColumn("hint", F.when(
+    a = with_keyword_category(a, "text", ascii_only).drop("keyword_hits").withColumn("hint", F.when(
         F.col("kind") == "image", picture_hint("filename", "width", "height", "exif_original", "exif_modified")))
     if exemplars is not None and vectors is not None:
         with_words = a.select("asset_id", "kind", has_text("text", K.MATCH_MIN_CHARS).alias("has_words"))

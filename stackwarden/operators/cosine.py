@@ -31,6 +31,9 @@ MAX_RINGS = 64
 SLACK = 1e-6  # more than the error of an arc cosine
 DIRECT_EDGES_UP_TO = 5_000  # so few vectors cannot have more than 12.5 million pairs
 EDGES_PER_VECTOR = 32
+SLICE_ROWS = 512  # rows of a block that meet the other block at once
+PAIR_ROWS = 1 << 17  # pairs handed on at once
+PLACED_ROWS = 8192  # rows handed on at once; a vector can have a place in every cell
 BATCH_ROWS = 5_000  # the first batch of ids; each one after is twice as large
 
 
@@ -131,11 +134,18 @@ class Meetings:
         """Vector products of all meetings."""
         return sum(self.sizes[x] * self.sizes[y] // (2 if x == y else 1) for x, y in self.pairs())
 
-    def run(self, meet: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-        """meet(one or two packed blocks, the first one home) for every meeting, each in a group of its own."""
+    def run(self, meet: Callable[[pd.DataFrame], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
+        """meet(one or two packed blocks, the first one home) for every meeting, each in a group of its own. What it
+        yields is handed on piece by piece."""
+        def alone_group(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            yield from meet(_pack(pd.concat(parts)).assign(side=0))
+
+        def group(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            yield from meet(pd.concat(parts))
+
         spark = self.placed.sparkSession
         if len(self.sizes) == 1 and max(self.parts(x) for x in self.sizes) == 1:  # a single block
-            return self.placed.groupBy(*_PLACE, "sub").applyInPandas(lambda pdf: meet(_pack(pdf).assign(side=0)), schema)
+            return self.placed.groupBy(*_PLACE, "sub").applyInPandas(alone_group, schema)
         rows, n = [], 0
         for x, y in self.pairs():
             a, b = self.parts(x), self.parts(y)
@@ -152,7 +162,7 @@ class Meetings:
         alone = same & (F.col("s1") == F.col("s2"))
         both = one.join(plan, ["cell", "r1", "s1"]).select(*keys, "side", "dim", "ids", "mat").unionByName(
             two.join(plan.filter(~alone), ["cell", "r2", "h2", "s2"]).select(*keys, "side", "dim", "ids", "mat"))
-        return both.repartition(max(1, min(n, 20_000)), *keys).groupBy(*keys).applyInPandas(meet, schema)
+        return both.repartition(max(1, min(n, 20_000)), *keys).groupBy(*keys).applyInPandas(group, schema)
 
 
 def _pack(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -187,17 +197,23 @@ def meetings(home: DataFrame, threshold: float, block_rows: int, rows: int | Non
     cells = _cells(home, k, guests, threshold)
     shared = home.sparkSession.sparkContext.broadcast(cells)
 
-    def places(vec: np.ndarray, kind: str) -> Iterator[tuple[bool, tuple]]:
-        if kind != "guests":
-            yield True, shared.value.homes(vec)
-        if kind != "home":
-            yield False, shared.value.visits(vec, kind == "both")
+    def places(vecs: np.ndarray, kind: str) -> Iterator[tuple[bool, tuple]]:
+        """In pieces of bounded size, however many cells are visited."""
+        for at in range(0, len(vecs), SLICE_ROWS):
+            vec = np.stack(vecs[at:at + SLICE_ROWS])
+            if kind != "guests":
+                i, cell, ring = shared.value.homes(vec)
+                yield True, (i + at, cell, ring)
+            if kind != "home":
+                i, cell, ring = shared.value.visits(vec, kind == "both")
+                for j in range(0, len(i), PLACED_ROWS):
+                    yield False, (i[j:j + PLACED_ROWS] + at, cell[j:j + PLACED_ROWS], ring[j:j + PLACED_ROWS])
 
     def counted(kind: str):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 if len(pdf):
-                    for is_home, (_, cell, ring) in places(np.stack(pdf["vec"].to_numpy()), kind):
+                    for is_home, (_, cell, ring) in places(pdf["vec"].to_numpy(), kind):
                         at, n = np.unique(np.stack((cell, ring), axis=1), axis=0, return_counts=True)
                         yield pd.DataFrame({"cell": at[:, 0], "ring": at[:, 1], "home": is_home, "n": n})
 
@@ -216,7 +232,7 @@ def meetings(home: DataFrame, threshold: float, block_rows: int, rows: int | Non
             for pdf in batches:
                 if len(pdf):
                     ids, vecs = pdf["id"].to_numpy(), pdf["vec"].to_numpy()
-                    for is_home, (i, cell, ring) in places(np.stack(vecs), kind):
+                    for is_home, (i, cell, ring) in places(vecs, kind):
                         n = np.array([parts[c, r, is_home] for c, r in zip(cell.tolist(), ring.tolist())], np.int64)
                         mixed = (ids[i].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
                         yield pd.DataFrame({"cell": cell, "ring": ring, "home": is_home, "sub": (mixed.astype(np.int64) % np.maximum(n, 1)).astype("int32"), "id": ids[i], "vec": vecs[i]})
@@ -230,14 +246,15 @@ def meetings(home: DataFrame, threshold: float, block_rows: int, rows: int | Non
     return out
 
 
-def _pairs_of(a, b, same: bool, threshold: float):
-    """Index pairs and similarities between two blocks; within one block each pair once."""
-    sims = a @ b.T
-    hit = sims >= threshold
-    if same:
-        hit = np.triu(hit, 1)
-    i, j = np.nonzero(hit)
-    return i, j, sims[i, j]
+def _pairs_of(a, b, same: bool, threshold: float) -> Iterator[tuple]:
+    """Index pairs and similarities between two blocks, slice by slice; within one block each pair once."""
+    for at in range(0, len(a), SLICE_ROWS):
+        sims = a[at:at + SLICE_ROWS] @ b.T
+        hit = sims >= threshold
+        if same:
+            hit = np.triu(hit, at + 1)
+        i, j = np.nonzero(hit)
+        yield i + at, j, sims[i, j]
 
 
 def _stats_frame(hi, lo) -> pd.DataFrame:
@@ -248,6 +265,13 @@ def _stats_frame(hi, lo) -> pd.DataFrame:
     return g.rename(columns={"min": "first", "size": "degree"})
 
 
+def _stats_of(slices: Iterator[tuple]) -> Iterator[pd.DataFrame]:
+    """One row per id, out of (hi, lo) of all slices."""
+    got = [g for g in (_stats_frame(hi, lo) for hi, lo in slices) if len(g)]
+    if got:
+        yield pd.concat(got).groupby("id", as_index=False).agg({"first": "min", "degree": "sum"})
+
+
 def _both(pdf: pd.DataFrame) -> tuple:
     rows = list(pdf.sort_values("side").itertuples(index=False))
     return (*_unpack(rows[0]), *_unpack(rows[-1]), len(rows) == 1)
@@ -256,11 +280,13 @@ def _both(pdf: pd.DataFrame) -> tuple:
 def near_pairs(vectors: DataFrame, threshold: float, block_rows: int = BLOCK_ROWS, rows: int | None = None) -> DataFrame:
     """Pairs lo < hi of (id, vec) whose product reaches the threshold: lo, hi, sim."""
 
-    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+    def meet(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
         ia, a, ib, b, same = _both(pdf)
-        i, j, s = _pairs_of(a, b, same, threshold)
-        x, y = ia[i], ib[j]
-        return pd.DataFrame({"lo": np.minimum(x, y), "hi": np.maximum(x, y), "sim": s})
+        for i, j, s in _pairs_of(a, b, same, threshold):
+            x, y = ia[i], ib[j]
+            for at in range(0, len(s), PAIR_ROWS):
+                piece = slice(at, at + PAIR_ROWS)
+                yield pd.DataFrame({"lo": np.minimum(x[piece], y[piece]), "hi": np.maximum(x[piece], y[piece]), "sim": s[piece]})
 
     return meetings(vectors, threshold, block_rows, rows).run(meet, "lo long, hi long, sim double")
 
@@ -273,11 +299,9 @@ def earlier_neighbours(vectors: DataFrame, threshold: float, block_rows: int = B
     """(id, first, degree) of every vector with smaller-id neighbours. One row per vector and meeting
     of blocks at most, however many pairs pass: a crowd of near copies yields no crowd of pairs."""
 
-    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+    def meet(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
         ia, a, ib, b, same = _both(pdf)
-        i, j, _ = _pairs_of(a, b, same, threshold)
-        x, y = ia[i], ib[j]
-        return _stats_frame(np.maximum(x, y), np.minimum(x, y))
+        yield from _stats_of((np.maximum(ia[i], ib[j]), np.minimum(ia[i], ib[j])) for i, j, _ in _pairs_of(a, b, same, threshold))
 
     return _combine(meetings(vectors, threshold, block_rows).run(meet, "id long, first long, degree long"))
 
@@ -285,10 +309,16 @@ def earlier_neighbours(vectors: DataFrame, threshold: float, block_rows: int = B
 def neighbours_among(vectors: DataFrame, leaders: DataFrame, threshold: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(id, first, degree) over the smaller-id leaders near to each vector. Leaders are at home in the cells."""
 
-    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+    def meet(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
         il, lead, iv, vec, _ = _both(pdf)
-        i, j = np.nonzero((vec @ lead.T >= threshold) & (il[None, :] < iv[:, None]))
-        return _stats_frame(iv[i], il[j])
+
+        def slices() -> Iterator[tuple]:
+            for at in range(0, len(vec), SLICE_ROWS):
+                ids = iv[at:at + SLICE_ROWS]
+                i, j = np.nonzero((vec[at:at + SLICE_ROWS] @ lead.T >= threshold) & (il[None, :] < ids[:, None]))
+                yield ids[i], il[j]
+
+        yield from _stats_of(slices())
 
     return _combine(meetings(leaders, threshold, block_rows, guests=vectors).run(meet, "id long, first long, degree long"))
 

@@ -189,3 +189,15 @@ def test_long_chains_take_few_rounds(spark, monkeypatch):
         if lo not in want:
             want.add(hi)
     assert got == want and len(rounds) < 12
+
+
+def test_blocks_meet_in_slices():
+    rng = np.random.default_rng(3)
+    a = rng.normal(size=(3 * cosine.SLICE_ROWS // 2, 8))
+    for b, same in ((a, True), (rng.normal(size=(700, 8)), False)):
+        slices = list(cosine._pairs_of(a, b, same, 2.0))
+        assert len(slices) == 2 and all(len(np.unique(i)) <= cosine.SLICE_ROWS for i, _, _ in slices)
+        hit = a @ b.T >= 2.0
+        want = {(i, j) for i, j in np.argwhere(np.triu(hit, 1) if same else hit).tolist()}
+        got = [(i, j) for x, y, _ in slices for i, j in zip(x.tolist(), y.tolist())]
+        assert len(got) == len(want) and set(got) == want

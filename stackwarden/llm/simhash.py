@@ -50,7 +50,11 @@ def fingerprint(text: str | None) -> int:
     if len(words) < WORDS:
         return xxhash.xxh64_intdigest(b" ".join(words), SEED)
     shingles = map(b" ".join, zip(*(words[i:] for i in range(WORDS))))
-    h = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64, len(words) - WORDS + 1)
+    return majority(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64, len(words) - WORDS + 1))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits set in over half of the hashes."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(h), 1 << 16):
         part = h[at:at + (1 << 16)]

@@ -67,3 +67,14 @@ def test_rows_go_by_text_not_by_id(spark):
     for operator in (resemblance, simhash):
         assert sorted(map(str, operator.keep_one(df).collect())) == sorted(map(str, want))
         assert operator.keep_one(df.limit(0)).count() == 0
+
+
+def test_simhash_links_come_first(spark):
+    t = [f"a{i}" for i in range(400)]
+    near = [" ".join(t), " ".join(["x"] + t), " ".join(t + ["y"]), " ".join(f"b{i}" for i in range(400))]
+    rows = resemblance._prepared(spark.createDataFrame([(i, x, "k") for i, x in enumerate(near)], SCHEMA), 5)
+    node = {r.doc_id: r.node for r in rows.collect()}
+    prints = {r.doc_id: r.fp & (1 << 64) - 1 for r in rows.collect()}
+    assert all((prints[0] ^ prints[i]).bit_count() <= simhash.RADIUS for i in (1, 2)) and (prints[0] ^ prints[3]).bit_count() > 3
+    pairs = {frozenset((r.a, r.b)) for r in resemblance._close_prints(rows).collect()}
+    assert pairs and {n for p in pairs for n in p} == {node[i] for i in (0, 1, 2)}

@@ -16,12 +16,26 @@ from ..functions.paths import _c, category_of_folder, is_document, is_screen_siz
 _NOT_FIXED = re.compile(r"(?:\\[bsd]|\[[^\]]*\]|[^\[\]\\](?=[?*{])|\.)(?:[+*?]|\{[^}]*\})?")
 
 
+def _alternatives(pattern: str) -> list[str]:
+    """The parts between bars outside of groups."""
+    return re.findall(r"(?:\([^()]*\)|[^|()])+", pattern)
+
+
+def _longest_run(alt: str) -> str:
+    return max(_NOT_FIXED.sub("\0", alt).split("\0"), key=len)
+
+
 def _needed_words(pattern: str) -> list[str] | None:
-    """For every alternative the longest run of letters a text must hold; None if one has no such run."""
-    if "(" in pattern:
-        return None
-    runs = [max(_NOT_FIXED.sub("\0", alt).split("\0"), key=len) for alt in pattern.split("|")]
-    return runs if all(len(r) >= 2 for r in runs) else None
+    """For every alternative the longest run of letters a text must hold, outside of groups or, if there is none, one for
+    each alternative of a group that can't be left out; None if one has no such run."""
+    words = []
+    for alt in _alternatives(pattern):
+        runs = [_longest_run(re.sub(r"\([^()]*\)[?*]?", "\0", alt))]
+        group = re.search(r"\((?!\?)([^()]*)\)(?![?*{])", alt)
+        if len(runs[0]) < 2 and group:
+            runs = [_longest_run(x) for x in group[1].split("|")]
+        words += runs
+    return words if all(len(w) >= 2 for w in words) else None
 
 
 _W = "[0-9A-Za-z_]"
@@ -36,17 +50,29 @@ def _in_ascii(pattern: str) -> str:
     return re.sub(r"\\.|\[[^\]]*\]|s", put, pattern)
 
 
+_STARTS = re.compile(r"\\b([a-z]|\[[a-z]+\])")
+_ENDS = re.compile(r"([a-z]|\\d\{1,2\})\\b")
+
+
+def _without_long_s(pattern: str) -> str:
+    """`_in_ascii` for texts without a long s: a boundary beside a letter of ASCII is looked at on its other side alone,
+    and after the letter, as few places have that letter."""
+    pattern = _ENDS.sub(rf"\1(?!{_W})", pattern)
+    pattern = _STARTS.sub(rf"\1(?<!{_W}\1)", pattern)
+    return re.sub(r"\\.|\[[^\]]*\]", lambda m: _ASCII.get(m[0], m[0]), pattern)
+
+
 def _search(t: Column, pattern: str, ascii_only: bool = False) -> Column:
     """The pattern found in t. A substring test for what each alternative cannot do without comes first:
     most texts hold none of it, and it is far cheaper than a search."""
-    full = t.rlike("(?d)" + _in_ascii(pattern) if ascii_only else "(?dU)" + pattern)
+    plain = t.rlike("(?d)" + _without_long_s(pattern) if ascii_only else "(?dU)" + pattern)
     words = _needed_words(pattern)
-    if words is None:
-        return full
-    found = t.contains("\u017f") if ascii_only else F.lit(False)
-    for w in words:
-        found = found | t.contains(w)
-    return found if words == pattern.split("|") and not ascii_only else found & full
+    if words is not None:
+        found = F.lit(False)
+        for w in words:
+            found = found | t.contains(w)
+        plain = found if words == pattern.split("|") else found & plain
+    return F.when(t.contains("\u017f"), t.rlike("(?d)" + _in_ascii(pattern))).otherwise(plain) if ascii_only else plain
 
 
 def folded(text, ascii_only: bool = False) -> Column:

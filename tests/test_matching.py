@@ -257,3 +257,21 @@ def test_candidate_tags_are_encoded_in_order(spark):
 
     got = plan_filing.tag_vectors(spark, encoder).orderBy("tag_ord").collect()
     assert [r.tag for r in got] == list(K.TAGS) and [r.vec for r in got] == [[float(i)] for i in range(len(K.TAGS))]
+
+
+def test_keyword_search_of_ascii_skips_what_it_can_and_finds_the_same(spark):
+    patterns = [p for pats in K.KEYWORD_PATTERNS.values() for p in pats]
+    assert [p for p in patterns if filing._needed_words(p) is None] == [r"\b[mh]\d{1,2}\b\s*(?:timeframe)?"]
+    assert filing._needed_words(r"\b(vu a|seen at)\b") == ["vu a", "seen at"]
+    rng = random.Random(3)
+    bits = ["ht", "pips", "pip", "stop", "loss", "take", "profit", "h1", "m15", "h123", "online", "seen at", "term of agreement", "term of the ",
+            "agreement", "diplomé", "diplome", "invoice no", "invoice", "#", "montant total", "total 12,50", "ſkills", "skills",
+            "ſolde", "syntheſe", "n° facture", "du contrat", "durée du contrat", "date d'échéance", "rib", "iban"]
+    glue = ["", " ", "_", "é", "ſ", "a", "7", ".", "\n", " ", "٣"]
+    texts = ["".join(rng.choice(glue) + rng.choice(bits) for _ in range(rng.randint(1, 4))) + rng.choice(glue) for _ in range(600)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").repartition(2)
+    whole = F.struct(*[F.col("t").rlike("(?d)" + filing._in_ascii(p)).alias(f"p{i}") for i, p in enumerate(patterns)])
+    quick = F.struct(*[filing._search(F.col("t"), p, ascii_only=True).alias(f"p{i}") for i, p in enumerate(patterns)])
+    rows = df.select("t", whole.alias("a"), quick.alias("b")).collect()
+    assert not [r.t for r in rows if r.a != r.b]
+    assert sum(map(sum, (r.a for r in rows))) > 300

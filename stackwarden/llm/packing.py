@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from .chunks import KEPT_CHUNKS
 from .common import hold, id_and_text
 from .tokens import library_encoder
 
@@ -139,13 +140,14 @@ class Packer:
 
 
 def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, tiers: tuple[int, ...] = TIERS,
-         group_tokens: int = GROUP_TOKENS) -> DataFrame:
-    """The pieces of all sequences. tiers: powers of two, ascending; group_tokens: a multiple of the longest."""
+         group_tokens: int = GROUP_TOKENS, kept_chunks: int = KEPT_CHUNKS) -> DataFrame:
+    """The pieces of all sequences. tiers: powers of two, ascending; group_tokens: a multiple of the longest; kept_chunks:
+    how many chunks a worker keeps the ids of, which costs memory and spares time."""
     tail = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hold("tokens", library_encoder.cache_clear)
-        encoder = library_encoder(tokenizer_path)
+        encoder = library_encoder(tokenizer_path, kept_chunks)
         context = TaskContext.get()
         packer = Packer(context.partitionId() if context else 0, tiers, group_tokens)
 

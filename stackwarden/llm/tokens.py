@@ -13,7 +13,7 @@ from functools import lru_cache
 
 import numpy as np
 
-from .chunks import KEPT_CHARS, WHITE, ChunkEncoder
+from .chunks import KEPT_CHARS, KEPT_CHUNKS, WHITE, ChunkEncoder
 
 INNER = re.compile(f" [^{WHITE}]+")
 LINES_AT_ONCE = 1024
@@ -55,8 +55,8 @@ def piecewise(t) -> object:
 
 
 @lru_cache(maxsize=4)
-def library_encoder(path: str) -> ChunkEncoder:
-    """One per worker process and file. Strings of special tokens in a text are ordinary text."""
+def library_encoder(path: str, kept: int = KEPT_CHUNKS) -> ChunkEncoder:
+    """One per worker process and file, with a table of `kept` chunks. Strings of special tokens in a text are ordinary text."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
@@ -77,7 +77,7 @@ def library_encoder(path: str) -> ChunkEncoder:
         return b"".join(out)
 
     def encode_all(texts: list[str]) -> list[bytes]:
-        if len(known) > KEPT_PIECES:
+        if len(known) > min(KEPT_PIECES, kept):
             known.clear()
         if encode_piece is None:
             return by_library(texts)
@@ -114,4 +114,4 @@ def library_encoder(path: str) -> ChunkEncoder:
     if len(line_end) != 1:
         raise ValueError("the tokenizer splits a line end")
     line_end = line_end[0]
-    return ChunkEncoder(encode_all)
+    return ChunkEncoder(encode_all, kept)

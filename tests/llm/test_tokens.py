@@ -247,3 +247,20 @@ def test_clashing_columns_ties_nulls_and_no_rows(spark, tmp_path):
     assert packing.pack(empty, JSON).count() == 0
     path = tokenfiles.write_token_files(empty, str(tmp_path / "e"), JSON)
     assert tokenfiles.with_starts(tokenfiles.with_checksums(tokenfiles.read_token_files(spark, path)), spark, path).count() == 0
+
+
+def test_a_small_table_of_chunks_gives_the_same_ids():
+    small, large = tokens.library_encoder(JSON, 40), tokens.library_encoder(JSON)
+    for k in range(30):
+        texts = [" ".join(f"word{(i * 7 + k) % 90}," for i in range(60)), "two  blanks", None, "", f"head{k} tail word{k},"]
+        assert small.encode(texts) == large.encode(texts)
+        assert len(small.before) <= 40 + 62 and len(small.after) <= 40 + 62
+
+
+def test_the_pipeline_packs_with_a_bounded_table(monkeypatch):
+    import corpus_pipeline
+
+    seen = {}
+    monkeypatch.setattr(corpus_pipeline.packing, "pack", lambda docs, path, **kw: seen.update(kw))
+    corpus_pipeline.pack_sequences.__wrapped__(None, None, "")
+    assert seen["kept_chunks"] <= 100_000

@@ -9,7 +9,7 @@ join. Texts that hold a space beside other white space are given whole to the en
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 # Unicode's White_Space, which is what the pattern's \s stands for
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -27,6 +27,14 @@ KEPT_CHUNKS = 600_000
 KEPT_CHARS = 64
 
 
+def _unknown(ids: list[bytes | None]) -> Iterator[int]:
+    """Places of None, which are few. The list may be filled on the way."""
+    k, n = -1, ids.count(None)
+    for _ in range(n):
+        k = ids.index(None, k + 1)
+        yield k
+
+
 class ChunkEncoder:
     """encode(texts) gives the ids of each text as bytes. `encode_all` encodes a list of strings to such bytes."""
 
@@ -40,7 +48,7 @@ class ChunkEncoder:
             self.before, self.after = self.after, {}
         get, older = self.after.get, self.before.get
         out: list[bytes] = []
-        late: list[tuple[int, bytes | None, list[str], list[bytes | None]]] = []
+        late: list[tuple[int, str, list[tuple[int, str]], list[bytes | None]]] = []
         new: dict[str, bytes] = {}
         whole: dict[str, bytes] = {}
         for i, text in enumerate(texts):
@@ -55,23 +63,23 @@ class ChunkEncoder:
                 ids = list(map(get, parts))
                 if head:
                     whole[head] = b""
-                if None in ids:
-                    for k, x in enumerate(ids):
-                        if x is None:
-                            p = parts[k]
-                            x = ids[k] = older(p)
-                            if x is None:
-                                new[p] = b""
-                            else:
-                                self.after[p] = x
-                late.append((i, head, parts, ids))
+                gaps = []
+                for k in _unknown(ids):
+                    p = parts[k]
+                    x = ids[k] = older(p)
+                    if x is None:
+                        new[p] = b""
+                        gaps.append(k)
+                    else:
+                        self.after[p] = x
+                late.append((i, head, [(k, parts[k]) for k in gaps], ids))
                 out.append(b"")
         got = self.encode_all([" " + p for p in new] + list(whole))
         new = dict(zip(new, got))
         whole = dict(zip(whole, got[len(new):]))
         self.after.update((k, v) for k, v in new.items() if len(k) <= KEPT_CHARS)
-        for i, head, parts, ids in late:
-            if None in ids:
-                ids = [new[p] if x is None else x for p, x in zip(parts, ids)]
+        for i, head, gaps, ids in late:
+            for k, p in gaps:
+                ids[k] = new[p]
             out[i] = whole.get(head, b"") + b"".join(ids)
         return out

@@ -264,3 +264,14 @@ def test_the_pipeline_packs_with_a_bounded_table(monkeypatch):
     monkeypatch.setattr(corpus_pipeline.packing, "pack", lambda docs, path, **kw: seen.update(kw))
     corpus_pipeline.pack_sequences.__wrapped__(None, None, "")
     assert seen["kept_chunks"] <= 100_000
+
+
+def test_only_unknown_chunks_are_gone_through():
+    from stackwarden.llm.chunks import _unknown
+
+    ids = [b"a", None, None, b"b", None]
+    places = []
+    for k in _unknown(ids):
+        places.append(k)
+        ids[k] = None if k == 2 else b"x"
+    assert places == [1, 2, 4] and list(_unknown([b"a"])) == [] and list(_unknown([])) == []

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage, fresh_path
 from .common import hold, id_and_text, one_of_each, over_batches, whole_rows
-from .components import components
+from .components import components, settle
 
 WORDS = 3
 SEED = 42
@@ -129,20 +129,6 @@ def crowd_pairs(fp: np.ndarray, free: int = 0) -> Iterator[tuple[np.ndarray, np.
                     yield sub[i], sub[j]
 
 
-def settle(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Smallest index of each index's component under the links a-b."""
-    label = np.arange(n)
-    while True:
-        low = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, label[a], low)
-        np.minimum.at(new, label[b], low)
-        new = new[new]
-        if np.array_equal(new, label):
-            return label
-        label = new
-
-
 def links_of_groups(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Spanning links within groups of equal keys; key is sorted."""
     n = len(fp)

@@ -78,3 +78,13 @@ def test_simhash_links_come_first(spark):
     assert all((prints[0] ^ prints[i]).bit_count() <= simhash.RADIUS for i in (1, 2)) and (prints[0] ^ prints[3]).bit_count() > 3
     pairs = {frozenset((r.a, r.b)) for r in resemblance._close_prints(rows).collect()}
     assert pairs and {n for p in pairs for n in p} == {node[i] for i in (0, 1, 2)}
+
+
+def test_few_rows_take_few_shuffles(spark):
+    texts = planted()
+    docs = spark.createDataFrame([(i, t, "") for i, t in enumerate(texts)], SCHEMA)
+    shuffle = spark.sparkContext._jsc.sc().newShuffleId
+    before = shuffle()
+    kept = sorted(r.doc_id for r in resemblance.keep_one(docs).collect())
+    assert shuffle() - before < 80  # each leaves files for every partition
+    assert kept == kept_ids(texts)

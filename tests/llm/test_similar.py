@@ -102,6 +102,14 @@ def test_components_of_chains_and_stars(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_in_one_task_and_in_rounds_are_equal(spark):
+    rnd = random.Random(8)
+    edges = [(rnd.randrange(-400, 400), rnd.randrange(-400, 400)) for _ in range(350)] + [(-(1 << 63), 5), (7, 7)]
+    frame = spark.createDataFrame(edges, "a long, b long")
+    made = [sorted(map(tuple, components(frame, n).collect())) for n in (0, 10_000)]
+    assert made[0] == made[1] and len(made[0]) > 100
+
+
 def test_repeated_rows_null_ids_and_no_rows(spark):
     schema = "doc_id long, text string, gone string"
     df = spark.createDataFrame([(1, "a b c d", "x"), (1, "a b c d", "x"), (2, "a b c d", "x"), (None, "a b c d", "y"), (3, None, "z"), (4, "", "z")], schema)

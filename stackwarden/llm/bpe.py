@@ -4,8 +4,9 @@ Encoding. Ids of a prefix end in one last token; two tokens may stand side by si
 both alone, leave them. So the last token after a byte is the longest token ending there that agrees with the last
 token before it. A state holds what later bytes can still need: the pending bytes (the longest suffix that starts some
 token), and the last tokens at places where a token may yet start. Tokens that all those places share are emitted at
-once, so the lookahead is bounded by the longest token. States and moves are made when first met and kept in a bounded
-table. A piece that is itself a token is that token, as in the published encoder.
+once, so the lookahead is bounded by the longest token. States and moves are kept in a bounded table and made when met
+a second time: where a short piece leaves the moves there are, its last tokens are noted byte by byte instead, since most
+ends of rare words come once. A piece that is itself a token is that token, as in the published encoder.
 
 Decoding. A state machine over byte classes reads the bytes of one token after another and emits whole characters; its
 state is the bytes of a character begun. Moves of whole tokens are made when first met and kept in a bounded table. Bytes
@@ -32,6 +33,8 @@ KEPT_STATES = 150_000
 KEPT_CHUNKS = 400_000
 KEPT_PIECES = 150_000
 KEPT_MOVES = 100_000
+# Bytes of a piece whose last tokens are noted at once; longer pieces take moves all the way
+NOTED_BYTES = 256
 BLOCK_TOKENS = 4096
 
 
@@ -46,7 +49,8 @@ class State:
     def __init__(self, pending: bytes, places: tuple, final: bytes):
         # places: (bytes back from here, last token there or -1), oldest first; the first is the root
         self.pending, self.places, self.final = pending, places, final
-        self.moves: dict[int, tuple[bytes, State]] = {}
+        # None: met once, not made yet
+        self.moves: dict[int, tuple[bytes, State] | None] = {}
 
 
 class Transducer:
@@ -54,14 +58,15 @@ class Transducer:
         self.ranks, self.kept = ranks, kept
         self.token = {v: k for k, v in ranks.items()}
         self.starts = {t[:i] for t in ranks for i in range(1, len(t))}
-        self.agrees: dict[tuple[int, int], bool] = {}
+        self.agrees: dict[int, bool] = {}  # by first token * many + second
+        self.many = 1 + max(ranks.values())
         self.stable: dict[int, bool] = {}
         self.packed = {v: v.to_bytes(4, "little") for v in ranks.values()}
         self._reset()
 
     def _reset(self) -> None:
         self.start = State(b"", ((0, -1),), b"")
-        self.reads: dict[tuple[bytes, int], tuple[list, bytes, list]] = {}
+        self.reads: dict[bytes, dict[int, tuple[list, bytes, list, dict]]] = {b"": {}}
         self.states = {(self.start.pending, self.start.places): self.start}
 
     def merge(self, piece: bytes) -> list[int]:
@@ -83,7 +88,7 @@ class Transducer:
         return [self.ranks[p] for p in parts]
 
     def agree(self, a: int, b: int) -> bool:
-        key = (a, b)
+        key = a * self.many + b
         known = self.agrees.get(key)
         if known is None:
             if len(self.agrees) > 4 * self.kept:
@@ -97,29 +102,33 @@ class Transducer:
             known = self.stable[t] = self.merge(self.token[t]) == [t]
         return known
 
-    def _read(self, pending: bytes, byte: int) -> tuple[list, bytes, list]:
-        """Of a byte after pending bytes: tokens that end with it (longest first), what is pending now, and how far
-        back a token may have begun that still goes on."""
-        known = self.reads.get((pending, byte))
+    def _read(self, pending: bytes, byte: int) -> tuple[list, bytes, list, dict]:
+        """Of a byte after pending bytes: tokens that end with it (longest first), what is pending now, how far back a
+        token may have begun that still goes on, and what is known to be read after."""
+        known = self.reads.setdefault(pending, {}).get(byte)
         if known is None:
+            if len(self.reads) > self.kept:
+                self.reads = {b"": {}}
             read = pending + bytes((byte,))
             tails = [read[i:] for i in range(len(read))]
             ends = [(self.ranks[x], len(x)) for x in tails if x in self.ranks and self.lasting(self.ranks[x])]
             alive = [len(x) for x in tails if x in self.starts]
-            known = self.reads[pending, byte] = ends, read[len(read) - alive[0]:] if alive else b"", alive
+            after = read[len(read) - alive[0]:] if alive else b""
+            known = ends, after, alive, self.reads.setdefault(after, {})
+            self.reads.setdefault(pending, {})[byte] = known
         return known
 
     def _move(self, state: State, byte: int) -> tuple[bytes, State]:
         last = {back + 1: t for back, t in state.places}
         root = state.places[0][0] + 1
-        ends, pending, alive = self._read(state.pending, byte)
-        agrees = self.agrees
+        ends, pending, alive, _ = self._read(state.pending, byte)
+        agrees, many = self.agrees, self.many
         for t, back in ends:
             before = last.get(back)
             if before is not None:
                 if before < 0:
                     break
-                known = agrees.get((before, t))
+                known = agrees.get(before * many + t)
                 if known or known is None and self.agree(before, t):
                     break
         else:
@@ -158,6 +167,30 @@ class Transducer:
         move = state.moves[byte] = emitted, to
         return move
 
+    def _noted(self, piece: bytes) -> bytes:
+        """The ids by the last token after every byte, without states."""
+        agrees, many, pending, reads = self.agrees.get, self.many, b"", self.reads[b""]
+        last, size = [-1], [0]
+        for n, byte in enumerate(piece, 1):
+            ends, pending, _, reads = reads.get(byte) or self._read(pending, byte)
+            for t, back in ends:
+                before = last[n - back]
+                if before < 0:
+                    break
+                known = agrees(before * many + t)
+                if known or known is None and self.agree(before, t):
+                    break
+            else:
+                raise ValueError("the ranks lack a single byte")
+            last.append(t)
+            size.append(back)
+        out, n, packed = [], len(piece), self.packed
+        while n:
+            out.append(packed[last[n]])
+            n -= size[n]
+        out.reverse()
+        return b"".join(out)
+
     def encode(self, piece: bytes) -> bytes:
         whole = self.ranks.get(piece)
         if whole is not None:
@@ -165,8 +198,15 @@ class Transducer:
         if len(self.states) > self.kept:
             self._reset()
         state, out = self.start, []
+        short = len(piece) <= NOTED_BYTES
         for byte in piece:
-            emitted, state = state.moves.get(byte) or self._move(state, byte)
+            move = state.moves.get(byte)
+            if move is None:
+                if short and byte not in state.moves:
+                    state.moves[byte] = None
+                    return self._noted(piece)
+                move = self._move(state, byte)
+            emitted, state = move
             if emitted:
                 out.append(emitted)
         out.append(state.final)
@@ -296,18 +336,22 @@ def encoder(path: str, pattern: str) -> ChunkEncoder:
 
     machine, pieces = Transducer(read_ranks(path)), regex.compile(explicit_white(pattern).replace("$)", r"\Z)")).findall
     known: dict[str, bytes] = {}
+    older: dict[str, bytes] = {}
 
     def encode_piece(p: str) -> bytes:
         ids = known.get(p)
         if ids is None:
-            ids = machine.encode(p.encode("utf-8", "surrogatepass"))
+            ids = older.get(p)
+            if ids is None:
+                ids = machine.encode(p.encode("utf-8", "surrogatepass"))
             if len(p) <= KEPT_CHARS:
                 known[p] = ids
         return ids
 
     def encode_all(texts: Iterable[str]) -> list[bytes]:
-        if len(known) > KEPT_PIECES:
-            known.clear()
+        nonlocal known, older
+        if len(known) > KEPT_PIECES:  # what is used again moves to the new table
+            known, older = {}, known
         return [b"".join(map(encode_piece, pieces(t))) for t in texts]
 
     return ChunkEncoder(encode_all, KEPT_CHUNKS)
@@ -334,8 +378,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     return over_batches(id_and_text(docs), make, "doc_id long, ids binary, n_tokens long")
 
 
-def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
-    """Adds text and bytes to doc_id, ids, n_tokens."""
+def decode(encoded: DataFrame, ranks_path: str, with_text: bool = True) -> DataFrame:
+    """Adds text, if wanted, and bytes to doc_id, ids, n_tokens."""
 
     def make():
         tokens = token_moves(ranks_path)
@@ -345,11 +389,13 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
             for ids in b.column(1).to_pylist():
                 blocks = list(decode_stream(memoryview(ids or b"").cast("I"), tokens))
                 raw.append("".join([x for x, _ in blocks]).encode("utf-8", "surrogateescape"))
-                texts.append("".join([x for _, x in blocks]))
-            return pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(texts, pa.string()),
-                                               pa.array(raw, pa.binary())], ["doc_id", "ids", "n_tokens", "text", "bytes"])
+                if with_text:
+                    texts.append("".join([x for _, x in blocks]))
+            made = {"text": pa.array(texts, pa.string())} if with_text else {}
+            made["bytes"] = pa.array(raw, pa.binary())
+            return pa.RecordBatch.from_arrays([*b.columns[:3], *made.values()], ["doc_id", "ids", "n_tokens", *made])
 
         return apply
 
     return over_batches(encoded.select("doc_id", "ids", "n_tokens"), make,
-                        "doc_id long, ids binary, n_tokens long, text string, bytes binary")
+                        f"doc_id long, ids binary, n_tokens long, {'text string, ' if with_text else ''}bytes binary")

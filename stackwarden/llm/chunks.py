@@ -8,6 +8,7 @@ join. Texts that hold a space beside other white space are given whole to the en
 
 from __future__ import annotations
 
+import gc
 import re
 from collections.abc import Callable, Iterator, Sequence
 
@@ -44,6 +45,15 @@ class ChunkEncoder:
         self.before: dict[str, bytes] = {}
 
     def encode(self, texts: Sequence[str | None]) -> list[bytes]:
+        collects = gc.isenabled()
+        gc.disable()  # what is made here is kept or has no cycles; going through it again and again finds nothing
+        try:
+            return self._encode(texts)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _encode(self, texts: Sequence[str | None]) -> list[bytes]:
         if len(self.after) > self.kept:
             self.before, self.after = self.after, {}
         get, older = self.after.get, self.before.get

@@ -275,3 +275,28 @@ def test_only_unknown_chunks_are_gone_through():
         places.append(k)
         ids[k] = None if k == 2 else b"x"
     assert places == [1, 2, 4] and list(_unknown([b"a"])) == [] and list(_unknown([])) == []
+
+
+def test_rare_ends_of_words_make_no_states():
+    import random
+
+    import public_tokenizers
+
+    machine = bpe.Transducer(bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")))
+    rnd = random.Random(3)
+    words = ["".join(rnd.choice("aeinrst\u00e9\u00df") for _ in range(rnd.randint(9, 30))).encode() for _ in range(400)]
+    for w in words + words[:50] * 3:  # new, met again, and by moves made
+        want = machine.ranks.get(w)
+        assert list(memoryview(machine.encode(w)).cast("I")) == ([want] if want is not None else machine.merge(w))
+    assert len(machine.states) < 1000
+
+
+def test_decoding_bytes_alone(spark):
+    import public_tokenizers
+
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    docs = spark.createDataFrame([(1, "na\u00efve \U0001f600 caf\u00e9"), (2, None)], "doc_id long, text string")
+    encoded = bpe.encode(docs, ranks, public_tokenizers.PATTERN)
+    got = bpe.decode(encoded, ranks, with_text=False)
+    assert got.columns == ["doc_id", "ids", "n_tokens", "bytes"]
+    assert {r.doc_id: bytes(r["bytes"]) for r in got.collect()} == {1: "na\u00efve \U0001f600 caf\u00e9".encode(), 2: b""}

@@ -120,3 +120,15 @@ def test_other_columns_stay_and_characters_stay_whole(spark):
         assert sorted(r.text for r in got) == ["", "short", "short", "xy"]
         assert {(r.doc_id, r.starts, r.kept, r.row) for r in got} == {(r[0], r[2], r[3], r[4]) for r in rows}
     assert S.remove_repeats(df.limit(0)).count() == 0
+
+
+def test_query_returns_the_kept_text_as_the_stage_does(spark, tmp_path):
+    from stackwarden.llm.queries import op5_suffixes
+
+    again = "".join(chr(0xE0 + i * i % 30) + str(i) for i in range(200))
+    texts = ["d\u00e9j\u00e0 vu, na\u00efve", "one " + again, again + " two", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in op5_suffixes(spark, str(tmp_path)).collect()}
+    assert [got[i].text or "" for i in range(4)] == [texts[0], "one ", " two", ""]
+    assert [got[i].n_removed for i in range(4)] == [0, len(again.encode()), len(again.encode()), 0]
+    assert "n_kept" not in got[0]  # a number of bytes, beside texts counted in characters

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,6 +14,9 @@ from ..operators.ranking import global_position
 from ..session import cut_lineage
 from . import ranges
 
+# Spark counts 4 MB for the opening of a file, so a slice of a listing holds some 32 files. So many slices make one task.
+SLICES_PER_TASK = 64
+
 
 def _binary(spark: SparkSession, folders: Iterable[str], recursive: bool) -> DataFrame:
     return (
@@ -29,8 +33,11 @@ def _local(path) -> Column:
 
 def listing(spark: SparkSession, folders: Iterable[str], recursive: bool = True) -> DataFrame:
     """path, size, mtime of every file. The bytes are not selected, so they are not read."""
-    return _binary(spark, folders, recursive).select(
+    listed = _binary(spark, folders, recursive).select(
         _local(F.col("path")).alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
+    slices = listed.rdd.getNumPartitions()
+    tasks = max(4 * spark.sparkContext.defaultParallelism, math.ceil(slices / SLICES_PER_TASK))
+    return listed.coalesce(tasks) if tasks < slices else listed
 
 
 def contents(spark: SparkSession, folders: Iterable[str], recursive: bool = True,

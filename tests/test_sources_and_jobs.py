@@ -284,3 +284,13 @@ def test_groups_of_one_kind_are_of_documents_alone(spark):
     d = _tables_in_folders(spark, [big if i in (0, 10) else f"{i}" * 1100 for i in range(12)])
     got = queries()["groups_of_one_kind"](spark, d).collect()
     assert [tuple(r) for r in got] == [(0, 2, 1100)]
+
+
+def test_a_listing_of_many_small_files_makes_few_tasks(spark, tmp_path):
+    from stackwarden.sources import files
+
+    for i in range(1500):
+        (tmp_path / f"{i}.pdf").write_bytes(b"x" * (1 + i % 3))
+    listed = files.listing(spark, [str(tmp_path)])
+    assert listed.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism < 1500 // 32
+    assert sorted((r.path, r.size) for r in listed.collect()) == sorted((str(tmp_path / f"{i}.pdf"), 1 + i % 3) for i in range(1500))

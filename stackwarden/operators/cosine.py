@@ -4,8 +4,9 @@ Vectors are stored by cell and ring: a cell is what lies nearest to one of a bou
 angles to that pivot. By the triangle inequality on angles, a vector can be near to members of a cell only if its angle to
 the pivot is at most the cell's widest plus the threshold's, and at most its own nearest pivot's plus twice the threshold's;
 it visits these cells. In a cell, rings that touch or are equal meet, in blocks of bounded size, whatever a cell holds.
-Only what passes the threshold is returned. On vectors without any clusters every cell is visited and the work is N^2 / 2
-products, as without pivots.
+Only what passes the threshold is returned. On vectors without any clusters every cell would be visited, and a vector sent
+to each: where drawn vectors show that, all form one cell in wide blocks instead. Then N^2 / 2 products are done, and each
+vector is sent once per block.
 
 Input: vectors of any length; a pair is near if its product reaches the threshold. Clusters take unit vectors.
 """
@@ -31,7 +32,13 @@ MAX_RINGS = 64
 SLACK = 1e-6  # more than the error of an arc cosine
 DIRECT_EDGES_UP_TO = 5_000  # so few vectors cannot have more than 12.5 million pairs
 EDGES_PER_VECTOR = 32
+WIDE = 4  # so many times the rows has a block where cells do not help
+WIDE_BYTES = 8 << 20  # unless it holds more than this
+DRAWN = 1024  # vectors that tell whether cells help
+VISITED_FROM = 0.25  # they do not if a vector visits this part of them
 SLICE_ROWS = 512  # rows of a block that meet the other block at once
+TILE_ROWS = 4096  # rows of that other block in one product
+FEW_HITS = 8192  # rough hits of a product that are looked at one by one
 PAIR_ROWS = 1 << 17  # pairs handed on at once
 PLACED_ROWS = 8192  # rows handed on at once; a vector can have a place in every cell
 BATCH_ROWS = 5_000  # the first batch of ids; each one after is twice as large
@@ -72,15 +79,29 @@ class Cells:
 
 
 def _draw(vectors: DataFrame, n: int) -> np.ndarray:
-    """n pivots at most: vectors drawn by a hash of their id."""
+    """n vectors at most, drawn by a hash of their id."""
     rows = vectors.orderBy(F.xxhash64("id", F.lit(1)), "id").limit(n).select("vec").collect()
-    p = np.array([r.vec for r in rows], dtype="float64")
-    return p / np.maximum(np.linalg.norm(p, axis=1, keepdims=True), 1e-12)
+    return np.array([r.vec for r in rows], dtype="float64")
 
 
-def _cells(home: DataFrame, k: int, guests: DataFrame | None, threshold: float) -> Cells:
-    """k cells of the home vectors."""
-    pivots = _draw(home, k)
+def _near_angle(threshold: float, length: float) -> float:
+    """The shorter the vectors, the closer a pair must be to reach the threshold."""
+    return math.acos(min(1.0, threshold / max(length, 1e-12)))
+
+
+def _visited(pivots: np.ndarray, home: np.ndarray, guests: np.ndarray, threshold: float) -> float:
+    """The part of all cells that drawn vectors visit, by the widest angles of drawn vectors; that of all are wider."""
+    cells = Cells(pivots, np.zeros(len(pivots)), math.pi, math.pi)
+    a = cells.angles(home)
+    reach = np.zeros(len(pivots))
+    np.maximum.at(reach, np.argmin(a, axis=1), a.min(axis=1))
+    near = _near_angle(threshold, np.linalg.norm(home, axis=1).max() * np.linalg.norm(guests, axis=1).max())
+    i, _, _ = Cells(pivots, reach, near, math.pi).visits(guests, False)
+    return len(i) / (len(guests) * len(pivots))
+
+
+def _cells(home: DataFrame, pivots: np.ndarray, guests: DataFrame | None, threshold: float) -> Cells:
+    """The cells of the home vectors around the pivots."""
     first = Cells(pivots, np.zeros(len(pivots)), math.pi, math.pi)
 
     def widest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -100,8 +121,7 @@ def _cells(home: DataFrame, k: int, guests: DataFrame | None, threshold: float)
     long = other = max(r.length for r in got)
     if guests is not None:
         other = guests.select("vec").mapInPandas(widest, "cell int, angle double, length double").agg(top).first().length or 0.0
-    # the shorter the vectors, the closer a pair must be to reach the threshold
-    near = math.acos(min(1.0, threshold / max(long * other, 1e-12)))
+    near = _near_angle(threshold, long * other)
     return Cells(pivots, reach, near, max(near + SLACK, math.pi / MAX_RINGS))
 
 
@@ -183,18 +203,15 @@ def meetings(home: DataFrame, threshold: float, block_rows: int, rows: int | Non
     guests = None if guests is None else guests.select("id", as_double("vec").alias("vec"))
     rows = home.count() if rows is None else rows
     k = min(PIVOTS, rows // max(1, block_rows // 4)) if rows > block_rows and threshold > 0 else 1
-    if k == 1:  # one cell for all
-        sizes = {(0, 0, True): rows} if rows else {}
-        if guests is not None and rows:
-            sizes[0, 0, False] = guests.count()
-        out = Meetings(home, sizes, block_rows, guests is not None)
-        for df, is_home in ((home, True), (guests, False)):
-            if df is not None:
-                part = df.select(F.lit(0).alias("cell"), F.lit(0).alias("ring"), F.lit(is_home).alias("home"), F.pmod(
-                    F.xxhash64("id"), F.lit(out.parts((0, 0, is_home)))).cast("int").alias("sub"), "id", "vec")
-                out.placed = part if is_home else out.placed.unionByName(part)
-        return out
-    cells = _cells(home, k, guests, threshold)
+    if k == 1:
+        return _one_cell(home, rows, guests, block_rows)
+    drawn = _draw(home, k + DRAWN)
+    pivots = drawn[:k] / np.maximum(np.linalg.norm(drawn[:k], axis=1, keepdims=True), 1e-12)
+    seen = drawn[k:] if guests is None else _draw(guests, DRAWN)
+    if len(seen) and _visited(pivots, drawn[k:], seen, threshold) > VISITED_FROM:
+        wide = min(WIDE * block_rows, WIDE_BYTES // (8 * max(1, drawn.shape[1])))
+        return _one_cell(home, rows, guests, max(block_rows, wide))
+    cells = _cells(home, pivots, guests, threshold)
     shared = home.sparkSession.sparkContext.broadcast(cells)
 
     def places(vecs: np.ndarray, kind: str) -> Iterator[tuple[bool, tuple]]:
@@ -246,15 +263,46 @@ def meetings(home: DataFrame, threshold: float, block_rows: int, rows: int | Non
     return out
 
 
+def _one_cell(home: DataFrame, rows: int, guests: DataFrame | None, block_rows: int) -> Meetings:
+    """All in one cell, dealt to blocks by a hash."""
+    sizes = {(0, 0, True): rows} if rows else {}
+    if guests is not None and rows:
+        sizes[0, 0, False] = guests.count()
+    out = Meetings(home, sizes, block_rows, guests is not None)
+    for df, is_home in ((home, True), (guests, False)):
+        if df is not None:
+            part = df.select(F.lit(0).alias("cell"), F.lit(0).alias("ring"), F.lit(is_home).alias("home"), F.pmod(
+                F.xxhash64("id"), F.lit(out.parts((0, 0, is_home)))).cast("int").alias("sub"), "id", "vec")
+            out.placed = part if is_home else out.placed.unionByName(part)
+    return out
+
+
 def _pairs_of(a, b, same: bool, threshold: float) -> Iterator[tuple]:
-    """Index pairs and similarities between two blocks, slice by slice; within one block each pair once."""
+    """Index pairs and similarities between two blocks, slice by slice; within one block each pair once.
+
+    Single precision, with its widest error allowed for, tells where to look; doubles decide."""
+    longest = [np.linalg.norm(x, axis=1).max() if len(x) else 0.0 for x in (a, b)]
+    rough = all(1e-15 < x < 1e15 for x in longest)
+    low = threshold - (a.shape[1] + 8) * 2.0 ** -23 * longest[0] * longest[1]
+    a4, b4 = (a.astype("float32"), b.astype("float32")) if rough else (a, b)
     for at in range(0, len(a), SLICE_ROWS):
-        sims = a[at:at + SLICE_ROWS] @ b.T
-        hit = sims >= threshold
-        if same:
-            hit = np.triu(hit, at + 1)
-        i, j = np.nonzero(hit)
-        yield i + at, j, sims[i, j]
+        x, got = a[at:at + SLICE_ROWS], []
+        for bt in range(at // TILE_ROWS * TILE_ROWS if same else 0, len(b), TILE_ROWS):
+            y = b[bt:bt + TILE_ROWS]
+            hit = np.flatnonzero(a4[at:at + SLICE_ROWS] @ b4[bt:bt + TILE_ROWS].T >= low) if rough else None
+            if rough and len(hit) <= FEW_HITS:
+                i, j = np.divmod(hit, len(y))
+                s = np.einsum("ij,ij->i", x[i], y[j])
+            else:
+                s = (x @ y.T).ravel()
+                hit = np.flatnonzero(s >= threshold)
+                i, j = np.divmod(hit, len(y))
+                s = s[hit]
+            ok = s >= threshold
+            if same:
+                ok &= i + at < j + bt
+            got.append((i[ok] + at, j[ok] + bt, s[ok]))
+        yield tuple(np.concatenate(c) for c in zip(*got)) if got else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
 
 
 def _stats_frame(hi, lo) -> pd.DataFrame:
@@ -311,16 +359,29 @@ def neighbours_among(vectors: DataFrame, leaders: DataFrame, threshold: float, b
 
     def meet(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
         il, lead, iv, vec, _ = _both(pdf)
+        yield from _stats_of((hi, lo) for lo, hi in _earlier(il, lead, iv, vec, threshold))
 
-        def slices() -> Iterator[tuple]:
-            for at in range(0, len(vec), SLICE_ROWS):
-                ids = iv[at:at + SLICE_ROWS]
-                i, j = np.nonzero((vec[at:at + SLICE_ROWS] @ lead.T >= threshold) & (il[None, :] < ids[:, None]))
-                yield ids[i], il[j]
+    return _combine(meetings(leaders, threshold, block_rows, guests=vectors).run(meet, "id long, first long, degree long"))
 
-        yield from _stats_of(slices())
 
-    return _combine(meetings(leaders, threshold, block_rows, guests=vectors).run(meet, "id long, first long, degree long"))
+def _earlier(il, lead, iv, vec, threshold: float) -> Iterator[tuple]:
+    """Ids of near ones (lo, hi), hi of the vectors and lo before it, slice by slice."""
+    for i, j, _ in _pairs_of(vec, lead, False, threshold):
+        lo, hi = il[j], iv[i]
+        before = lo < hi
+        yield lo[before], hi[before]
+
+
+def earlier_pairs(vectors: DataFrame, some: DataFrame, threshold: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """lo, hi of all near pairs lo < hi whose hi is among some of the vectors."""
+
+    def meet(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        il, lead, iv, vec, _ = _both(pdf)
+        for lo, hi in _earlier(il, lead, iv, vec, threshold):
+            for at in range(0, len(lo), PAIR_ROWS):
+                yield pd.DataFrame({"lo": lo[at:at + PAIR_ROWS], "hi": hi[at:at + PAIR_ROWS]})
+
+    return meetings(vectors, threshold, block_rows, guests=some).run(meet, "lo long, hi long")
 
 
 def leader_clusters(
@@ -387,8 +448,17 @@ def _peel(first: DataFrame, threshold: float, block_rows: int, edges_per_vector:
         if n_edges <= edges_per_vector * n_rest:
             ids = rest.select("id")
             if n_edges:
-                settled = elect(rest, cut_lineage(near_pairs(rest, threshold, block_rows)), edges_per_task)
+                # a single earlier neighbour is known; only who has more is compared again
+                edges = stats.filter("degree = 1").select(F.col("first").alias("lo"), F.col("id").alias("hi"))
+                several = stats.filter("degree > 1").select("id")
+                if not several.isEmpty():
+                    edges = edges.unionByName(earlier_pairs(rest, rest.join(several, "id", "left_semi"), threshold, block_rows))
+                settled = elect(rest, cut_lineage(edges), edges_per_task)
+                if not leaders:
+                    return settled
                 ids = settled.filter("id = leader").select("id")
+            elif not leaders:
+                return ids.select("id", F.col("id").alias("leader"))
             leaders.append(rest.join(ids, "id", "left_semi"))
             break
         lead = cut_lineage(rest.join(stats, "id", "left_anti"))

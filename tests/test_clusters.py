@@ -134,6 +134,22 @@ def test_cells_save_most_products_on_clustered_vectors(spark):
     assert got == set(zip(i.tolist(), j.tolist()))
 
 
+def test_vectors_without_clusters_are_sent_once_per_block(spark):
+    """Such vectors would visit every cell: they stay in one cell of wide blocks, with the same pairs and leaders."""
+    rnd = np.random.default_rng(7)
+    v = rnd.normal(size=(2000, 32))
+    v[::10] = v[1::10] + 0.1 * rnd.normal(size=(200, 32))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(v)], "id long, vec array<double>")
+    m = cosine.meetings(df, 0.78, 100)
+    assert m.placed.count() == 2000 and len(m.sizes) == 1 and m.block_rows == cosine.WIDE * 100
+    near = v @ v.T >= 0.78
+    got = {(r.lo, r.hi) for r in cosine.near_pairs(df, 0.78, 100).collect()}
+    assert got == set(zip(*(x.tolist() for x in np.nonzero(np.triu(near, 1))))) and len(got) >= 200
+    some = {(r.lo, r.hi) for r in cosine.earlier_pairs(df, df.filter("id % 20 = 1"), 0.78, 100).collect()}
+    assert some == {p for p in got if p[1] % 20 == 1} and some
+
+
 def test_leaders_in_batches_do_not_compare_crowds(spark, monkeypatch):
     """3,000 vectors in 12 crowds: after the first batch nearly all are covered by a leader there is."""
     rnd = np.random.default_rng(6)

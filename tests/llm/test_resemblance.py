@@ -88,3 +88,23 @@ def test_few_rows_take_few_shuffles(spark):
     kept = sorted(r.doc_id for r in resemblance.keep_one(docs).collect())
     assert shuffle() - before < 80  # each leaves files for every partition
     assert kept == kept_ids(texts)
+
+
+def test_a_shared_passage_makes_no_crowd_of_pairs(spark, monkeypatch):
+    """300 texts of which two thirds are one passage share fingerprints, but are not alike; some have a near copy."""
+    rnd = random.Random(12)
+    words = [f"w{i}" for i in range(5000)]
+    passage = [rnd.choice(words) for _ in range(120)]
+    own = [[rnd.choice(words) for _ in range(60)] for _ in range(300)]
+    own += [[*w[:-1], "other"] for w in own[:40]]
+    texts = [" ".join(passage + w) for w in own]
+    asked, compare = [], resemblance._alike
+
+    def counted(pairs, *more):
+        asked.append(pairs.distinct().count())
+        return compare(pairs, *more)
+
+    monkeypatch.setattr(resemblance, "_alike", counted)
+    df = spark.createDataFrame([(i, t, "") for i, t in enumerate(texts)], SCHEMA)
+    assert sorted(r.doc_id for r in resemblance.keep_one(df).collect()) == kept_ids(texts)
+    assert max(asked) < 20 * len(texts)  # of 170 * len(texts)

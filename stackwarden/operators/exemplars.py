@@ -26,6 +26,10 @@ BLOCK_EXEMPLARS = 8192
 # Examples of a folder that stay together; a larger folder is split
 SLICE_ROWS = 4096
 BLOCK_QUERIES = 8192
+# Where blocks of queries and examples meet, a query is sent to each block: these are wider, up to so many bytes
+WIDE = 4
+WIDE_BYTES = 16 << 20
+SCORES = 1 << 21  # scores of queries against folders that are held at once
 
 
 def latest(store: DataFrame, keep: int = K.EXEMPLARS_PER_FOLDER) -> DataFrame:
@@ -99,7 +103,10 @@ def _pack(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _blend(q: np.ndarray, side: Side) -> np.ndarray:
-    return 0.6 * np.maximum.reduceat(q @ side.mat.T, side.starts, axis=1) + 0.4 * (q @ side.cents.T)
+    best = np.empty((len(q), len(side.folders)))
+    for at in range(0, len(q), QUERY_TILE):  # products of a tile with a block, not of all queries with it
+        best[at:at + QUERY_TILE] = np.maximum.reduceat(q[at:at + QUERY_TILE] @ side.mat.T, side.starts, axis=1)
+    return 0.6 * best + 0.4 * (q @ side.cents.T)
 
 
 def _cones(side: Side) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -170,7 +177,9 @@ def _against(queries: DataFrame, store: DataFrame, score, broadcast_bytes: int)
     side and key share a block) and vec. The exemplars are broadcast if their counted size allows; else blocks of both
     meet, each pair in one task. Queries have the columns side (what they are compared with) and asset_id."""
     n, dim = store.agg(F.count(F.lit(1)), F.max(F.size("vec"))).first()
-    n_blocks = max(1, math.ceil((n or 0) / BLOCK_EXEMPLARS))
+    small = (n or 0) * (dim or 0) * 8 <= broadcast_bytes
+    block_rows = BLOCK_EXEMPLARS if small else max(BLOCK_EXEMPLARS, min(WIDE * BLOCK_EXEMPLARS, WIDE_BYTES // (8 * dim)))
+    n_blocks = max(1, math.ceil((n or 0) / block_rows))
     placed = store.withColumn("block", F.pmod("key", F.lit(n_blocks)).cast("int")).drop("key")
     own = placed.select("side", "block", *_KEYS, "seq", "vec", F.lit(False).alias("centre"))
     mid = placed.select("side", "block", *_KEYS).distinct().join(centroids(store).withColumnRenamed("centroid", "vec"), _KEYS)
@@ -178,7 +187,14 @@ def _against(queries: DataFrame, store: DataFrame, score, broadcast_bytes: int)
         own.unionByName(mid.select("side", "block", *_KEYS, F.lit(None).cast("long").alias("seq"), "vec", F.lit(True).alias("centre")))
         .groupBy("side", "block").applyInPandas(_pack, "side string, block int, payload binary")
     )
-    if (n or 0) * (dim or 0) * 8 <= broadcast_bytes:
+
+    def scores(part: pd.DataFrame, payload: bytes, side: str):
+        sides = pickle.loads(payload)
+        step = max(1, SCORES // max(len(s.folders) for s in sides.values()))
+        for at in range(0, len(part), step):
+            yield score(part.iloc[at:at + step], sides, side)
+
+    if small:
         held: dict[str, list[bytes]] = {}
         for r in packed.collect():  # within broadcast_bytes, counted above
             held.setdefault(r.side, []).append(bytes(r.payload))
@@ -188,18 +204,19 @@ def _against(queries: DataFrame, store: DataFrame, score, broadcast_bytes: int)
             for pdf in batches:
                 for side, part in pdf.groupby("side"):
                     for payload in shared.value.get(side, ()):
-                        yield score(part, pickle.loads(payload), side)
+                        yield from scores(part, payload, side)
 
         return queries.mapInPandas(each, _SCORED)
     n_q = max(1, math.ceil(queries.count() / BLOCK_QUERIES))
-    q = queries.withColumn("q", F.pmod(F.xxhash64("asset_id"), F.lit(n_q)).cast("int")).withColumn(
-        "block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+    blocks = placed.groupBy("side").agg(F.collect_set("block").alias("block"))  # a side may have none, or few
+    q = queries.join(F.broadcast(blocks), "side").withColumn("q", F.pmod(F.xxhash64("asset_id"), F.lit(n_q)).cast("int")).withColumn(
+        "block", F.explode("block"))
     e = packed.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))))
 
     def meet(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if len(left) == 0 or len(right) == 0:
             return pd.DataFrame({c: pd.Series(dtype=object) for c in ("asset_id", "modality", "folder", "score")})
-        return score(left, pickle.loads(right["payload"].iloc[0]), key[0])
+        return pd.concat(scores(left, right["payload"].iloc[0], key[0]))
 
     keys = ["side", "q", "block"]
     return q.groupBy(*keys).cogroup(e.groupBy(*keys)).applyInPandas(meet, _SCORED)

@@ -1,5 +1,6 @@
 import random
 import re
+import tracemalloc
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -275,3 +276,17 @@ def test_keyword_search_of_ascii_skips_what_it_can_and_finds_the_same(spark):
     rows = df.select("t", whole.alias("a"), quick.alias("b")).collect()
     assert not [r.t for r in rows if r.a != r.b]
     assert sum(map(sum, (r.a for r in rows))) > 300
+
+
+def test_scores_are_made_in_tiles():
+    """A block of queries against a block of examples would be 256 MiB of products."""
+    rnd = np.random.default_rng(11)
+    mat, q = rnd.normal(size=(8192, 4)), rnd.normal(size=(4096, 4))
+    side = exemplars.Side(["a", "b"], np.array([0, 5000]), mat, rnd.normal(size=(2, 4)))
+    tracemalloc.start()
+    got = exemplars._blend(q, side)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20
+    best = np.stack([(q[::500] @ mat[:5000].T).max(axis=1), (q[::500] @ mat[5000:].T).max(axis=1)], axis=1)
+    assert np.allclose(got[::500], 0.6 * best + 0.4 * (q[::500] @ side.cents.T))

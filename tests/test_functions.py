@@ -6,6 +6,7 @@ from pathlib import PurePosixPath
 
 from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
 from stackwarden import constants as K
 from stackwarden.functions import display, hashing, paths, text, vectors
 
@@ -93,3 +94,22 @@ def test_hash_and_vector_edges(spark):
     assert r[1][0] == 0 and r[1][2] == [0.0, 0.0]
     assert spark.range(1).select(hashing.match_percent(F.lit(2.24))).first()[0] == 96  # 96.5 goes to even
     assert spark.range(1).select(hashing.average_hash(F.array(*[F.lit(float(i)) for i in range(64)]))).first()[0] == 2**32 - 1
+
+
+def test_sizes_beyond_a_long_and_at_halves_are_shown_as_c_does(spark):
+    rnd = random.Random(8)
+    sizes = [0, 1023, 1024, 1048575, 1048576, (1 << 63) - 1024, 1 << 63, 9 * 10**20, 2097152**3, 1500104**3, 1718384**3, 1870307**3, 1897709**3]
+    sizes += [1024 * i + 256 * j for i in (1, 2, 3, 1023) for j in range(4)] + [(1 << 30) * i + (1 << 27) * j for i in (1, 1023, 1 << 20) for j in range(8)]
+    sizes += [rnd.randrange(1 << rnd.randint(1, 80)) for _ in range(2000)]
+    df = spark.createDataFrame([(float(x),) for x in sizes] + [(None,)], "b double")
+    got = {r.b: r.h for r in df.select("b", display.human_size("b").alias("h")).collect()}
+    for x in map(float, sizes):
+        want = "%d o" % x if x < 1024 else "%.1f Ko" % (x / 1024) if x < 1024**2 else "%.1f Mo" % (x / 1024**2) if x < 1024**3 else "%.2f Go" % (x / 1024**3)
+        assert got[x] == want, x
+    assert got[None] is None
+
+
+def test_human_sizes_of_keys_whose_cube_is_beyond_a_long(spark, tmp_path):
+    spark.createDataFrame([(3_000_002,), (2_097_152,), (4,), (5,), (6,)], "o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    got = {r.asset_id: r.label for r in queries()["human_sizes"](spark, str(tmp_path)).collect()}
+    assert got == {3_000_002: "%.2f Go" % (3_000_002.0**3 / 2**30), 2_097_152: "%.2f Go" % (2**63 / 2**30), 4: "16 o", 5: "125 o", 6: "6 o"}

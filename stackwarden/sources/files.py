@@ -12,6 +12,7 @@ from .. import constants as K
 from ..functions.paths import has_extension, kind_of, training_label, unify_separators
 from ..operators.ranking import global_position
 from ..session import cut_lineage
+from . import folders as tree
 from . import ranges
 
 # Spark counts 4 MB for the opening of a file, so a slice of a listing holds some 32 files. So many slices make one task.
@@ -32,7 +33,11 @@ def _local(path) -> Column:
 
 
 def listing(spark: SparkSession, folders: Iterable[str], recursive: bool = True) -> DataFrame:
-    """path, size, mtime of every file. The bytes are not selected, so they are not read."""
+    """path, size, mtime of every file, hidden and empty ones too. Tasks list the folders and no bytes are read. Stores that
+    only Spark knows are listed by Spark, which holds the list in the driver and leaves hidden and empty files out."""
+    folders = list(folders)
+    if all(map(tree.known, folders)):
+        return tree.walk(spark, folders, recursive)
     listed = _binary(spark, folders, recursive).select(
         _local(F.col("path")).alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
     slices = listed.rdd.getNumPartitions()
@@ -42,8 +47,11 @@ def listing(spark: SparkSession, folders: Iterable[str], recursive: bool = True)
 
 def contents(spark: SparkSession, folders: Iterable[str], recursive: bool = True,
              min_bytes: int = K.SCAN_MIN_BYTES) -> DataFrame:
-    """path, size, mtime and bytes; the size test reaches the source, small files are never opened. A row holds a whole
-    file, which Spark limits to 2 GiB; `hashed` has no such limit."""
+    """path, size, mtime and bytes; files below the size are never opened. A row holds a whole file, which Spark limits to
+    2 GiB; `hashed` has no such limit. A file that cannot be read is left out (`unreadable` lists these)."""
+    folders = list(folders)
+    if all(map(tree.known, folders)):
+        return ranges.with_content(tree.walk(spark, folders, recursive).filter(F.col("size") >= min_bytes))
     return _binary(spark, folders, recursive).filter(F.col("length") >= min_bytes).select(
         _local(F.col("path")).alias("path"), F.col("length").alias("size"),
         F.col("modificationTime").alias("mtime"), "content")

@@ -294,3 +294,25 @@ def test_a_listing_of_many_small_files_makes_few_tasks(spark, tmp_path):
     listed = files.listing(spark, [str(tmp_path)])
     assert listed.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism < 1500 // 32
     assert sorted((r.path, r.size) for r in listed.collect()) == sorted((str(tmp_path / f"{i}.pdf"), 1 + i % 3) for i in range(1500))
+
+
+def test_a_listing_has_hidden_and_empty_files_and_is_no_list_of_the_driver(spark, tmp_path):
+    from stackwarden.sources import files, folders
+
+    for name in ("_draft.pdf", ".x/a.pdf", "empty.pdf", "sub/deep/b [1].pdf", "sub/ü %20.pdf", "k=v/c.pdf"):
+        os.makedirs(os.path.dirname(tmp_path / name), exist_ok=True)
+        (tmp_path / name).write_bytes(b"" if name == "empty.pdf" else name.encode())
+    os.symlink(tmp_path, tmp_path / "sub" / "back")
+    os.symlink(tmp_path / "none", tmp_path / "broken")
+    there = {str(p): (p.stat().st_size, p.stat().st_mtime_ns // 1_000_000) for p in tmp_path.rglob("*") if p.is_file() and "back" not in p.parts}
+    listed = files.listing(spark, [str(tmp_path)])
+    assert {r.path: (r.size, r.mtime) for r in listed.select("path", "size", F.unix_millis("mtime").alias("mtime")).collect()} == there and len(there) == 6
+    plan = listed._jdf.queryExecution().executedPlan().toString()
+    assert str(tmp_path) not in plan.replace(shared_dir(spark), "")  # the files are rows, not inputs
+    assert names(files.listing(spark, [str(tmp_path), str(tmp_path)], recursive=False)) == ["_draft.pdf", "empty.pdf"]
+    assert names(files.listing(spark, [f"file:{tmp_path}/s*/", f"{tmp_path}/empty.pdf"])) == ["b [1].pdf", "empty.pdf", "ü %20.pdf"]
+    with pytest.raises(FileNotFoundError):
+        files.listing(spark, [f"{tmp_path}/none"])
+    assert {r.path: bytes(r.content) for r in files.contents(spark, [str(tmp_path)], min_bytes=0).collect()} == {p: open(p, "rb").read() for p in there}
+    level = sorted((p.replace("file://", ""), n, f) for p, n, _, f in folders.store_entries(f"file://{tmp_path}/sub"))
+    assert level == [(f"{tmp_path}/sub/back", 0, True), (f"{tmp_path}/sub/deep", 0, True), (f"{tmp_path}/sub/ü %20.pdf", len("sub/ü %20.pdf".encode()), False)]

@@ -9,16 +9,19 @@ from __future__ import annotations
 import math
 import pickle
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.core.broadcast import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.vectors import as_double, mean_vector, unit
-from ..session import BROADCAST_MAX_BYTES
+from ..session import BROADCAST_MAX_BYTES, cut_lineage, fresh_path
 from .ranking import top_per_group
 
 _KEYS = ["folder", "modality"]
@@ -26,9 +29,7 @@ BLOCK_EXEMPLARS = 8192
 # Examples of a folder that stay together; a larger folder is split
 SLICE_ROWS = 4096
 BLOCK_QUERIES = 8192
-# Where blocks of queries and examples meet, a query is sent to each block: these are wider, up to so many bytes
-WIDE = 4
-WIDE_BYTES = 16 << 20
+SHARE_BYTES = 32 << 20  # of a store that is too large to broadcast; the driver packs a share, and a worker holds it
 SCORES = 1 << 21  # scores of queries against folders that are held at once
 
 
@@ -172,54 +173,68 @@ def _best(ids, modality, folders, s: np.ndarray, top_n: int | None) -> pd.DataFr
 _SCORED = "asset_id long, modality string, folder string, score double"
 
 
-def _against(queries: DataFrame, store: DataFrame, score, broadcast_bytes: int) -> DataFrame:
+def _shares(sizes: list[tuple[str, int, int]], most: int) -> list[list[tuple[str, int]]]:
+    """Blocks (side, block, rows) dealt in order into shares of at most so many rows, or of one block."""
+    out: list[list[tuple[str, int]]] = []
+    left = 0
+    for side, block, rows in sorted(sizes):
+        if not out or rows > left:
+            out.append([])
+            left = most
+        out[-1].append((side, block))
+        left -= rows
+    return out
+
+
+def _against(queries: DataFrame, side: Column, store: DataFrame, score, broadcast_bytes: int) -> DataFrame:
     """score(queries, sides, side) for each block of queries and of exemplars. Store rows have side and key (rows of one
-    side and key share a block) and vec. The exemplars are broadcast if their counted size allows; else blocks of both
-    meet, each pair in one task. Queries have the columns side (what they are compared with) and asset_id."""
+    side and key share a block) and vec; `side` tells what a query is compared with. The exemplars are broadcast if their
+    counted size allows, else one share of bounded size after the other, so neither blocks nor queries are shuffled to meet,
+    and the best score of a query and folder is what a share leaves."""
     n, dim = store.agg(F.count(F.lit(1)), F.max(F.size("vec"))).first()
     small = (n or 0) * (dim or 0) * 8 <= broadcast_bytes
-    block_rows = BLOCK_EXEMPLARS if small else max(BLOCK_EXEMPLARS, min(WIDE * BLOCK_EXEMPLARS, WIDE_BYTES // (8 * dim)))
-    n_blocks = max(1, math.ceil((n or 0) / block_rows))
+    n_blocks = max(1, math.ceil((n or 0) / BLOCK_EXEMPLARS))
     placed = store.withColumn("block", F.pmod("key", F.lit(n_blocks)).cast("int")).drop("key")
     own = placed.select("side", "block", *_KEYS, "seq", "vec", F.lit(False).alias("centre"))
     mid = placed.select("side", "block", *_KEYS).distinct().join(centroids(store).withColumnRenamed("centroid", "vec"), _KEYS)
-    packed = (
-        own.unionByName(mid.select("side", "block", *_KEYS, F.lit(None).cast("long").alias("seq"), "vec", F.lit(True).alias("centre")))
-        .groupBy("side", "block").applyInPandas(_pack, "side string, block int, payload binary")
-    )
+    rows = own.unionByName(mid.select("side", "block", *_KEYS, F.lit(None).cast("long").alias("seq"), "vec", F.lit(True).alias("centre")))
+    spark = queries.sparkSession
 
     def scores(part: pd.DataFrame, payload: bytes, side: str):
         sides = pickle.loads(payload)
-        step = max(1, SCORES // max(len(s.folders) for s in sides.values()))
+        step = max(1, min(BLOCK_QUERIES, SCORES // max(len(s.folders) for s in sides.values())))
         for at in range(0, len(part), step):
             yield score(part.iloc[at:at + step], sides, side)
 
-    if small:
+    def packed(some: DataFrame) -> Broadcast:
         held: dict[str, list[bytes]] = {}
-        for r in packed.collect():  # within broadcast_bytes, counted above
+        for r in some.groupBy("side", "block").applyInPandas(_pack, "side string, block int, payload binary").collect():  # counted
             held.setdefault(r.side, []).append(bytes(r.payload))
-        shared = queries.sparkSession.sparkContext.broadcast(held)
+        return spark.sparkContext.broadcast(held)
 
+    def scored(q: DataFrame, shared: Broadcast) -> DataFrame:
         def each(batches):
             for pdf in batches:
                 for side, part in pdf.groupby("side"):
                     for payload in shared.value.get(side, ()):
                         yield from scores(part, payload, side)
 
-        return queries.mapInPandas(each, _SCORED)
-    n_q = max(1, math.ceil(queries.count() / BLOCK_QUERIES))
-    blocks = placed.groupBy("side").agg(F.collect_set("block").alias("block"))  # a side may have none, or few
-    q = queries.join(F.broadcast(blocks), "side").withColumn("q", F.pmod(F.xxhash64("asset_id"), F.lit(n_q)).cast("int")).withColumn(
-        "block", F.explode("block"))
-    e = packed.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))))
-
-    def meet(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if len(left) == 0 or len(right) == 0:
-            return pd.DataFrame({c: pd.Series(dtype=object) for c in ("asset_id", "modality", "folder", "score")})
-        return pd.concat(scores(left, right["payload"].iloc[0], key[0]))
+        return q.mapInPandas(each, _SCORED)
 
-    keys = ["side", "q", "block"]
-    return q.groupBy(*keys).cogroup(e.groupBy(*keys)).applyInPandas(meet, _SCORED)
+    if small:
+        return scored(queries.withColumn("side", side), packed(rows))
+    rows, queries = cut_lineage(rows), cut_lineage(queries)
+    sizes = [(r.side, r.block, r["count"]) for r in rows.groupBy("side", "block").count().collect()]
+    kept, parts = fresh_path(spark, "scores"), []
+    for share in _shares(sizes, min(broadcast_bytes, SHARE_BYTES) // (8 * dim)):
+        sides = sorted({s for s, _ in share})
+        mine = [(F.col("side") == s) & F.col("block").isin([b for x, b in share if x == s]) for s in sides]
+        shared = packed(rows.filter(reduce(or_, mine)))
+        found = scored(queries.withColumn("side", side).filter(F.col("side").isin(sides)), shared)
+        found.groupBy("asset_id", *reversed(_KEYS)).agg(F.max("score").alias("score")).write.parquet(f"{kept}/share-{len(parts)}")
+        parts.append(f"{kept}/share-{len(parts)}")
+        shared.destroy()
+    return spark.read.schema(_SCORED).parquet(*parts)
 
 
 def _with_slice(store: DataFrame, groups: list[str], slice_rows: int) -> DataFrame:
@@ -247,10 +262,10 @@ def folder_scores(
         s = _blend(q, side) if top_n is None else _best_blend(q, side, top_n)
         return _best(part["asset_id"].to_numpy(), modality, side.folders, s, top_n)
 
-    q = queries.select("asset_id", F.col("modality").alias("side"), as_double("vec").alias("vec"))
+    q = queries.select("asset_id", "modality", as_double("vec").alias("vec"))
     sliced = _with_slice(store, _KEYS, slice_rows).select(
         *_KEYS, "seq", "vec", F.col("modality").alias("side"), F.xxhash64("folder", "slice").alias("key"))
-    best = _against(q, sliced, score, broadcast_bytes).groupBy("asset_id", "modality", "folder").agg(F.max("score").alias("score"))
+    best = _against(q, F.col("modality"), sliced, score, broadcast_bytes).groupBy("asset_id", "modality", "folder").agg(F.max("score").alias("score"))
     return best if top_n is None else top_folders(best, top_n, ["asset_id", "modality"]).drop("rank")
 
 
@@ -265,7 +280,6 @@ def combined_scores(queries: DataFrame, store: DataFrame, top_n: int | None = No
         return F.first(F.when(F.col("modality") == m, as_double("vec")), ignorenulls=True).alias(m)
 
     q = queries.groupBy("asset_id").agg(side("image"), side("text"))
-    q = q.withColumn("side", F.explode(F.array(F.lit("whole"), F.lit("split"))))
 
     def score(part: pd.DataFrame, sides: dict, kind: str) -> pd.DataFrame:
         names = np.array(sorted(set().union(*(s.folders for s in sides.values()))), dtype=object)
@@ -286,7 +300,7 @@ def combined_scores(queries: DataFrame, store: DataFrame, top_n: int | None = No
     split = F.col("slices") > 1
     sliced = sliced.select(*_KEYS, "seq", "vec", F.when(split, "split").otherwise("whole").alias("side"),
                            F.when(split, F.xxhash64("folder", "slice")).otherwise(F.xxhash64("folder")).alias("key"))
-    scored = _against(q, sliced, score, broadcast_bytes)
+    scored = _against(q, F.explode(F.array(F.lit("whole"), F.lit("split"))), sliced, score, broadcast_bytes)
     i, t = (F.max(F.when(F.col("modality") == m, F.col("score"))) for m in ("image", "text"))
     parts = scored.filter("modality IS NOT NULL").groupBy("asset_id", "folder").agg(i.alias("i"), t.alias("t"))
     both = F.when(F.col("t").isNull(), 0.85 * F.col("i")).when(F.col("i").isNull(), 0.85 * F.col("t")).otherwise(0.55 * F.col("i") + 0.45 * F.col("t"))

@@ -290,3 +290,25 @@ def test_scores_are_made_in_tiles():
     assert peak < 64 << 20
     best = np.stack([(q[::500] @ mat[:5000].T).max(axis=1), (q[::500] @ mat[5000:].T).max(axis=1)], axis=1)
     assert np.allclose(got[::500], 0.6 * best + 0.4 * (q[::500] @ side.cents.T))
+
+
+def test_a_large_store_is_broadcast_in_shares_and_nothing_is_shuffled_to_meet(spark, monkeypatch):
+    monkeypatch.setattr(exemplars, "BLOCK_EXEMPLARS", 60)
+    rnd = np.random.default_rng(12)
+    rows = lambda n: [[float(x) for x in r] for r in rnd.normal(size=(n, 5))]
+    s = spark.createDataFrame([(f"f{i % 11}", "text" if i % 3 else "image", i, v) for i, v in enumerate(rows(700))], "folder string, modality string, seq long, vec array<double>")
+    q = spark.createDataFrame([(i // 2, "image" if i % 2 else "text", v) for i, v in enumerate(rows(50))], "asset_id long, modality string, vec array<double>")
+    held, real = [], exemplars._shares
+    monkeypatch.setattr(exemplars, "_shares", lambda sizes, most: held.append(([n for _, _, n in sizes], most, got := real(sizes, most))) or got)
+    part = exemplars.combined_scores(q, s, 2, 200 * 8 * 5, slice_rows=40)
+    sizes, most, shares = held[0]
+    assert most == 200 and sorted(b for x in shares for b in x) == sorted({b for x in shares for b in x}) and len(shares) > 3 and sum(map(len, shares)) == len(sizes)
+    assert "CoGroup" not in part._jdf.queryExecution().executedPlan().toString()
+    as_rows = lambda df: sorted((r.asset_id, r.folder, round(r.score, 9)) for r in df.collect())
+    assert as_rows(part) == as_rows(exemplars.combined_scores(q, s, 2)) and part.count() == 50
+
+
+def test_shares_hold_so_many_rows_or_one_block():
+    sizes = [("b", 0, 5), ("a", 2, 4), ("a", 1, 6), ("a", 0, 30), ("b", 1, 5)]
+    assert exemplars._shares(sizes, 10) == [[("a", 0)], [("a", 1), ("a", 2)], [("b", 0), ("b", 1)]]
+    assert exemplars._shares([], 10) == [] and all(len(x) == 1 for x in exemplars._shares(sizes, 0))

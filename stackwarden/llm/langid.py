@@ -10,7 +10,8 @@ of doc_id. It has one row of N_BUCKETS numbers per language code, and only those
 
 Input of predict: doc_id, text. Null texts and texts without a letter are `und` with score 0, as is all when nothing
 could be learned. Rows are independent; repeated rows and null ids come back as they are. Output: doc_id, lang_pred,
-score (the proportion), langs (the chosen set, largest first).
+score (the proportion), langs (the chosen set, largest first), explained (false for a text that the chosen set explains
+worse than a source which knows no language, such as one in a language that was not learned; and for `und`).
 """
 
 from __future__ import annotations
@@ -35,13 +36,31 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
 
 
-def grams(text: str) -> np.ndarray:
-    """Bucket of each byte 4-gram; two spaces on either side."""
-    raw = np.frombuffer(b"  " + text.lower().encode("utf-8", "replace") + b"  ", dtype=np.uint8).astype(np.uint32)
+# Bytes of ASCII that stand in no word: of digits and signs nobody can say which language they are in
+_NO_WORD = np.array([b < 128 and b != 32 and not chr(b).isalpha() for b in range(256)])
+
+
+def _raw(text: str) -> np.ndarray:
+    return np.frombuffer(b"  " + text.lower().encode("utf-8", "replace") + b"  ", dtype=np.uint8)
+
+
+def _buckets(raw: np.ndarray) -> np.ndarray:
+    raw = raw.astype(np.uint32)
     x = raw[:-3] | raw[1:-2] << 8 | raw[2:-1] << 16 | raw[3:] << 24
     return (x * np.uint32(2654435761)) >> np.uint32(32 - 15)
 
 
+def grams(text: str) -> np.ndarray:
+    """Bucket of each byte 4-gram; two spaces on either side."""
+    return _buckets(_raw(text))
+
+
+def _of_words(raw: np.ndarray) -> np.ndarray:
+    """For each 4-gram, whether it is of letters and blanks alone."""
+    no = _NO_WORD[raw]
+    return ~(no[:-3] | no[1:-2] | no[2:-1] | no[3:])
+
+
 class Model:
     def __init__(self, langs: list[str], counts: np.ndarray):
         """counts: languages x buckets. Add-half smoothing; each bucket is scaled by its largest probability, which
@@ -49,6 +68,8 @@ class Model:
         self.langs = langs
         p = (counts + 0.5) / (counts.sum(axis=1, keepdims=True) + 0.5 * N_BUCKETS)
         self.p = np.ascontiguousarray((p / p.max(axis=0)).T) if langs else np.zeros((N_BUCKETS, 0))
+        # what the scale has taken, against a source that knows no language: all buckets alike
+        self.over_even = np.log(p.max(axis=0) * N_BUCKETS) if langs else np.zeros(N_BUCKETS)
 
     @staticmethod
     def mix(p: np.ndarray, c: np.ndarray | float, total: float) -> tuple[np.ndarray, float]:
@@ -57,10 +78,19 @@ class Model:
             share = share * (p.T @ (c / (p @ share))) / total
         return share, float((c * np.log(p @ share)).sum())
 
-    def predict(self, text: str | None) -> tuple[str, float, str]:
+    def explains(self, g: np.ndarray, chosen: np.ndarray, share: np.ndarray) -> bool:
+        """Whether the chosen languages make these n-grams likelier than evenly drawn ones are; a doubt as large as the
+        penalty of a language is in the text's favour."""
+        over = float((np.log(self.p[g][:, chosen] @ share) + self.over_even[g]).sum())
+        return over >= -GRAM * (2 + 0.5 * math.log(len(g) + 1))
+
+    def predict(self, text: str | None) -> tuple[str, float, str, bool]:
+        """Prediction, its proportion, the chosen set, and whether that explains the words of the text."""
         if not self.langs or not text or not any(map(str.isalpha, text)):
-            return UNDETERMINED, 0.0, ""
-        g = grams(text)
+            return UNDETERMINED, 0.0, "", False
+        raw = _raw(text)
+        g = _buckets(raw)
+        of_words = g[_of_words(raw)]
         total = float(len(g))
         c: np.ndarray | float = 1.0
         if len(g) > N_BUCKETS:
@@ -79,7 +109,7 @@ class Model:
                 break
             chosen, best = chosen + 1, more
         ranked = sorted(zip(-best[0], (self.langs[i] for i in order[:chosen])))
-        return ranked[0][1], float(min(1.0, -ranked[0][0])), ",".join(x for _, x in ranked)
+        return ranked[0][1], float(min(1.0, -ranked[0][0])), ",".join(x for _, x in ranked), self.explains(of_words, order[:chosen], best[0])
 
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
@@ -120,8 +150,9 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
 
 
 def predict(docs: DataFrame, model: Model, *carried: str) -> DataFrame:
-    """Adds lang_pred, score and langs to the carried columns (doc_id, if none are named) by docs.text."""
+    """Adds lang_pred, score, langs and explained to the carried columns (doc_id, if none are named) by docs.text."""
     keep = list(carried) or ["doc_id"]
+    added = {"lang_pred": pa.string(), "score": pa.float64(), "langs": pa.string(), "explained": pa.bool_()}
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
@@ -131,13 +162,13 @@ def predict(docs: DataFrame, model: Model, *carried: str) -> DataFrame:
         def apply(b: pa.RecordBatch) -> pa.RecordBatch:
             got = [own.predict(t) for t in b.column(len(keep)).to_pylist()]
             return pa.RecordBatch.from_arrays(
-                [*b.columns[:len(keep)], *(pa.array([g[i] for g in got], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.string())))],
-                [*keep, "lang_pred", "score", "langs"])
+                [*b.columns[:len(keep)], *(pa.array([g[i] for g in got], kind) for i, kind in enumerate(added.values()))],
+                [*keep, *added])
 
         return apply
 
     rows = docs.select(*keep, "text")
-    schema = rows.select(*keep).withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0), "langs": F.lit("")}).schema
+    schema = rows.select(*keep).withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0), "langs": F.lit(""), "explained": F.lit(False)}).schema
     return over_batches(rows, make, schema)
 
 
